@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrove.llm import chat, decontamination, langid, packing, pii, tiff, tokens, toxicity
+from sparkgrove.llm import chat, decontamination, langid, ngram_join, packing, pii, tiff, tokens, toxicity
 from sparkgrove.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff": op1_tiff,
+    "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_chat": op4_chat,
     "op5_token_files": op5_token_files,
@@ -62,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
