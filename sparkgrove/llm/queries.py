@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrove.llm import chat, decontamination, langid, ngram_join, packing, pii, tiff, tokens, toxicity
+from sparkgrove.llm import chat, decontamination, langid, line_dedup, ngram_join, packing, pii, tiff, tokens, toxicity
 from sparkgrove.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -42,6 +42,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), threshold=2, least_chars=20)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_token_files": op5_token_files,
     "op6_pii": op6_pii,
+    "op7_line_dedup": op7_line_dedup,
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
