@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,23 @@ from pyspark.sql import window as W
 from sparkgrove.llm.common import id_text, shared_dir, stored, texts_of, to_arrow
 
 #: Words whose ids a worker keeps; it starts anew when there are more.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 1_000_000
 LONGEST_WORD_KEPT = 48
+#: Signs after a word that are split off it.
+TAIL = ".,;:!?"
+
+
+def _byte_level() -> dict[int, str]:
+    """For each letter of Latin-1 beyond ASCII its UTF-8 bytes as byte-level vocabularies write them.
+
+    Printable bytes stand for themselves, the others for the code points from 256 on, in their order.
+    """
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
+    return {c: "".join(chr(b if b in printable else others[b]) for b in chr(c).encode()) for c in range(128, 256)}
+
+
+BYTE_LEVEL = _byte_level()
 SAMPLE = 64
 MAGIC = b"SGEF0001"
 SHARD_IDS = 1 << 20
@@ -46,6 +62,7 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.typecode = "HI"[self.dtype.itemsize == 4]
         self.words: dict[str, bytes] = {"": b""}
 
     @classmethod
@@ -54,6 +71,33 @@ class TextEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    @staticmethod
+    def parts(word: str) -> tuple[str, ...]:
+        """Pieces that the vocabulary's splitting keeps apart anyway, in lower case as its normalizer has it.
+
+        Only for Latin-1 words, whose lower case is plain, and not for what may be a special token in lower case.
+        """
+        if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+            return (word.lower(),)
+        core = word.rstrip(TAIL)
+        if core == word or core and not core[-1].isalpha() or "<|" in word or not (word.isascii() or max(word) < "\u0100"):
+            return (word,)
+        return (core.lower(), word[len(core) :]) if core else (word,)
+
+    def encode_parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of each part. Latin-1 letters in lower case need no normalizing or splitting and go to the model at once."""
+        tokenize, code = self.tokenizer.model.tokenize, self.typecode
+        rest = []
+        for part in parts:
+            if part.isalpha() and (part.isascii() or max(part) < "\u0100") and part.islower():
+                yield part, array(code, [t.id for t in tokenize(part if part.isascii() else part.translate(BYTE_LEVEL))]).tobytes()
+            else:
+                rest.append(part)
+        for j in range(0, len(rest), 20_000):
+            some = rest[j : j + 20_000]
+            for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                yield part, array(code, coded.ids).tobytes()
+
     def encode(self, texts: list[str], end: int) -> Iterator[bytes]:
         """The ids of each text and the end id, as bytes of self.dtype."""
         tail = np.array([end], self.dtype).tobytes()
@@ -62,11 +106,14 @@ class TextEncoder:
             if len(self.words) > WORDS_KEPT:
                 self.words = {"": b""}
             words, once = self.words, {}
-            new = list(set().union(*split).difference(words))
-            for j in range(0, len(new), 20_000):
-                part = new[j : j + 20_000]
-                for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    (words if len(word) <= LONGEST_WORD_KEPT else once)[word] = np.array(coded.ids, self.dtype).tobytes()
+            new = {w: self.parts(w) for w in set().union(*split).difference(words)}
+            for part, ids in self.encode_parts(list({p for parts in new.values() for p in parts}.difference(words))):
+                (words if len(part) <= LONGEST_WORD_KEPT else once)[part] = ids
+            if once:
+                for w, parts in new.items():
+                    (words if len(w) <= LONGEST_WORD_KEPT else once)[w] = b"".join([words[p] if p in words else once[p] for p in parts])
+            else:
+                words.update({w: words[p[0]] if len(p) == 1 else words[p[0]] + words[p[1]] for w, p in new.items()})
             get = words.__getitem__ if not once else lambda w: words[w] if w in words else once[w]  # noqa: B023
             for x in split:
                 yield b"".join(map(get, x)) + tail

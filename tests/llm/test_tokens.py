@@ -125,3 +125,12 @@ def test_packing(request, tokenizer, name, capacity, block):
         assert at <= capacity and {p.padded_length for p in ps} == {at if at & (at - 1) == 0 else capacity}
         partial += at < capacity
     assert partial <= 40  # only a partition's last block, near-equal windows
+
+
+@given(st.lists(st.text(st.sampled_from(list("aZsßÿªµÀé.,;!?'<|endoftx>SD ")), max_size=24), max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_latin_words_give_the_texts_ids(tokenizer, texts):
+    encoder = tokens.TextEncoder.get(PATH)
+    texts = [*texts, "<|ENDOFTEXT|>. <|endoftext|>, É.É, it's. A.,b"]
+    got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts, 2)]
+    assert got == [[*ids_of(tokenizer, x), 2] for x in texts]
