@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +47,23 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for an application, so that their Python finds it wherever it is installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        folder = tempfile.mkdtemp(prefix="sparkgrove-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/sparkgrove.zip", "w") as out:
+            for path in sorted((root / "sparkgrove").rglob("*.py")):
+                out.write(path, path.relative_to(root))
+        context.addPyFile(f"{folder}/sparkgrove.zip")
+        _shipped.add(context.applicationId)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """Run fn on each Arrow batch; it yields dicts of columns, which are cast to the schema."""
     arrow = to_arrow(df.sparkSession, schema)
@@ -63,9 +82,11 @@ def as_arrow(values, kind: pa.DataType):
 
 
 def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
+    """The Arrow schema for a Python stage, which gets ready to run."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship(spark)
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
