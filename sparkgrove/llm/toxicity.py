@@ -15,15 +15,17 @@ input are not carried.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import id_text, map_batches, texts_of
+from sparkgrove.llm.common import id_text, map_batches, ship, stored, texts_of
 
 #: At most so many labelled documents are fitted on.
 SAMPLE_ROWS = 8192
@@ -33,7 +35,7 @@ SYMBOLS = 28  # 0: not a letter; 1 to 26: a to z; 27: another letter
 # What a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
 VOWELS = "aeiou"
-SUBSTITUTE, MASK, SHORTEN, DROP = 1.0, 2.5, 0.4, 0.3  # costs, as negative logarithms
+SUBSTITUTE, MASK, SHORTEN, DROP, DROP_LEET = 1.0, 2.5, 0.4, 0.3, 6.0  # costs, as negative logarithms
 TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 ODD = re.compile(r"[^a-zª-￿]|(.)\1\1")
 SPACED = re.compile(r"(?<!\S)[^\s|](?: [^\s|]){2,}(?!\S)")
@@ -101,7 +103,7 @@ def lattice_of(word: str) -> list[list[tuple[str, float]]]:
             letters = [(x, MASK) for x in VOWELS]
         options = [(x * k, extra * k + SHORTEN * (k < n)) for x, extra in letters for k in range(1, min(n, 2) + 1)]
         if not c.isalnum():
-            options.append(("", DROP))
+            options.append(("", DROP_LEET if c in LEET or c == "*" else DROP))
         out.append(options or [("", DROP)])
     return out
 
@@ -179,37 +181,38 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in features), -30, 30))))
 
 
-def fit(documents: list[tuple[list[str], int]], most: int = MAX_FEATURES, steps: int = 400, ridge: float = 1e-5) -> Classifier:
-    """documents: the words of each and its label. Features are chosen by their likelihood ratio, then weighed together."""
-    bad = sum(y for _, y in documents)
-    good = len(documents) - bad
-    share = (bad + 0.5) / (len(documents) + 1)
-    if not bad or not good:
-        return Classifier(float(np.log(share / (1 - share))), {})
-    sets = [{f for w in words for f in word_features(w)} for words, _ in documents]
-    on_bad = Counter(f for s, (_, y) in zip(sets, documents, strict=True) if y for f in s)
-    on_bad = {f: n for f, n in on_bad.items() if n >= 3}
-    on_good = Counter(f for s, (_, y) in zip(sets, documents, strict=True) if not y for f in s if f in on_bad)
-
-    def gain(f: str) -> float:
-        p, q, t = on_bad[f], on_good[f], on_bad[f] + on_good[f]
-        return p * np.log(p / (t * share)) + (q * np.log(q / (t * (1 - share))) if q else 0) if p / bad > q / good else 0.0
-
-    gains = {f: gain(f) for f in on_bad}
-    chosen = sorted((f for f in gains if gains[f] > 3), key=lambda f: (-gains[f], f))[:most]
-    place = {f: k for k, f in enumerate(chosen)}
-    x = np.zeros((len(documents), len(chosen)), np.float32)
-    for row, s in zip(x, sets, strict=True):
-        row[[place[f] for f in s if f in place]] = 1
-    y = np.array([y for _, y in documents], np.float32)
+def fit(names: list[str], rows: list[tuple[np.ndarray, int]], most: int = MAX_FEATURES, steps: int = 400, ridge: float = 1e-5) -> Classifier:
+    """rows: the numbers of the features of each document and its label.
+
+    The features that speak most for label 1, by their likelihood ratio, are weighed together.
+    """
+    y = np.array([y for _, y in rows], np.float32)
+    bad, good = int(y.sum()), int(len(y) - y.sum())
+    share = (bad + 0.5) / (len(y) + 1)
+    bias = float(np.log(share / (1 - share)))
+    if not bad or not good or not names:
+        return Classifier(bias, {})
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
+    feature = np.concatenate([x for x, _ in rows])
+    p = np.bincount(feature, y[owner], len(names))
+    q = np.bincount(feature, 1 - y[owner], len(names))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = p * np.log(p / ((p + q) * share)) + np.where(q > 0, q * np.log(q / ((p + q) * (1 - share))), 0)
+    gain = np.where((p >= 3) & (p / bad > q / good), gain, 0)
+    chosen = np.lexsort((np.arange(len(names)), -gain))[: min(most, int((gain > 3).sum()))]
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(rows), len(chosen)), np.float32)
+    known = place[feature] >= 0
+    x[owner[known], place[feature[known]]] = 1
     w, m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    w[0] = np.log(share / (1 - share))
+    w[0] = bias
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:].astype(np.float32), -30, 30)))
         g = np.concatenate([[(p - y).mean()], x.T @ (p - y) / len(y) + ridge * w[1:]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Classifier(float(w[0]), dict(zip(chosen, w[1:].tolist(), strict=True)))
+    return Classifier(float(w[0]), {names[k]: float(z) for k, z in zip(chosen, w[1:], strict=True)})
 
 
 def may_learn(doc_id: Column) -> Column:
@@ -217,11 +220,11 @@ def may_learn(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 != 0
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, model: CharModel, rows: int = SAMPLE_ROWS, learn: Callable[[Column], Column] = may_learn) -> list[tuple[list[str], int]]:
-    """Words and label of the labelled documents whose ids come first by hash, ``rows`` at most."""
+def labelled_words(docs: DataFrame, labels: DataFrame, model: CharModel, rows: int = SAMPLE_ROWS, learn: Callable[[Column], Column] = may_learn) -> DataFrame:
+    """doc_id, words, label of the labelled documents whose ids come first by hash, ``rows`` at most, as a table."""
     own = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("label")).where("label_id IS NOT NULL AND label IN (0, 1)")
     ids = id_text(docs).select("doc_id").join(own, F.col("doc_id") == F.col("label_id")).where(learn(F.col("doc_id")))
-    picked = ids.select("label_id", "label").orderBy(F.xxhash64("label_id"), "label").limit(rows)
+    picked = ids.select("label_id", "label").orderBy(F.xxhash64("label_id"), "label_id", "label").limit(rows)
     joined = id_text(docs).join(F.broadcast(picked.dropDuplicates()), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
 
     def run(batch):
@@ -229,42 +232,83 @@ def labelled_words(docs: DataFrame, labels: DataFrame, model: CharModel, rows: i
         words = [sorted({w for t in restorer.tokens(x) for w in restorer.forms(t)}) for x in texts_of(batch)]
         yield {"doc_id": batch.column("doc_id"), "words": words, "label": batch.column("label")}
 
-    found = map_batches(joined, run, "doc_id long, words array<string>, label int").collect()
-    return [(r.words, r.label) for r in sorted(found, key=lambda r: (r.doc_id, r.label, r.words))]
+    return stored(map_batches(joined, run, "doc_id long, words array<string>, label int"))
+
+
+def learn_classifier(sample: DataFrame) -> Classifier:
+    """Features are made on the executors; only those of three or more toxic documents, and their numbers, come here."""
+
+    def of_toxic(batch):
+        on = Counter(f for words in batch.column("words").to_pylist() for f in {f for w in words for f in word_features(w)})
+        yield {"feature": list(on), "n": list(on.values())}
+
+    counts = map_batches(sample.where("label = 1"), of_toxic, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where("n >= 3")
+    names = sorted(r.feature for r in counts.collect())
+    place = {f: k for k, f in enumerate(names)}
+
+    def numbers(batch):
+        found = [sorted({place[f] for w in words for f in word_features(w) if f in place}) for words in batch.column("words").to_pylist()]
+        yield {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "features": found}
+
+    rows = map_batches(sample, numbers, "doc_id long, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    features = rows["features"].combine_chunks() if rows.num_rows else None
+    values = [features[k].values.to_numpy() for k in range(len(features))] if rows.num_rows else []
+    return fit(names, list(zip(values, rows["label"].to_pylist(), strict=True)))
+
+
+class Scorer:
+    """Scores texts, with the features of words it has seen at hand."""
+
+    def __init__(self, model: CharModel, classifier: Classifier):
+        self.classifier, self.restorer = classifier, Restorer(model)
+        self.seen: dict[str, frozenset[str]] = {}
+
+    def score(self, text: str) -> float:
+        seen, weights = self.seen, self.classifier.weights
+        features: set[str] = set()
+        for token in self.restorer.tokens(text):
+            hits = seen.get(token)
+            if hits is None:
+                if len(seen) > WORDS_KEPT:
+                    seen.clear()
+                hits = seen[token] = frozenset(f for w in self.restorer.forms(token) for f in word_features(w) if f in weights)
+            if hits:
+                features |= hits
+        return self.classifier.score(features)
 
 
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def score_documents(docs: DataFrame, model: CharModel, classifier: Classifier) -> DataFrame:
-    import zlib
-
-    shared = docs.sparkSession.sparkContext.broadcast((model, classifier))
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(model, classifier))
 
     def run(batch):
-        model, classifier = shared.value
-        if not hasattr(classifier, "seen"):
-            classifier.seen, classifier.restorer = {}, Restorer(model)
-        seen, restorer, weights = classifier.seen, classifier.restorer, classifier.weights
-        scores = []
-        for text in texts_of(batch):
-            features: set[str] = set()
-            for token in restorer.tokens(text):
-                hits = seen.get(token)
-                if hits is None:
-                    if len(seen) > WORDS_KEPT:
-                        seen.clear()
-                    hits = seen[token] = frozenset(f for w in restorer.forms(token) for f in word_features(w) if f in weights)
-                if hits:
-                    features |= hits
-            scores.append(classifier.score(features))
+        scores = [shared.value.score(x) for x in texts_of(batch)]
         ids = batch.column("doc_id").to_pylist()
         yield {"doc_id": ids, "held_out": [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids], "score": scores, "predicted": [int(s >= 0.5) for s in scores]}
 
     return map_batches(id_text(docs), run, SCORES)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Counts the language model over docs, fits on the labelled rows that aren't held out, and scores docs."""
+def keep_clean(docs: DataFrame, model: CharModel, classifier: Classifier, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(model, classifier))
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(x or "") < 0.5 for x in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[CharModel, Classifier]:
+    """Counts the language model over docs and fits on the labelled rows that aren't held out."""
     model = count_model(docs)
-    return score_documents(docs, model, fit(labelled_words(docs, labels, model, sample_rows)))
+    return model, learn_classifier(labelled_words(docs, labels, model, sample_rows))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, held_out, score and predicted, one row per document."""
+    return score_documents(docs, *learn(docs, labels, sample_rows))
