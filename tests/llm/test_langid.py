@@ -1,0 +1,76 @@
+import itertools
+
+import numpy as np
+import pytest
+
+from sparkgrove.llm import langid
+
+
+@pytest.mark.parametrize("lengths", [[3], [1, 0, 5, 2], [0, 0], [langid.BLOCK], [langid.BLOCK * 3 + 1, 7, langid.BLOCK * 2, 1]])
+def test_posteriors(lengths):
+    rng = np.random.default_rng(sum(lengths))
+    emit, t = rng.normal(size=(sum(lengths), 3)) * 2, rng.normal(size=(3, 3))
+    got, at = langid.posteriors(emit, np.array(lengths), t), 0
+    for n in lengths:
+        e = emit[at : at + n]
+        if 0 < n <= 5:
+            want = np.zeros((n, 3))
+            for path in itertools.product(range(3), repeat=n):
+                p = np.exp(sum(e[i, y] for i, y in enumerate(path)) + sum(t[a, b] for a, b in itertools.pairwise(path)))
+                for i, y in enumerate(path):
+                    want[i, y] += p
+            assert np.allclose(got[at : at + n], want / want.sum(axis=1, keepdims=True))
+        elif n:
+            f, b = np.zeros((n, 3)), np.zeros((n, 3))
+            f[0] = e[0]
+            for i in range(1, n):
+                f[i] = e[i] + np.logaddexp.reduce(f[i - 1][:, None] + t, axis=0)
+            for i in range(n - 2, -1, -1):
+                b[i] = np.logaddexp.reduce(t + (e[i + 1] + b[i + 1])[None], axis=1)
+            z = f + b
+            assert np.allclose(got[at : at + n], np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True)))
+        at += n
+
+
+def test_grams():
+    features, starts = langid.word_grams(["ab", "a", "ab"])
+    parts = np.split(features, starts[1:])
+    assert [len(p) for p in parts] == [3 + 2 + 1 + 1, 2 + 1 + 1, 7] and (parts[0] == parts[2]).all()
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return langid.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 150)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs = {r.doc_id: r.lang for r in docs.collect()}
+    rows = langid.language_id(docs, 150).collect()
+    assert len(rows) == len(langs)
+    assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]) > 0.99
+
+
+def test_code_switching(spark, model):
+    texts = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id >= 500").collect():
+        texts.setdefault(r.lang, langid.words_of(r.text)[:30])
+    langs = ["en", "de", "fr", "es"]
+    gold = [x for x in langs for _ in texts[x]]
+    got = [y for _, y, _ in model.label_words(" ".join(w for x in langs for w in texts[x]))]
+    assert np.mean([a == b for a, b in zip(got, gold, strict=True)]) > 0.9
+
+
+def test_odd_documents(odd_documents, no_documents, model):
+    rows = langid.predict(odd_documents, model).collect()
+    assert len(rows) == odd_documents.count() and {r.lang_pred for r in rows if r.doc_id in (1, 2, 3)} == {"und"}
+    assert all(r.lang_pred in model.labels for r in rows if r.doc_id in (4, 5, 6, 7, 8)) and all(0 <= r.score <= 1 for r in rows)
+    assert langid.predict(no_documents, model).count() == 0
+    assert model.documents(["123 ... !", ""]) == [("und", 0.0)] * 2
+
+
+def test_few_labels(spark):
+    rows = [(k, f"wort {k}x eins zwei", "de") for k in range(40)] + [(100, None, "de"), (None, "a", "de"), (101, "a b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.language_id(docs).collect()} == {"de", "und"}
+    assert {r.lang_pred for r in langid.language_id(docs.where("lang IS NULL")).collect()} == {"und"}
