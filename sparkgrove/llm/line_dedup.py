@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sparkgrove.llm.common import id_text, stored
 from sparkgrove.llm.graph import components
 
-THRESHOLD = 2
+THRESHOLD = 1
 LEAST_CHARS = 20
 BROADCAST_ROWS = 500_000
 #: Letters that are counted, with six bits each.
@@ -46,11 +46,13 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 def letter_counts(line: Column) -> Column:
     """How often each of LETTERS stands in the line, modulo 64, packed into a long."""
-    packed = F.lit(0).cast("long")
-    for k, c in enumerate(LETTERS):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(63), 6 * k))
-    return packed
+    letters = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(1 << 6 * k).cast("long").alias("unit")) for k, c in enumerate(LETTERS)))
+
+    def add(packed: Column, letter: Column) -> Column:
+        n = F.octet_length(line) - F.octet_length(F.replace(line, letter["c"], F.lit("")))
+        return packed + n.bitwiseAND(F.lit(63)) * letter["unit"]
+
+    return F.aggregate(letters, F.lit(0).cast("long"), add)
 
 
 def letters_apart(x: Column, y: Column) -> Column:
@@ -62,37 +64,49 @@ def letters_apart(x: Column, y: Column) -> Column:
     return total
 
 
-def _start(length: Column, part: int, parts: int) -> Column:
-    """Where segment ``part`` (from 0) of a line begins; the last segments are the longer ones."""
-    short = F.floor(length / parts).cast("int")
-    return short * part + F.greatest(F.lit(0), length % parts - (parts - part))
+def _keys(line: Column, length: Column, threshold: int, rules: list[tuple[int, int, int]]) -> Column:
+    """A hash of (length, number, substring) for each rule: of a line that is ``shorter``, segment ``part`` moved by ``shift``.
+
+    Of the threshold + 1 segments of a line the last ones are the longer ones. The rules are an array that is walked over,
+    which keeps the generated code small.
+    """
+    parts = threshold + 1
+    listed = F.array(*(F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("part"), F.lit(c).alias("shift")) for a, b, c in rules))
 
+    def key(r: Column) -> Column:
+        other, part = length - r["shorter"], r["part"]
+        short, long = _div(other, parts), other % parts
+        begin = short * part + F.greatest(F.lit(0), long - (F.lit(parts) - part))
+        size = short + F.when(part >= F.lit(parts) - long, 1).otherwise(0)
+        return F.xxhash64(other, part, F.substring(line, begin + 1 + r["shift"], size))
 
-def _segment(length: Column, part: int, parts: int) -> tuple[Column, Column]:
-    begin = _start(length, part, parts)
-    return begin, (_start(length, part + 1, parts) if part + 1 < parts else length) - begin
+    return F.transform(listed, key)
 
 
 def index_keys(line: Column, length: Column, threshold: int) -> Column:
     """A hash of (length, number, segment) for each segment."""
-    keys = []
-    for part in range(threshold + 1):
-        begin, size = _segment(length, part, threshold + 1)
-        keys.append(F.xxhash64(length, F.lit(part), F.substring(line, begin + 1, size)))
-    return F.array(*keys)
+    return _keys(line, length, threshold, [(0, part, 0) for part in range(threshold + 1)])
 
 
 def probe_keys(line: Column, length: Column, threshold: int) -> Column:
     """The same hashes of the substrings that may be segments of a line that is up to threshold shorter."""
-    keys = []
+    rules = []
     for shorter in range(threshold + 1):
-        other = length - shorter
         for part in range(threshold + 1):
-            begin, size = _segment(other, part, threshold + 1)
             low = max(-part, shorter - (threshold - part))
             high = min(part, shorter + (threshold - part))
-            keys += [F.xxhash64(other, F.lit(part), F.substring(line, begin + 1 + shift, size)) for shift in range(low, high + 1)]
-    return F.array(*keys)
+            rules += [(shorter, part, shift) for shift in range(low, high + 1)]
+    return _keys(line, length, threshold, rules)
+
+
+def _div(x: Column, y: int) -> Column:
+    """Whole quotient of numbers that aren't negative."""
+    return ((x - x % y) / y).cast("int")
+
+
+def _named(value: Column, then) -> Column:
+    """then(value), with the value worked out once even if it is used in a function of elements."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def edit_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -111,10 +125,6 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     def flip(x: Column) -> Column:
         return x.bitwiseXOR(F.lit(full))
 
-    def named(value: Column, then) -> Column:
-        """then(value), with the value worked out once."""
-        return F.element_at(F.transform(F.array(value), then), 1)
-
     def state(vp: Column, vn: Column, d: Column) -> Column:
         return F.struct(vp.cast("int").alias("vp"), vn.cast("int").alias("vn"), d.cast("int").alias("d"))
 
@@ -123,7 +133,7 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
 
         def with_equal(eq: Column) -> Column:
             d0 = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(F.lit(full))
-            return named(d0, with_diagonal)
+            return _named(d0, with_diagonal)
 
         def with_diagonal(d0: Column) -> Column:
             hp, hn = vn.bitwiseOR(flip(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
@@ -138,7 +148,7 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
                 eq = eq + F.when(F.get(a, i + (k - threshold)) == own, 1 << k).otherwise(0)
             return eq
 
-        return named(named(F.get(b, i), equal), with_equal)
+        return _named(_named(F.get(b, i), equal), with_equal)
 
     start = state(F.lit(full - (1 << threshold) + 1), F.lit(0), F.lit(threshold))
     return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step)["d"]
@@ -163,8 +173,9 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = L
     wanted = _limited(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = stored(lines.join(wanted, "id", "left_semi").select("id", "line").dropDuplicates(["id"]))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    chars = both.where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= threshold).select("a", "b", characters(F.col("line_a")).alias("chars_a"), characters(F.col("line_b")).alias("chars_b"))
-    return chars.where(edit_distance(F.col("chars_a"), F.col("chars_b"), threshold) <= threshold).select("a", "b")
+    chars = F.struct(characters(F.col("line_a")).alias("a"), characters(F.col("line_b")).alias("b"))
+    near = F.abs(F.char_length("line_a") - F.char_length("line_b")) <= threshold
+    return both.where(F.when(near, _named(chars, lambda c: edit_distance(c["a"], c["b"], threshold))) <= threshold).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -183,9 +194,12 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int
 
 def _kept(lines: Column, nos: Column) -> Column:
     """The lines between the dropped ones, stretch by stretch."""
-    bounds = F.concat(F.array(F.lit(-1)), nos, F.array(F.size(lines)))
-    stretch = lambda k: F.slice(lines, F.get(bounds, k) + 2, F.get(bounds, k + 1) - F.get(bounds, k) - 1)
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(nos)), stretch))
+
+    def of(x: Column) -> Column:
+        stretch = lambda k: F.slice(x["lines"], F.get(x["bounds"], k) + 2, F.get(x["bounds"], k + 1) - F.get(x["bounds"], k) - 1)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["bounds"]) - 2), stretch))
+
+    return _named(lines, lambda x: _named(F.struct(x.alias("lines"), F.concat(F.array(F.lit(-1)), nos, F.array(F.size(x))).alias("bounds")), of))
 
 
 def _with_nos(docs: DataFrame, id_col: str, text_col: str, threshold: int, least_chars: int) -> DataFrame:
