@@ -29,7 +29,7 @@ from sparkgrove.llm.common import id_text, map_batches, ship, stored, texts_of
 
 #: At most so many labelled documents are fitted on.
 SAMPLE_ROWS = 8192
-MAX_FEATURES = 1500
+MAX_FEATURES = 1000
 WORDS_KEPT = 500_000
 SYMBOLS = 28  # 0: not a letter; 1 to 26: a to z; 27: another letter
 # What a character may stand for.
@@ -38,6 +38,7 @@ VOWELS = "aeiou"
 SUBSTITUTE, MASK, SHORTEN, DROP, DROP_LEET = 1.0, 2.5, 0.4, 0.3, 6.0  # costs, as negative logarithms
 TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 ODD = re.compile(r"[^a-zª-￿]|(.)\1\1")
+SPACED_AT_ALL = re.compile(r" [^\s|] [^\s|](?!\S)")
 SPACED = re.compile(r"(?<!\S)[^\s|](?: [^\s|]){2,}(?!\S)")
 
 
@@ -137,26 +138,20 @@ class Restorer:
 
     def __init__(self, model: CharModel):
         self.model = model
-        self.kept: dict[str, tuple[str, ...]] = {}
 
     def forms(self, token: str) -> tuple[str, ...]:
-        got = self.kept.get(token)
-        if got is None:
-            word = token.strip(TRIM)
-            got = (word,) if word else ()
-            if suspicious(token):
-                restored = {self.model.viterbi(lattice_of(x))[0] for x in {token, word} if any(c.isalpha() for c in x)}
-                got = tuple(dict.fromkeys([*got, *sorted(restored - {""})]))
-            if len(self.kept) > WORDS_KEPT:
-                self.kept.clear()
-            self.kept[token] = got
+        word = token.strip(TRIM)
+        got = (word,) if word else ()
+        if suspicious(token):
+            restored = {self.model.viterbi(lattice_of(x))[0] for x in {token, word} if any(c.isalpha() for c in x)}
+            got = tuple(dict.fromkeys([*got, *sorted(restored - {""})]))
         return got
 
     def tokens(self, text: str) -> set[str]:
         text = text.lower()
         found = set(text.split())
-        for m in SPACED.finditer(text):
-            found.add(m[0].replace(" ", "."))
+        if SPACED_AT_ALL.search(text):
+            found.update(m[0].replace(" ", ".") for m in SPACED.finditer(text))
         return found
 
     def restore(self, text: str) -> str:
@@ -181,7 +176,7 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in features), -30, 30))))
 
 
-def fit(names: list[str], rows: list[tuple[np.ndarray, int]], most: int = MAX_FEATURES, steps: int = 400, ridge: float = 1e-5) -> Classifier:
+def fit(names: list[str], rows: list[tuple[np.ndarray, int]], most: int = MAX_FEATURES, steps: int = 200, ridge: float = 1e-5) -> Classifier:
     """rows: the numbers of the features of each document and its label.
 
     The features that speak most for label 1, by their likelihood ratio, are weighed together.
@@ -256,22 +251,31 @@ def learn_classifier(sample: DataFrame) -> Classifier:
     return fit(names, list(zip(values, rows["label"].to_pylist(), strict=True)))
 
 
+NO_FEATURES: frozenset[str] = frozenset()
+
+
 class Scorer:
     """Scores texts, with the features of words it has seen at hand."""
 
     def __init__(self, model: CharModel, classifier: Classifier):
         self.classifier, self.restorer = classifier, Restorer(model)
         self.seen: dict[str, frozenset[str]] = {}
+        #: What the words of features begin with; no other word needs a closer look.
+        self.starts = {f.removeprefix("^")[:3] for f in classifier.weights}
+
+    def hits(self, token: str) -> frozenset[str]:
+        words = [w for w in self.restorer.forms(token) if w[:3] in self.starts]
+        return frozenset(f for w in words for f in word_features(w) if f in self.classifier.weights) if words else NO_FEATURES
 
     def score(self, text: str) -> float:
-        seen, weights = self.seen, self.classifier.weights
+        seen = self.seen
         features: set[str] = set()
         for token in self.restorer.tokens(text):
             hits = seen.get(token)
             if hits is None:
                 if len(seen) > WORDS_KEPT:
                     seen.clear()
-                hits = seen[token] = frozenset(f for w in self.restorer.forms(token) for f in word_features(w) if f in weights)
+                hits = seen[token] = self.hits(token)
             if hits:
                 features |= hits
         return self.classifier.score(features)
