@@ -1,0 +1,28 @@
+import __spark_entry__ as entry
+import duckdb
+import pytest
+
+from sparkgrove import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(columns, values):
+    order = sorted(range(len(columns)), key=lambda k: columns[k])
+    return sorted(str([v[k] for k in order]) for v in values)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    want = con.sql(queries.SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() >= 0
+    assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
