@@ -47,12 +47,17 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Rows and bytes of the batches that go to Python, so that long texts don't add up in a worker.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000}
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for an application, so that their Python finds it wherever it is installed."""
     context = spark.sparkContext
+    for key, least in SMALL_BATCHES.items():
+        if not 0 < int(spark.conf.get(key, "0")) <= least:
+            spark.conf.set(key, least)
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[2]
         folder = tempfile.mkdtemp(prefix="sparkgrove-")

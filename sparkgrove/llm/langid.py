@@ -35,7 +35,9 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The words of a text in lower case; none if it has no letter (a fraction or a superscript is none)."""
+    words = WORD.findall(text.lower())
+    return words if any(c.isalpha() for w in words for c in w) else []
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -66,7 +66,7 @@ def test_odd_documents(odd_documents, no_documents, model):
     assert len(rows) == odd_documents.count() and {r.lang_pred for r in rows if r.doc_id in (1, 2, 3)} == {"und"}
     assert all(r.lang_pred in model.labels for r in rows if r.doc_id in (4, 5, 6, 7, 8)) and all(0 <= r.score <= 1 for r in rows)
     assert langid.predict(no_documents, model).count() == 0
-    assert model.documents(["123 ... !", ""]) == [("und", 0.0)] * 2
+    assert model.documents(["123 ... !", "", "² ½ Ⅷ ①"]) == [("und", 0.0)] * 3
 
 
 def test_few_labels(spark):
