@@ -162,13 +162,13 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = L
     """a, b: hashes of distinct lines within the threshold of each other."""
     lines = split_lines(docs).where(F.char_length("line") >= max(least_chars, threshold + 1)).select(F.xxhash64("line").alias("id"), F.char_length("line").alias("length"), letter_counts(F.col("line")).alias("letters"), "line")
 
-    def entries(keys: Column) -> DataFrame:
-        exploded = lines.select("id", "letters", F.explode(keys).alias("key"))
-        return exploded.repartition("key").dropDuplicates(["key", "id"])
-
-    index = entries(index_keys(F.col("line"), F.col("length"), threshold)).alias("i")
-    probes = entries(probe_keys(F.col("line"), F.col("length"), threshold)).alias("p")
-    near = (F.col("i.key") == F.col("p.key")) & (F.col("i.id") != F.col("p.id")) & (letters_apart(F.col("i.letters"), F.col("p.letters")) <= 2 * threshold)
+    line, length = F.col("line"), F.col("length")
+    own = F.transform(index_keys(line, length, threshold), lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe")))
+    looked_up = F.transform(probe_keys(line, length, threshold), lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe")))
+    entries = lines.select("id", "letters", F.inline(F.concat(own, looked_up))).repartition("key").dropDuplicates(["key", "id", "probe"])
+    # as the kinds are only told apart within the join, both its sides are one exchange and lines are gone through once
+    index, probes = entries.alias("i"), entries.alias("p")
+    near = (F.col("i.key") == F.col("p.key")) & (F.col("i.probe") < F.col("p.probe")) & (F.col("i.id") != F.col("p.id")) & (letters_apart(F.col("i.letters"), F.col("p.letters")) <= 2 * threshold)
     pairs = stored(index.join(probes, near).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct())
     wanted = _limited(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = stored(lines.join(wanted, "id", "left_semi").select("id", "line").dropDuplicates(["id"]))
