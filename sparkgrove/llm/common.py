@@ -13,6 +13,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -100,6 +101,20 @@ def texts_of(batch: pa.RecordBatch) -> list[str]:
     return [x or "" for x in batch.column("text").to_pylist()]
 
 
+def first_by_hash(ids: DataFrame, rows: int) -> DataFrame:
+    """The rows of ids (doc_id and group) whose doc_ids come first by a hash, ``rows`` of each group at most.
+
+    Counts come first, and with them all but about four times the rows go where they are, so that no task gets a share
+    from each of very many partitions.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    counts = ids.groupBy("group").agg(F.count("*").alias("_n"))
+    counts = F.broadcast(counts) if counts.limit(100_001).count() <= 100_000 else counts
+    near = ids.join(counts, "group").where(place * F.col("_n") < 4 * rows).drop("_n")
+    first = W.Window.partitionBy("group").orderBy(place, "doc_id", *(c for c in ids.columns if c not in ("doc_id", "group")))
+    return near.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= rows).drop("_k")
+
+
 def ascii_lower(word: Column) -> Column:
     """Lower-cases A-Z only. Plain lower() does that for ASCII words; translate() is kept for the others."""
     return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(

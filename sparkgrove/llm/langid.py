@@ -23,9 +23,8 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from sparkgrove.llm.common import id_text, map_batches, texts_of
+from sparkgrove.llm.common import first_by_hash, id_text, map_batches, texts_of
 
 SAMPLE_ROWS = 400
 DIMENSIONS = 1 << 16
@@ -222,9 +221,8 @@ def may_learn(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & may_learn(F.col("doc_id")))
-    first = W.Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = own.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows).select(F.col("doc_id").alias("picked_id"), "lang").dropDuplicates()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("group")).where("group IS NOT NULL AND doc_id IS NOT NULL").where(may_learn(F.col("doc_id")))
+    picked = first_by_hash(own, rows).select(F.col("doc_id").alias("picked_id"), F.col("group").alias("lang")).dropDuplicates()
     texts = id_text(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("doc_id", "text", "lang").collect()
     return train([(r.text or "", r.lang) for r in sorted(texts, key=lambda r: (r.doc_id, r.lang, r.text or ""))])
 

@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import id_text, map_batches, ship, stored, texts_of
+from sparkgrove.llm.common import first_by_hash, id_text, map_batches, ship, stored, texts_of
 
 #: At most so many labelled documents are fitted on.
 SAMPLE_ROWS = 8192
 MAX_FEATURES = 1000
-WORDS_KEPT = 500_000
+LEAST_DOCUMENTS = 3
+WORDS_KEPT = 150_000
 SYMBOLS = 28  # 0: not a letter; 1 to 26: a to z; 27: another letter
 # What a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
@@ -176,38 +177,35 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in features), -30, 30))))
 
 
-def fit(names: list[str], rows: list[tuple[np.ndarray, int]], most: int = MAX_FEATURES, steps: int = 200, ridge: float = 1e-5) -> Classifier:
-    """rows: the numbers of the features of each document and its label.
+def choose(on_bad: np.ndarray, on_good: np.ndarray, bad: int, good: int, most: int = MAX_FEATURES) -> np.ndarray:
+    """Numbers of the features that speak most for label 1, by their likelihood ratio. Given: how many documents have each."""
+    if not bad or not good:
+        return np.zeros(0, np.int64)
+    share, both = (bad + 0.5) / (bad + good + 1), on_bad + on_good
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = on_bad * np.log(on_bad / (both * share)) + np.where(on_good > 0, on_good * np.log(on_good / (both * (1 - share))), 0)
+    gain = np.where((on_bad >= LEAST_DOCUMENTS) & (on_bad / bad > on_good / good), gain, 0)
+    return np.lexsort((np.arange(len(gain)), -gain))[: min(most, int((gain > 3).sum()))]
+
 
-    The features that speak most for label 1, by their likelihood ratio, are weighed together.
-    """
+def fit(names: list[str], rows: list[tuple[np.ndarray, int]], steps: int = 300, ridge: float = 1e-5) -> Classifier:
+    """Weights of the named features. rows: the numbers of those in each document, and its label."""
     y = np.array([y for _, y in rows], np.float32)
-    bad, good = int(y.sum()), int(len(y) - y.sum())
-    share = (bad + 0.5) / (len(y) + 1)
+    share = (float(y.sum()) + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
-    if not bad or not good or not names:
+    if not names:
         return Classifier(bias, {})
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
-    feature = np.concatenate([x for x, _ in rows])
-    p = np.bincount(feature, y[owner], len(names))
-    q = np.bincount(feature, 1 - y[owner], len(names))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = p * np.log(p / ((p + q) * share)) + np.where(q > 0, q * np.log(q / ((p + q) * (1 - share))), 0)
-    gain = np.where((p >= 3) & (p / bad > q / good), gain, 0)
-    chosen = np.lexsort((np.arange(len(names)), -gain))[: min(most, int((gain > 3).sum()))]
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    known = place[feature] >= 0
-    x[owner[known], place[feature[known]]] = 1
-    w, m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    x = np.zeros((len(rows), len(names)), np.float32)
+    for row, (found, _) in zip(x, rows, strict=True):
+        row[found] = 1
+    w, m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     w[0] = bias
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:].astype(np.float32), -30, 30)))
         g = np.concatenate([[(p - y).mean()], x.T @ (p - y) / len(y) + ridge * w[1:]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Classifier(float(w[0]), {names[k]: float(z) for k, z in zip(chosen, w[1:], strict=True)})
+        w -= 0.3 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return Classifier(float(w[0]), dict(zip(names, w[1:].tolist(), strict=True)))
 
 
 def may_learn(doc_id: Column) -> Column:
@@ -219,7 +217,7 @@ def labelled_words(docs: DataFrame, labels: DataFrame, model: CharModel, rows: i
     """doc_id, words, label of the labelled documents whose ids come first by hash, ``rows`` at most, as a table."""
     own = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("label")).where("label_id IS NOT NULL AND label IN (0, 1)")
     ids = id_text(docs).select("doc_id").join(own, F.col("doc_id") == F.col("label_id")).where(learn(F.col("doc_id")))
-    picked = ids.select("label_id", "label").orderBy(F.xxhash64("label_id"), "label_id", "label").limit(rows)
+    picked = first_by_hash(ids.select("doc_id", F.lit(0).alias("group"), "label"), rows).select(F.col("doc_id").alias("label_id"), "label")
     joined = id_text(docs).join(F.broadcast(picked.dropDuplicates()), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
 
     def run(batch):
@@ -230,25 +228,34 @@ def labelled_words(docs: DataFrame, labels: DataFrame, model: CharModel, rows: i
     return stored(map_batches(joined, run, "doc_id long, words array<string>, label int"))
 
 
-def learn_classifier(sample: DataFrame) -> Classifier:
-    """Features are made on the executors; only those of three or more toxic documents, and their numbers, come here."""
+def _counted(sample: DataFrame, known: dict[str, int] | None) -> dict[str, int]:
+    """In how many documents of the sample features stand (only known ones, if given), if in LEAST_DOCUMENTS or known."""
 
-    def of_toxic(batch):
-        on = Counter(f for words in batch.column("words").to_pylist() for f in {f for w in words for f in word_features(w)})
+    def run(batch):
+        found = ({f for w in words for f in word_features(w) if known is None or f in known} for words in batch.column("words").to_pylist())
+        on = Counter(f for x in found for f in x)
         yield {"feature": list(on), "n": list(on.values())}
 
-    counts = map_batches(sample.where("label = 1"), of_toxic, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where("n >= 3")
-    names = sorted(r.feature for r in counts.collect())
+    rows = map_batches(sample, run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return {r.feature: r.n for r in (rows if known else rows.where(F.col("n") >= LEAST_DOCUMENTS)).toLocalIterator()}
+
+
+def learn_classifier(sample: DataFrame) -> Classifier:
+    """Features are made and counted on the executors; of each document only the numbers of the chosen ones come here."""
+    sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    on_bad = _counted(sample.where("label = 1"), None)
+    on_good = _counted(sample.where("label = 0"), on_bad) if on_bad else {}
+    names = sorted(on_bad)
+    chosen = choose(np.array([on_bad[f] for f in names], float), np.array([on_good.get(f, 0) for f in names], float), sizes.get(1, 0), sizes.get(0, 0))
+    names = [names[k] for k in chosen]
     place = {f: k for k, f in enumerate(names)}
 
     def numbers(batch):
         found = [sorted({place[f] for w in words for f in word_features(w) if f in place}) for words in batch.column("words").to_pylist()]
         yield {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "features": found}
 
-    rows = map_batches(sample, numbers, "doc_id long, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    features = rows["features"].combine_chunks() if rows.num_rows else None
-    values = [features[k].values.to_numpy() for k in range(len(features))] if rows.num_rows else []
-    return fit(names, list(zip(values, rows["label"].to_pylist(), strict=True)))
+    rows = map_batches(sample, numbers, "doc_id long, label int, features array<int>").collect()
+    return fit(names, [(np.array(r.features, np.int64), r.label) for r in sorted(rows)])
 
 
 NO_FEATURES: frozenset[str] = frozenset()

@@ -5,7 +5,7 @@ import pytest
 
 from sparkgrove.llm import toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +53,7 @@ def test_obfuscated_words_count(learnt):
 
 
 def test_held_out_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"{SF.replace('0.01', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     some = docs.join(labels.select("doc_id"), "doc_id", "left_semi").where("doc_id < 6000")
     rows = {r.doc_id: r for r in toxicity.toxicity(some, labels).collect()}
     truth = [(rows[r.doc_id], r.toxic) for r in labels.collect() if r.doc_id in rows and rows[r.doc_id].held_out]
