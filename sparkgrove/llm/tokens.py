@@ -24,8 +24,8 @@ from pyspark.sql import window as W
 
 from sparkgrove.llm.common import id_text, shared_dir, stored, texts_of, to_arrow
 
-#: Words whose ids a worker keeps; it starts anew when there are more.
-WORDS_KEPT = 1_000_000
+#: Words whose ids a worker keeps; with more of them it takes over only those that come again.
+WORDS_KEPT = 400_000
 LONGEST_WORD_KEPT = 48
 #: Signs after a word that are split off it.
 TAIL = ".,;:!?"
@@ -64,6 +64,9 @@ class TextEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.typecode = "HI"[self.dtype.itemsize == 4]
         self.words: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        signs = [a + b for a in TAIL for b in ("", *TAIL)]
+        self.tails = {x: array(self.typecode, self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in signs}
 
     @classmethod
     def get(cls, path: str) -> TextEncoder:
@@ -71,32 +74,44 @@ class TextEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        """Pieces that the vocabulary's splitting keeps apart anyway, in lower case as its normalizer has it.
-
-        Only for Latin-1 words, whose lower case is plain, and not for what may be a special token in lower case.
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of Latin-1 letters in lower case, which needs no normalizing or splitting."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                plain = word if word.isascii() else word.translate(BYTE_LEVEL)
+                ids = array(self.typecode, [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
+            self.words[word] = ids
+        return ids
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Put the ids of new words at hand; returns those of words too long to keep.
+
+        Letters and signs after them are kept apart by the vocabulary's splitting, and its normalizer takes lower case,
+        which is plain for Latin-1.
         """
-        if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
-            return (word.lower(),)
-        core = word.rstrip(TAIL)
-        if core == word or core and not core[-1].isalpha() or "<|" in word or not (word.isascii() or max(word) < "\u0100"):
-            return (word,)
-        return (core.lower(), word[len(core) :]) if core else (word,)
-
-    def encode_parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of each part. Latin-1 letters in lower case need no normalizing or splitting and go to the model at once."""
-        tokenize, code = self.tokenizer.model.tokenize, self.typecode
-        rest = []
-        for part in parts:
-            if part.isalpha() and (part.isascii() or max(part) < "\u0100") and part.islower():
-                yield part, array(code, [t.id for t in tokenize(part if part.isascii() else part.translate(BYTE_LEVEL))]).tobytes()
-            else:
-                rest.append(part)
+        words, old, rest = self.words, self.old, []
+        for word in new:
+            if word in old:
+                words[word] = old[word]
+                continue
+            core = word if word.isalpha() else word.rstrip(TAIL)
+            if core.isalpha() and len(core) <= LONGEST_WORD_KEPT and (core.isascii() or max(core) < "\u0100"):
+                if core is word:
+                    words[word] = self._letters(core.lower())
+                    continue
+                tail = self.tails.get(word[len(core) :])
+                if tail is not None:
+                    words[word] = self._letters(core.lower()) + tail
+                    continue
+            rest.append(word)
+        once = {}
         for j in range(0, len(rest), 20_000):
             some = rest[j : j + 20_000]
-            for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                yield part, array(code, coded.ids).tobytes()
+            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                (words if len(word) <= LONGEST_WORD_KEPT else once)[word] = array(self.typecode, coded.ids).tobytes()
+        return once
 
     def encode(self, texts: list[str], end: int) -> Iterator[bytes]:
         """The ids of each text and the end id, as bytes of self.dtype."""
@@ -104,16 +119,9 @@ class TextEncoder:
         for k in range(0, len(texts), 1000):
             split = [x.replace("\n", " ").split(" ") for x in texts[k : k + 1000]]
             if len(self.words) > WORDS_KEPT:
-                self.words = {"": b""}
-            words, once = self.words, {}
-            new = {w: self.parts(w) for w in set().union(*split).difference(words)}
-            for part, ids in self.encode_parts(list({p for parts in new.values() for p in parts}.difference(words))):
-                (words if len(part) <= LONGEST_WORD_KEPT else once)[part] = ids
-            if once:
-                for w, parts in new.items():
-                    (words if len(w) <= LONGEST_WORD_KEPT else once)[w] = b"".join([words[p] if p in words else once[p] for p in parts])
-            else:
-                words.update({w: words[p[0]] if len(p) == 1 else words[p[0]] + words[p[1]] for w, p in new.items()})
+                self.words, self.old = {"": b""}, self.words
+            once = self._learn(set().union(*split).difference(self.words))
+            words = self.words
             get = words.__getitem__ if not once else lambda w: words[w] if w in words else once[w]  # noqa: B023
             for x in split:
                 yield b"".join(map(get, x)) + tail
