@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -43,6 +45,11 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_small(df: DataFrame) -> DataFrame:
+    """stored() for a table that is small beside the corpus: in as many files as the cluster has cores at most."""
+    return stored(df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text, so that no other column of the input can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -70,6 +77,38 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+_keepers: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, forget: Callable[[], None]) -> None:
+    """Tell how a worker forgets what it keeps under this name from task to task."""
+    _keepers[name] = forget
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, but a worker that runs it forgets what others keep, and afterwards gives free memory back to the system.
+
+    Workers live on between tasks, beside stages that need the memory for joins.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other, forget in _keepers.items():
+            if other != name:
+                forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """Run fn on each Arrow batch; it yields dicts of columns, which are cast to the schema."""
     arrow = to_arrow(df.sparkSession, schema)
@@ -80,7 +119,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
                 for columns in fn(batch):
                     yield pa.RecordBatch.from_arrays([as_arrow(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def as_arrow(values, kind: pa.DataType):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sparkgrove.llm.common import ascii_lower, id_text, stored
+from sparkgrove.llm.common import ascii_lower, id_text, stored, stored_small
 
 N = 10
 LISTS = 2
@@ -101,9 +101,9 @@ def _hits(words: Column, begin: Column) -> Column:
 
 def phrase_hits(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """doc_id, text, n_words and found: the items with windows in the text and the positions of their words there."""
-    words = stored(item_words(items))
+    words = stored_small(item_words(items))
     vocabulary = words.select(F.explode("words").alias("word")).distinct()
-    plan = stored(anchored(words, word_counts(docs, vocabulary), n))
+    plan = stored_small(anchored(words, word_counts(docs, vocabulary), n))
     anchor_words = plan.select(F.explode(F.transform(F.array_distinct(F.flatten("windows")), lambda p: F.element_at("words", p + 1))).alias("word")).distinct()
     begins = beginnings(store_postings(docs, anchor_words), plan)
     by_doc = begins.groupBy(F.col("doc_id").alias("begin_doc")).agg(F.collect_set(F.struct("item_id", "words", "n", "first")).alias("begins"))
@@ -130,10 +130,10 @@ def proximity_matches(docs: DataFrame, items: DataFrame, distance: int) -> DataF
     Postings are joined by document and stretch of ``distance`` words, so a long document isn't joined with itself.
     """
     docs = id_text(docs)
-    words = stored(item_words(items))
+    words = stored_small(item_words(items))
     terms = words.select("item_id", F.xxhash64("words").alias("words_key"), F.size(F.array_distinct("words")).alias("n_terms"), F.explode(F.array_distinct("words")).alias("word"))
     vocabulary = terms.select("word").distinct()
-    counts = stored(word_counts(docs, vocabulary))
+    counts = stored_small(word_counts(docs, vocabulary))
     by_item = W.Window.partitionBy("item_id", "words_key")
     ranked = terms.join(counts, "word", "left").withColumn("k", F.row_number().over(by_item.orderBy(F.col("n").asc_nulls_first(), "word")))
     possible = ranked.withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(by_item)).where("least > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import stored
+from sparkgrove.llm.common import stored_small
 
 
 def _hang(edges: DataFrame, both: bool) -> DataFrame:
@@ -23,12 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn, until nothing changes. Sums are made before the shuffle and the joins can be
     split, so a node with very many edges is no task of its own; each round is a written table. Empty edges give no rows.
+    edges should be cheap to read twice.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     mark = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = now
-        edges = stored(_hang(_hang(edges, True), False))
+        edges = stored_small(_hang(_hang(edges, True), False))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import id_text, stored
+from sparkgrove.llm.common import id_text, stored, stored_small
 from sparkgrove.llm.graph import components
 
 THRESHOLD = 1
@@ -171,7 +171,7 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = L
     near = (F.col("i.key") == F.col("p.key")) & (F.col("i.probe") < F.col("p.probe")) & (F.col("i.id") != F.col("p.id")) & (letters_apart(F.col("i.letters"), F.col("p.letters")) <= 2 * threshold)
     pairs = stored(index.join(probes, near).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct())
     wanted = _limited(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = stored(lines.join(wanted, "id", "left_semi").select("id", "line").dropDuplicates(["id"]))
+    texts = stored_small(lines.join(wanted, "id", "left_semi").select("id", "line").dropDuplicates(["id"]))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     chars = F.struct(characters(F.col("line_a")).alias("a"), characters(F.col("line_b")).alias("b"))
     near = F.abs(F.char_length("line_a") - F.char_length("line_b")) <= threshold
@@ -180,7 +180,7 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = L
 
 def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
     """key, mark, nos: the numbers of the lines of each document that go."""
-    found = components(stored(line_links(docs, threshold, least_chars)))
+    found = components(stored_small(line_links(docs, threshold, least_chars)))
     found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     own = split_lines(docs).where(F.char_length("line") >= max(least_chars, threshold + 1))
     places = own.select(F.xxhash64("line").alias("id"), F.crc32(F.encode("line", "UTF-8")).alias("check"), "key", "mark", "no")
@@ -189,7 +189,7 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int
     places = stored(places.select(F.coalesce("component", "id").alias("id"), F.when(F.col("component").isNull(), F.col("check")).otherwise(-1).alias("check"), "key", "mark", "no"))
     first = places.groupBy("id", "check").agg(F.min(F.struct("key", "mark", "no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = places.join(first, ["id", "check"]).where(F.struct("key", "mark", "no") != F.col("first"))
-    return stored(gone.select("key", "mark", "no").distinct().groupBy("key", "mark").agg(F.array_sort(F.collect_list("no")).alias("nos")))
+    return stored_small(gone.select("key", "mark", "no").distinct().groupBy("key", "mark").agg(F.array_sort(F.collect_list("no")).alias("nos")))
 
 
 def _kept(lines: Column, nos: Column) -> Column:

@@ -5,16 +5,18 @@
 2. Documents with equal sets are one class; its smallest doc_id stands for it. Of each class the prefix of n-grams
    that any linked class must share is listed as (n-gram, class, size, position).
 3. Classes that share a prefix n-gram are candidates if the length and positional filters let them. Of an n-gram that few
-   classes share all pairs are taken. Of one that many share, a chain and a star of pairs are taken first; then what isn't
+   classes share all pairs are taken. Of one that many share, one class is paired with all others first; then what isn't
    yet connected with the n-gram's largest component is tried against some of its members, and at last against every
    class of another component. So no link between components is lost, but a large group doesn't make all its pairs.
    N-grams frequent by the table are dealt out in salted parts.
-4. Candidates pass a suffix filter (counts of n-grams by hash range bound the overlap) and then have their whole sets
-   compared. The result is the connected components of the links.
+4. Candidates pass a suffix filter: parities of the sets' n-grams by hash, in 2,048 bits, show a number of n-grams that only
+   one of both has, and so bound the overlap beyond the prefix. Then their whole sets are compared. The result is the
+   connected components of the links.
 
 Defined results: null and empty texts have no n-grams and are linked with nothing; a text of fewer words than the n-gram's
 has its whole sequence as its one n-gram; a row without doc_id belongs to its exact copies' component, or to none (null);
-repeated rows give repeated results; no rows give no rows; other columns of the input are not carried.
+repeated rows give repeated results; documents with equal ids but other texts are linked with what any of them is linked
+with; no rows give no rows; other columns of the input are not carried.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import id_text, map_batches, stored, texts_of, to_arrow
+from sparkgrove.llm.common import id_text, map_batches, stored, stored_small, texts_of, tidy, to_arrow
 from sparkgrove.llm.graph import components
 
 WORDS = 5
@@ -38,8 +40,11 @@ FEW = 16
 #: An n-gram in more documents than this is dealt out in parts of about this many rows.
 PART_ROWS = 4096
 #: Members of a component against which others are tried before all are.
-TRIED = 4
-TRIES = 2
+TRIED = 6
+#: Rows of a few numbers, and rows with parities, that are sent to all executors; with more of them a join shuffles.
+BROADCAST_ROWS = 500_000
+BROADCAST_MARKS = 100_000
+TRIES = 1
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -90,11 +95,12 @@ def bucket_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return out
 
 
-SETS = "doc_id long, n int, key1 long, key2 long, ranges long, tokens array<long>, salts array<int>"
+PARITIES = 2048
+SETS = "doc_id long, n int, key1 long, key2 long, bits array<long>, tokens array<long>, salts array<int>"
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """For each document its set's size, two hashes of the set, its counts by hash range and its prefix, rarest first.
+    """For each document its set's size, two hashes of the set, its parities by hash and its prefix, rarest first.
 
     salts: the part for each token of the prefix, -1 where the token isn't dealt out in parts; null if all are -1.
     """
@@ -114,7 +120,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int = WORDS, percent: i
             mine = xxhash.xxh3_64_intdigest(str(key)) & 0x7FFFFFFF
             row = (
                 key, n, xxhash.xxh3_64_intdigest(data) - (1 << 63), xxhash.xxh3_64_intdigest(data, 1) - (1 << 63),
-                int.from_bytes((np.bincount((x >> np.uint64(61)).astype(np.int64), minlength=8) & 255).astype(np.uint8).tobytes(), "little", signed=True),
+                np.packbits(np.bincount((x % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).view(np.int64),
                 x[first].view(np.int64), np.where(parts > 1, mine % np.maximum(parts, 1), -1) if (parts > 1).any() else None,
             )
             for column, value in zip(out.values(), row, strict=True):
@@ -152,8 +158,8 @@ def shared_prefixes(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
         many = np.flatnonzero((sizes > FEW) | (salt[starts] >= 0))
         for k in many:
             at = np.arange(starts[k], starts[k] + sizes[k])
-            left += [at[:-1], np.full(len(at) - 1, at[0])]
-            right += [at[1:], at[1:]]
+            left.append(np.full(len(at) - 1, at[0]))
+            right.append(at[1:])
         if left:
             i, j = np.concatenate(left), np.concatenate(right)
             good = _allowed(n[i].astype(np.int64), pos[i], n[j].astype(np.int64), pos[j], percent) & (rep[i] != rep[j])
@@ -183,7 +189,13 @@ def shared_prefixes(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield from of_runs(*held)
 
     dealt = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", F.xxhash64("rep"))
-    return dealt.select(*names).mapInArrow(run, PAIRS)
+    return dealt.select(*names).mapInArrow(tidy(run), PAIRS)
+
+
+def limited(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Marked for broadcast if it has ``most`` rows (BROADCAST_ROWS) at most."""
+    most = BROADCAST_ROWS if most is None else most
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, words: int = WORDS) -> DataFrame:
@@ -192,38 +204,34 @@ def full_sets(docs: DataFrame, reps: DataFrame, words: int = WORDS) -> DataFrame
     def run(batch):
         yield {"rep": batch.column("doc_id"), "tokens": [shingles(x, words).view(np.int64) for x in texts_of(batch)]}
 
-    return map_batches(docs.join(reps, F.col("doc_id") == F.col("rep"), "left_semi"), run, "rep long, tokens array<long>").dropDuplicates(["rep"])
+    return map_batches(docs.join(limited(reps), F.col("doc_id") == F.col("rep"), "left_semi"), run, "rep long, tokens array<long>")
 
 
-def _suffix_filter(percent: int):
-    """What the counts by hash range, kept modulo 256, say at least of the n-grams that only one of two sets has."""
-    apart = None
-    for k in range(8):
-        x = F.abs(F.shiftrightunsigned("ranges_a", 8 * k).bitwiseAND(255) - F.shiftrightunsigned("ranges_b", 8 * k).bitwiseAND(255))
-        x = F.least(x, 256 - x)
-        apart = x if apart is None else apart + x
-    total = F.col("n_a") + F.col("n_b")
-    return apart <= total - 2 * F.ceil(total * percent / (100 + percent))
+def overlap_possible(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column, percent: int) -> Column:
+    """The suffix filter: n-grams of unlike parity are in one set only."""
+    unlike = F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(unlike, F.lit(0), lambda n, k: n + k)
+    return apart <= n_a + n_b - 2 * F.ceil((n_a + n_b) * percent / (100 + percent))
 
 
-def verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the distinct pairs (a, b) that are linked."""
-    for x in "ab":
-        pairs = pairs.join(sizes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"ranges_{x}")), x)
-    pairs = pairs.where(_suffix_filter(percent)).select("a", "b", "n_a", "n_b")
-    for x in "ab":
-        pairs = pairs.join(sets.select(F.col("rep").alias(x), F.col("tokens").alias(f"tokens_{x}")), x)
-    both = pairs.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"))
-    return both.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
+def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Those of the distinct pairs (a, b) that are linked, by their whole sets."""
+    sets = stored_small(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), words))
+    ends = pairs.select(F.col("b").alias("end")).distinct()
+    pairs = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")).join(limited(pairs), "a")
+    second = sets.join(limited(ends), F.col("rep") == F.col("end"), "left_semi")
+    pairs = pairs.join(second.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    both = pairs.select("a", "b", (F.size("tokens_a") + F.size("tokens_b")).alias("n"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"))
+    return stored(both.where(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b").distinct())
 
 
 def _apart(hot: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries of tokens with classes of more than one component: all of them, and those outside the token's largest."""
     found = components(links)
-    known = hot.join(found, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"))
+    known = hot.join(limited(found), F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", "bits", F.coalesce("component", "rep").alias("component"))
     sizes = known.groupBy("token", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("k", F.col("component"))).alias("most"), F.count("*").alias("n_components")).where("n_components > 1").select("token", F.col("most.component").alias("largest"))
-    known = stored(known.join(largest, "token"))
+    known = stored_small(known.join(limited(stored_small(largest)), "token"))
     return known, known.where("component <> largest")
 
 
@@ -232,37 +240,41 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     docs = id_text(docs)
     table = stored(prefixes(docs, bucket_counts(docs, words), words, percent))
     keys = ["n", "key1", "key2"]
-    classes = stored(table.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")))
-    own = table.where("n > 0").join(classes.where("rep IS NOT NULL").select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    own = own.select(F.col("doc_id").alias("rep"), "n", "ranges", F.posexplode(F.arrays_zip("tokens", F.coalesce("salts", F.transform("tokens", lambda t: F.lit(-1))).alias("salts"))).alias("pos", "e"))
-    entries = own.select(F.col("e.tokens").alias("token"), F.col("e.salts").alias("salt"), "rep", "n", "pos")
-    first = stored(shared_prefixes(entries, percent))
-    hot = first.where("token IS NOT NULL").select("token", "rep", "n", "pos")
-    tried = stored(first.where("a IS NOT NULL").select("a", "b").distinct())
+    classes = stored_small(table.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")))
+    own = table.where("n > 0").join(limited(classes.where("rep IS NOT NULL").select("rep").distinct()), F.col("doc_id") == F.col("rep"), "left_semi")
+    own = own.select(F.col("doc_id").alias("rep"), "n", F.posexplode(F.arrays_zip("tokens", F.coalesce("salts", F.transform("tokens", lambda t: F.lit(-1))).alias("salts"))).alias("pos", "e"))
+    first = stored(shared_prefixes(own.select(F.col("e.tokens").alias("token"), F.col("e.salts").alias("salt"), "rep", "n", "pos"), percent))
     active = first.select(F.explode(F.array("a", "b", "rep")).alias("rep")).where("rep IS NOT NULL").distinct()
-    sets = stored(full_sets(docs, active, words))
-    sizes = stored(table.join(active, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", "ranges").dropDuplicates(["rep"]))
-    links = stored(verified(tried, sizes, sets, percent))
-
-    def allowed(x: str, y: str):
-        n1, p1, n2, p2 = (F.col(f"{t}.{c}") for t in (x, y) for c in ("n", "pos"))
+    marks = stored_small(table.join(limited(active), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", "bits"))
+    pairs = first.where("a IS NOT NULL").select("a", "b").distinct()
+    near_marks = limited(marks, BROADCAST_MARKS)
+    for x in "ab":
+        pairs = pairs.join(near_marks.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    possible = overlap_possible(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), percent)
+    tried = stored_small(pairs.where(possible).select("a", "b").distinct())
+    links = verified(docs, tried, words, percent)
+
+    def allowed(x: str, y: str) -> Column:
+        """Length, positional and suffix filters between two entries of one token."""
+        n1, p1, b1, n2, p2, b2 = (F.col(f"{t}.{c}") for t in (x, y) for c in ("n", "pos", "bits"))
         overlap = F.ceil((n1 + n2) * percent / (100 + percent))
-        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= overlap)
+        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= overlap) & overlap_possible(n1, b1, n2, b2, percent)
 
     def more(pairs: DataFrame) -> None:
         nonlocal tried, links
-        fresh = stored(pairs.select(F.least("o.rep", "x.rep").alias("a"), F.greatest("o.rep", "x.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        fresh = stored_small(pairs.select(F.least("o.rep", "x.rep").alias("a"), F.greatest("o.rep", "x.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(fresh)
-        links = links.unionByName(stored(verified(fresh, sizes, sets, percent)))
+        links = links.unionByName(verified(docs, fresh, words, percent))
 
-    if hot.limit(1).count():
+    if first.where("token IS NOT NULL").limit(1).count():
+        hot = stored_small(first.where("token IS NOT NULL").select("token", "rep", "n", "pos").join(near_marks.select("rep", "n", "bits"), ["rep", "n"]))
+        same = F.col("o.token") == F.col("x.token")
         for k in range(TRIES):
             known, others = _apart(hot, links)
-            some = _members(known, k)
-            more(others.alias("o").join(some.alias("x"), F.col("o.token") == F.col("x.token")).where(allowed("o", "x")))
+            more(others.alias("o").join(limited(stored_small(_members(known, k)), BROADCAST_MARKS).alias("x"), same & allowed("o", "x")))
         known, others = _apart(hot, links)
         different = (F.col("o.component") != F.col("x.component")) & ((F.col("x.component") == F.col("x.largest")) | (F.col("o.rep") < F.col("x.rep")))
-        more(others.alias("o").join(known.alias("x"), (F.col("o.token") == F.col("x.token")) & different & allowed("o", "x")))
+        more(known.alias("x").join(limited(others, BROADCAST_MARKS).alias("o"), same & different & allowed("o", "x")))
     found = components(links)
     named = table.select("doc_id", *keys).join(classes, keys, "left").join(found, F.col("rep") == F.col("node"), "left")
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
@@ -271,7 +283,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 def _members(known: DataFrame, seed: int) -> DataFrame:
     """TRIED members of each token's largest component, by a hash; sums of minima, so no group is gathered."""
     largest = known.where("component = largest")
-    minima = [F.min_by(F.struct("rep", "n", "pos"), F.xxhash64("rep", F.lit(seed * TRIED + k))).alias(f"m{k}") for k in range(TRIED)]
+    minima = [F.min_by(F.struct("rep", "n", "pos", "bits"), F.xxhash64("rep", F.lit(seed * TRIED + k))).alias(f"m{k}") for k in range(TRIED)]
     return largest.groupBy("token").agg(*minima).select("token", F.explode(F.array_distinct(F.array(*(f"m{k}" for k in range(TRIED))))).alias("m")).select("token", "m.*")
 
 

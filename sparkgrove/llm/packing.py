@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkgrove.llm.common import id_text, texts_of, to_arrow
+from sparkgrove.llm.common import id_text, texts_of, tidy, to_arrow
 from sparkgrove.llm.tokens import TextEncoder
 
 BLOCK_WINDOWS = 192
@@ -165,4 +165,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, capacity: int = 20
         if out[0]:
             yield flush()
 
-    return id_text(docs).mapInArrow(run, PIECES)
+    return id_text(docs).mapInArrow(tidy(run, "words"), PIECES)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sparkgrove.llm.common import id_text, shared_dir, stored, texts_of, to_arrow
+from sparkgrove.llm.common import id_text, keeps, shared_dir, stored, texts_of, tidy, to_arrow
 
 #: Words whose ids a worker keeps; with more of them it takes over only those that come again.
 WORDS_KEPT = 400_000
@@ -74,6 +74,12 @@ class TextEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Let go of the words kept."""
+        for x in cls._open.values():
+            x.words, x.old = {"": b""}, {}
+
     def _letters(self, word: str) -> bytes:
         """Ids of a word of Latin-1 letters in lower case, which needs no normalizing or splitting."""
         ids = self.words.get(word)
@@ -127,6 +133,9 @@ class TextEncoder:
                 yield b"".join(map(get, x)) + tail
 
 
+keeps("words", TextEncoder.forget)
+
+
 # ---- Elias-Fano ---------------------------------------------------------------------------------------------------
 
 
@@ -258,7 +267,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, path: str | Non
             yield row()
 
     dealt = id_text(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(dealt.mapInArrow(run, FILES), path or shared_dir(spark))
+    return stored(dealt.mapInArrow(tidy(run, "words"), FILES), path or shared_dir(spark))
 
 
 def with_starts(files: DataFrame) -> DataFrame:
@@ -285,4 +294,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(starts + start, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())], schema=arrow)
 
-    return with_starts(files).select("start", "file").mapInArrow(run, DIGEST)
+    return with_starts(files).select("start", "file").mapInArrow(tidy(run), DIGEST)
