@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import first_by_hash, id_text, map_batches, ship, stored, texts_of
+from sparkgrove.llm.common import first_by_hash, id_text, map_batches, ship, stored, texts_of, tidy
 
 #: At most so many labelled documents are fitted on.
 SAMPLE_ROWS = 8192
@@ -39,6 +39,7 @@ VOWELS = "aeiou"
 SUBSTITUTE, MASK, SHORTEN, DROP, DROP_LEET = 1.0, 2.5, 0.4, 0.3, 6.0  # costs, as negative logarithms
 TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 ODD = re.compile(r"[^a-zª-￿]|(.)\1\1")
+SIGN_AT_END = re.compile(r"^[@$]{1,2}[a-z]|[a-z][@$]{1,2}$")
 SPACED_AT_ALL = re.compile(r" [^\s|] [^\s|](?!\S)")
 SPACED = re.compile(r"(?<!\S)[^\s|](?: [^\s|]){2,}(?!\S)")
 
@@ -110,8 +111,13 @@ def lattice_of(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def suspicious(word: str) -> bool:
-    return bool(ODD.search(word)) and any(c.isalpha() for c in word)
+def suspicious(token: str) -> bool:
+    """Signs or digits among its letters, drawn-out letters, or one or two signs at an end that often stand for letters.
+
+    Other signs around a word are punctuation.
+    """
+    word = token.strip(TRIM)
+    return bool(ODD.search(word) or SIGN_AT_END.search(token)) and any(c.isalpha() for c in word)
 
 
 def count_model(docs: DataFrame) -> CharModel:
@@ -311,7 +317,7 @@ def keep_clean(docs: DataFrame, model: CharModel, classifier: Classifier, text_c
         for batch in batches:
             yield batch.filter(pa.array([shared.value.score(x or "") < 0.5 for x in batch.column(text_col).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[CharModel, Classifier]:
