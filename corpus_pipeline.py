@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgrove.llm import decontamination, line_dedup, ngram_join, packing, toxicity
-from sparkgrove.llm.common import stored, table
+from sparkgrove.llm.common import stored, stored_small, table
 from sparkgrove.llm.queries import WORD_BPE
 
 
@@ -39,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A document without an id stays unless it is a copy of one that has an id.
     """
-    found = stored(ngram_join.ngram_components(docs, words=5, percent=80))
+    found = stored_small(ngram_join.ngram_components(docs, words=5, percent=80))
     kept = without(docs, found.where("component_id <> doc_id").select("doc_id"))
     if found.where("doc_id IS NULL AND component_id IS NOT NULL").limit(1).count():
         copies = docs.where("doc_id IS NULL").select("text").distinct().join(docs.where("doc_id IS NOT NULL").select("text").distinct(), "text", "left_semi")
@@ -53,8 +53,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten consecutive words of a benchmark item go."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10)
-    return without(docs, stored(found.where("contaminated").select("doc_id")))
+    # stored first, so that the filter on it isn't worked out within the search
+    found = stored(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10).select("doc_id", "contaminated"))
+    return without(docs, found.where("contaminated").select("doc_id"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

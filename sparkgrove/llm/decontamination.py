@@ -108,7 +108,9 @@ def phrase_hits(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     begins = beginnings(store_postings(docs, anchor_words), plan)
     by_doc = begins.groupBy(F.col("doc_id").alias("begin_doc")).agg(F.collect_set(F.struct("item_id", "words", "n", "first")).alias("begins"))
     joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("begin_doc")), "left").select("doc_id", "text", raw_words(F.col("text")).alias("doc_words"), "begins")
-    found = F.transform(F.coalesce("begins", F.array().cast(by_doc.schema["begins"].dataType)), lambda b: F.struct(b["item_id"].alias("item_id"), _hits(F.col("doc_words"), b).alias("hits")))
+    begins = F.coalesce("begins", F.array().cast(by_doc.schema["begins"].dataType))
+    # the words are bound in a function of elements, so that they are split once however the plan is rearranged
+    found = F.element_at(F.transform(F.array("doc_words"), lambda words: F.transform(begins, lambda b: F.struct(b["item_id"].alias("item_id"), _hits(words, b).alias("hits")))), 1)
     return joined.select("doc_id", "text", F.size("doc_words").cast("long").alias("n_words"), F.filter(found, lambda f: F.size(f["hits"]) > 0).alias("found"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import window as W
 from sparkgrove.llm.common import id_text, keeps, shared_dir, stored, texts_of, tidy, to_arrow
 
 #: Words whose ids a worker keeps; with more of them it takes over only those that come again.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 LONGEST_WORD_KEPT = 48
 #: Signs after a word that are split off it.
 TAIL = ".,;:!?"
