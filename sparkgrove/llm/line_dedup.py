@@ -89,13 +89,16 @@ def index_keys(line: Column, length: Column, threshold: int) -> Column:
 
 
 def probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """The same hashes of the substrings that may be segments of a line that is up to threshold shorter."""
+    """The same hashes of the substrings that may be segments of a line that is up to threshold shorter.
+
+    Those of unmoved segments at the line's own length are left out, as index_keys has them.
+    """
     rules = []
     for shorter in range(threshold + 1):
         for part in range(threshold + 1):
             low = max(-part, shorter - (threshold - part))
             high = min(part, shorter + (threshold - part))
-            rules += [(shorter, part, shift) for shift in range(low, high + 1)]
+            rules += [(shorter, part, shift) for shift in range(low, high + 1) if shorter or shift]
     return _keys(line, length, threshold, rules)
 
 
@@ -166,9 +169,10 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = L
     own = F.transform(index_keys(line, length, threshold), lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe")))
     looked_up = F.transform(probe_keys(line, length, threshold), lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe")))
     entries = lines.select("id", "letters", F.inline(F.concat(own, looked_up))).repartition("key").dropDuplicates(["key", "id", "probe"])
-    # as the kinds are only told apart within the join, both its sides are one exchange and lines are gone through once
+    # as the kinds are only told apart within the join, both its sides are one exchange and lines are gone through once;
+    # lines of one length find each other's unmoved segments by the index entries of both
     index, probes = entries.alias("i"), entries.alias("p")
-    near = (F.col("i.key") == F.col("p.key")) & (F.col("i.probe") < F.col("p.probe")) & (F.col("i.id") != F.col("p.id")) & (letters_apart(F.col("i.letters"), F.col("p.letters")) <= 2 * threshold)
+    near = (F.col("i.key") == F.col("p.key")) & ((F.col("i.probe") < F.col("p.probe")) | (~(F.col("i.probe") | F.col("p.probe")) & (F.col("i.id") < F.col("p.id")))) & (F.col("i.id") != F.col("p.id")) & (letters_apart(F.col("i.letters"), F.col("p.letters")) <= 2 * threshold)
     pairs = stored(index.join(probes, near).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct())
     wanted = _limited(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = stored_small(lines.join(wanted, "id", "left_semi").select("id", "line").dropDuplicates(["id"]))

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkgrove.llm import line_dedup
+import corpus_pipeline
+from sparkgrove.llm import line_dedup, queries
 
 
 def distance(a, b):
@@ -99,3 +100,18 @@ def test_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a line that is long enough\nother", "en"), (2, "a line that is long enough!", "de"), (3, None, "fr")], "doc_id long, text string, lang string")
     out = {r.doc_id: (r.text, r.lang) for r in line_dedup.dedup_lines(docs).collect()}
     assert out == {1: ("a line that is long enough\nother", "en"), 2: (None, "de"), 3: (None, "fr")}
+
+
+def test_query_and_stage_link_two_edits(spark, monkeypatch):
+    rows = [(1, "a line that is long enough\nother"), (2, "a lime that is lung enough"), (3, "a line that is long enouxyz")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    assert {r.doc_id: (r.dropped, r.text) for r in queries.op7_line_dedup(spark, "").collect()} == brute(rows, 2, 20)
+    assert {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == {1, 3}
+
+
+def test_documents_two_edits(documents):
+    docs = documents.where("length(text) < 1500").limit(60)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    out = line_dedup.line_report(docs, threshold=2).collect()
+    assert {r.doc_id: (r.dropped, r.text) for r in out} == brute(rows, 2, 20)
