@@ -38,8 +38,11 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 VOWELS = "aeiou"
 SUBSTITUTE, MASK, SHORTEN, DROP, DROP_LEET = 1.0, 2.5, 0.4, 0.3, 6.0  # costs, as negative logarithms
 TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Of these, signs that stand for letters.
+SIGNS = "".join(c for c in LEET if not c.isalnum()) + "*"
 ODD = re.compile(r"[^a-zª-￿]|(.)\1\1")
-SIGN_AT_END = re.compile(r"^[@$]{1,2}[a-z]|[a-z][@$]{1,2}$")
+#: A sign that stands for letters beside a letter at an end of a token; other signs there are punctuation.
+SIGN_AT_END = re.compile(r"^[!-/:-@\[-`{-~]*[%s][^\W\d_]|[^\W\d_][%s][!-/:-@\[-`{-~]*$" % ((re.escape(SIGNS),) * 2))
 SPACED_AT_ALL = re.compile(r" [^\s|] [^\s|](?!\S)")
 SPACED = re.compile(r"(?<!\S)[^\s|](?: [^\s|]){2,}(?!\S)")
 
@@ -112,7 +115,7 @@ def lattice_of(word: str) -> list[list[tuple[str, float]]]:
 
 
 def suspicious(token: str) -> bool:
-    """Signs or digits among its letters, drawn-out letters, or one or two signs at an end that often stand for letters.
+    """Signs or digits among its letters, drawn-out letters, or signs that stand for letters beside a letter at an end.
 
     Other signs around a word are punctuation.
     """
@@ -120,6 +123,44 @@ def suspicious(token: str) -> bool:
     return bool(ODD.search(word) or SIGN_AT_END.search(token)) and any(c.isalpha() for c in word)
 
 
+def edges(token: str) -> set[str]:
+    """The token without signs at its ends, and with each number of runs of those next to the word that stand for letters."""
+    word = token.strip(TRIM)
+    begin = token.index(word)
+    before, after = token[:begin], token[begin + len(word) :]
+    before = before[len(before.rstrip(SIGNS)) :]
+    after = after[: len(after) - len(after.lstrip(SIGNS))]
+    befores = [before[m.start() :] for m in re.finditer(r"(.)\1*", before)] + [""]
+    afters = [after[: m.end()] for m in re.finditer(r"(.)\1*", after)] + [""]
+    return {x + word + y for x in befores for y in afters}
+
+
+def lattices_of(spelling: str) -> list[list[list[tuple[str, float]]]]:
+    """The lattices of one of edges(): one for each letter that its outer signs may be.
+
+    The model knows too little of a word's ends to tell these letters apart. That such a sign is dropped is another one's
+    reading.
+    """
+    found = [lattice_of(spelling)]
+    for end in (0, -1):
+        if spelling[end] in TRIM:
+            letters = dict.fromkeys(x[0] for x, _ in found[0][end] if x)
+            found = [[*x[:end], own, *x[end:][1:]] for x in found for c in letters if (own := [y for y in x[end] if y[0].startswith(c)])]
+    return found
+
+
+def beginnings(lattice: list[list[tuple[str, float]]]) -> set[str]:
+    """The first three letters of all words that the lattice offers."""
+    found, whole = {""}, set()
+    for options in lattice:
+        found = {x + text for x in found for text, _ in options}
+        whole |= {x[:3] for x in found if len(x) >= 3}
+        found = {x for x in found if len(x) < 3}
+        if not found:
+            break
+    return whole | found
+
+
 def count_model(docs: DataFrame) -> CharModel:
     """The model of all words of docs. The counts come together as sums for each of the 28^3 trigrams."""
 
@@ -145,15 +186,27 @@ class Restorer:
 
     def __init__(self, model: CharModel):
         self.model = model
+        self.decoded: dict[str, str] = {}
 
-    def forms(self, token: str) -> tuple[str, ...]:
+    def forms(self, token: str, starts: set[str] | None = None) -> tuple[str, ...]:
+        """Of restored words, those may be left out whose first three letters aren't among starts."""
         word = token.strip(TRIM)
         got = (word,) if word else ()
         if suspicious(token):
-            restored = {self.model.viterbi(lattice_of(x))[0] for x in {token, word} if any(c.isalpha() for c in x)}
+            restored = {word for x in edges(token) for word in self.restored(x, starts)}
             got = tuple(dict.fromkeys([*got, *sorted(restored - {""})]))
         return got
 
+    def restored(self, spelling: str, starts: set[str] | None) -> list[str]:
+        if (words := self.decoded.get(spelling)) is None:
+            lattices = lattices_of(spelling)
+            if starts is not None and starts.isdisjoint({x for lattice in lattices for x in beginnings(lattice)}):
+                return []
+            if len(self.decoded) > WORDS_KEPT:
+                self.decoded.clear()
+            words = self.decoded[spelling] = [self.model.viterbi(x)[0] for x in lattices]
+        return words
+
     def tokens(self, text: str) -> set[str]:
         text = text.lower()
         found = set(text.split())
@@ -164,7 +217,7 @@ class Restorer:
     def restore(self, text: str) -> str:
         """The text with each suspicious word restored, for reading."""
         joined = SPACED.sub(lambda m: m[0].replace(" ", "."), text.lower())
-        return " ".join((self.forms(t) or (t,))[-1] if suspicious(t) else t for t in joined.split())
+        return " ".join((self.model.viterbi(lattice_of(t))[0] or t) if suspicious(t) else t for t in joined.split())
 
 
 def word_features(word: str) -> list[str]:
@@ -226,8 +279,9 @@ def labelled_words(docs: DataFrame, labels: DataFrame, model: CharModel, rows: i
     picked = first_by_hash(ids.select("doc_id", F.lit(0).alias("group"), "label"), rows).select(F.col("doc_id").alias("label_id"), "label")
     joined = id_text(docs).join(F.broadcast(picked.dropDuplicates()), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
 
+    restorer = Restorer(model)
+
     def run(batch):
-        restorer = Restorer(model)
         words = [sorted({w for t in restorer.tokens(x) for w in restorer.forms(t)}) for x in texts_of(batch)]
         yield {"doc_id": batch.column("doc_id"), "words": words, "label": batch.column("label")}
 
@@ -277,7 +331,7 @@ class Scorer:
         self.starts = {f.removeprefix("^")[:3] for f in classifier.weights}
 
     def hits(self, token: str) -> frozenset[str]:
-        words = [w for w in self.restorer.forms(token) if w[:3] in self.starts]
+        words = [w for w in self.restorer.forms(token, self.starts) if w[:3] in self.starts]
         return frozenset(f for w in words for f in word_features(w) if f in self.classifier.weights) if words else NO_FEATURES
 
     def score(self, text: str) -> float:

@@ -83,3 +83,27 @@ def test_scores_dont_depend_on_other_columns(spark):
     own = toxicity.toxicity(docs, labels).collect()
     other = toxicity.toxicity(docs.selectExpr("doc_id", "text", "'x' lang", "'y' source"), labels).collect()
     assert sorted(own) == sorted(other)
+
+
+@pytest.mark.parametrize("word", ["!diot", "|oser", "(lown", "<lown", "+rash", "*diot", "idio+", "scu*"])
+def test_signs_at_the_ends_are_decoded(word):
+    assert toxicity.suspicious(word)
+    assert any(x.strip(toxicity.TRIM) != x for x in toxicity.edges(word))
+
+
+def test_disguised_ends_count(learnt):
+    scorer = toxicity.Scorer(*learnt)
+    clean = "Is and the of nterti thorreou ndernt by for and threea it is. "
+    for word, plain in (("!diot", "idiot"), ("*diot", "idiot"), ("idio+", "idiot"), ("idio+,", "idiot"), ("(!diot", "idiot"), ("+rash", "trash"), ("(lown", "clown"), ("<lown", "clown"), ("$cum", "scum"), ("|oser", "loser")):
+        assert scorer.hits(word) >= scorer.hits(plain) > set(), word
+        assert scorer.score(clean + word + " " + clean) >= scorer.score(clean + plain + " " + clean), word
+    assert scorer.score(clean + "!diot " + clean) > 0.5
+    for word in ("the!", "(and", "threea.", "it?", "*of*"):
+        assert scorer.score(clean + word + " " + clean) < 0.5, word
+
+
+def test_words_left_out_have_no_features(learnt):
+    scorer = toxicity.Scorer(*learnt)
+    for token in ("!diot", "hello!", "(see", "1d10t", "s.t.u.p.1.d", "*diot", "st*pid!!", "a+b", "c++"):
+        every = [w for w in scorer.restorer.forms(token) if w[:3] in scorer.starts]
+        assert scorer.hits(token) == {f for w in every for f in toxicity.word_features(w) if f in scorer.classifier.weights}, token
