@@ -40,7 +40,8 @@ SUBSTITUTE, MASK, SHORTEN, DROP, DROP_LEET = 1.0, 2.5, 0.4, 0.3, 6.0  # costs, a
 TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Of these, signs that stand for letters.
 SIGNS = "".join(c for c in LEET if not c.isalnum()) + "*"
-ODD = re.compile(r"[^a-zª-￿]|(.)\1\1")
+DRAWN_OUT = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1+")
 #: A sign that stands for letters beside a letter at an end of a token; other signs there are punctuation.
 SIGN_AT_END = re.compile(r"^[!-/:-@\[-`{-~]*[%s][^\W\d_]|[^\W\d_][%s][!-/:-@\[-`{-~]*$" % ((re.escape(SIGNS),) * 2))
 SPACED_AT_ALL = re.compile(r" [^\s|] [^\s|](?!\S)")
@@ -120,7 +121,15 @@ def suspicious(token: str) -> bool:
     Other signs around a word are punctuation.
     """
     word = token.strip(TRIM)
-    return bool(ODD.search(word) or SIGN_AT_END.search(token)) and any(c.isalpha() for c in word)
+    odd = not word.isalpha() or DRAWN_OUT.search(word) or SIGN_AT_END.search(token)
+    return bool(odd) and any(c.isalpha() for c in word)
+
+
+def shortened(word: str) -> list[str]:
+    """The word with one of its runs of a letter as a single letter, and with all of them."""
+    if not DOUBLED.search(word):
+        return []
+    return [*(word[: m.start()] + m[1] + word[m.end() :] for m in DOUBLED.finditer(word)), DOUBLED.sub(r"\1", word)]
 
 
 def edges(token: str) -> set[str]:
@@ -195,7 +204,7 @@ class Restorer:
         if suspicious(token):
             restored = {word for x in edges(token) for word in self.restored(x, starts)}
             got = tuple(dict.fromkeys([*got, *sorted(restored - {""})]))
-        return got
+        return tuple(dict.fromkeys([*got, *(x for w in got for x in shortened(w))]))
 
     def restored(self, spelling: str, starts: set[str] | None) -> list[str]:
         if (words := self.decoded.get(spelling)) is None:

@@ -107,3 +107,11 @@ def test_words_left_out_have_no_features(learnt):
     for token in ("!diot", "hello!", "(see", "1d10t", "s.t.u.p.1.d", "*diot", "st*pid!!", "a+b", "c++"):
         every = [w for w in scorer.restorer.forms(token) if w[:3] in scorer.starts]
         assert scorer.hits(token) == {f for w in every for f in toxicity.word_features(w) if f in scorer.classifier.weights}, token
+
+
+def test_signs_beyond_ascii_and_doubled_letters(learnt):
+    assert toxicity.suspicious("idi€t") and toxicity.suspicious("i•d•i•o•t") and not toxicity.suspicious("größe")
+    scorer = toxicity.Scorer(*learnt)
+    for word, plain in (("l€ser", "leser"), ("i•d•i•o•t", "idiot"), ("stuupid", "stupid"), ("looser", "loser"), ("iddioott", "idiot")):
+        assert plain in scorer.restorer.forms(word), word
+        assert scorer.hits(word) >= scorer.hits(plain), word
