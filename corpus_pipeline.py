@@ -37,8 +37,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents linked by their word 5-grams that with the smallest doc_id stays, once.
 
-    A document without an id stays unless it is a copy of one that has an id.
+    A document without an id stays unless it is a copy of one that has an id. Each text of an id counts as a document of its
+    own; those beside the text with the least hash come after all ids.
     """
+    again = stored_small(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.limit(1).count():
+        return _without_near_copies(docs)
+    mark = F.xxhash64("text")
+    texts = stored(docs.join(ngram_join.limited(again), "doc_id", "left_semi").select("doc_id", mark.alias("_mark")).distinct())
+    others = texts.join(texts.groupBy("doc_id").agg(F.min("_mark").alias("_least")), "doc_id").where("_mark <> _least")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    others = stored(others.select(F.col("doc_id").alias("_id"), "_mark", (F.monotonically_increasing_id() + (last + 1)).alias("_new")))
+    told = docs.join(ngram_join.limited(others), (F.col("doc_id") == F.col("_id")) & (mark == F.col("_mark")), "left")
+    told = told.withColumn("_own", F.col("doc_id")).withColumn("doc_id", F.coalesce("_new", "doc_id"))
+    return _without_near_copies(told.drop("_id", "_mark", "_new")).withColumn("doc_id", F.col("_own")).select(*docs.columns)
+
+
+def _without_near_copies(docs: DataFrame) -> DataFrame:
+    """The same for documents whose equal ids have equal texts."""
     found = stored_small(ngram_join.ngram_components(docs, words=5, percent=80))
     kept = without(docs, found.where("component_id <> doc_id").select("doc_id"))
     if found.where("doc_id IS NULL AND component_id IS NOT NULL").limit(1).count():

@@ -52,3 +52,14 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in cleaned.collect()) == [0, 0, 1, 2, 3, 3, 4, 5, 7]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_other_texts_of_an_id_stay(spark):
+    text, other, third = "a b c d e f g", "quite another text that is no copy of it", "one more text of the first id that is alone"
+    rows = [(1, text), (3, text), (3, other), (3, other), (5, other), (1, third), (None, third), (None, "without an id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(t for _, t in found) == sorted([text, other, third, "without an id"])
+    assert {i for i, t in found if t == third} == {1} and (None, "without an id") in found
