@@ -63,3 +63,12 @@ def test_other_texts_of_an_id_stay(spark):
     found = [(r.doc_id, r.text) for r in kept.collect()]
     assert sorted(t for _, t in found) == sorted([text, other, third, "without an id"])
     assert {i for i, t in found if t == third} == {1} and (None, "without an id") in found
+
+
+def test_contaminated_without_an_id_or_with_a_shared_one(spark, monkeypatch):
+    item = "one two three four five six seven eight nine ten"
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: spark.createDataFrame([(1, item)], "item_id long, text string"))
+    rows = [(None, "so " + item), (None, "clean"), (4, item + " so"), (4, "clean too"), (5, item), (5, item), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "clean"), (4, "clean too"), (6, "")]
