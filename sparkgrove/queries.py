@@ -59,7 +59,8 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.with_text(corpora.documents(spark, sf_dir))
 
 
-def matched(spark: SparkSession, sf_dir: str, found: SearchPlan, cap: int = matching.LINE_CAP) -> DataFrame:
+def matched(spark: SparkSession, sf_dir: str, found: SearchPlan, cap: int = 1 << 30) -> DataFrame:
+    """All matching lines, as the queries' SQL has them, unless a cap is named."""
     return matching.matching_lines(texts(spark, sf_dir), found, cap)
 
 
@@ -185,7 +186,7 @@ string_agg(path || ':' || match_count, ',' ORDER BY path) FILTER (k <= 3) AS sho
 def search_results(spark, sf_dir):
     files = corpora.documents(spark, sf_dir)
     repos = files.select("repo").distinct().select("repo", F.concat(F.lit("https://example.org/"), "repo").alias("url"), F.lit(None).cast("string").alias("ref"), F.lit("main").alias("resolved_ref"))
-    out = search_frames(files, None, plan("the"), 3, details=repos)
+    out = search_frames(files, None, plan("the"), 3, cap=1 << 30, details=repos)
     shown = F.array_join(F.transform("files", lambda f: F.concat(f["path"], F.lit(":"), f["match_count"].cast("string"))), ",")
     return out.select("repo", "total_file_count", "total_match_count", F.size("files").alias("n_shown"), "url", "git_ref", shown.alias("shown"))
 

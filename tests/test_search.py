@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkgrove import queries
 from sparkgrove.engine import ResultCache, SearchEngine, checked_glob, search_frames
 from sparkgrove.functions.globs import GlobError
 from sparkgrove.operators import index, matching, shaping
@@ -167,3 +168,13 @@ def test_status_and_details(spark, engine):
     engine.details = spark.createDataFrame([("a", "https://x/a", None, "main"), ("b", "https://x/b", "dev", "main")], "repo string, url string, ref string, resolved_ref string")
     got = {r["repo"]: (r["url"], r["git_ref"]) for r in engine.search("fn ")["results"]}
     assert got == {"a": ("https://x/a", "main"), "b": ("https://x/b", "dev")}
+
+
+def test_queries_count_all_lines_of_a_file(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(1)
+    docs.withColumn("text", F.repeat(F.lit("the License\n"), 1500)).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("literal_file_matches", "literal_ci"):
+        assert [r.match_count for r in queries.QUERIES[name](spark, str(tmp_path)).collect()] == [1500], name
+    assert queries.QUERIES["match_ranges"](spark, str(tmp_path)).count() == 1500
+    for name in ("repo_totals", "search_results"):
+        assert [r.total_match_count for r in queries.QUERIES[name](spark, str(tmp_path)).collect()] == [1500], name
