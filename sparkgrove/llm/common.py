@@ -50,6 +50,13 @@ def stored_small(df: DataFrame) -> DataFrame:
     return stored(df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)))
 
 
+def limited(df: DataFrame, rows: int, weight: Column | None = None, most: int = 0) -> DataFrame:
+    """Marked for broadcast if it has ``rows`` rows at most, and a sum of weights of ``most`` at most; else joins shuffle."""
+    first = df.limit(rows + 1)
+    n, total = (first.count(), 0) if weight is None else first.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= most else df
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text, so that no other column of the input can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -3,15 +3,23 @@
 Two lines are linked if their edit distance is at most ``threshold``. A line is split into threshold + 1 segments of near-equal
 length; a line within the threshold has one of them unchanged, at most so far from its place as the rule of multi-match
 aware selection says. So each line puts its segments into an index by (length, number, segment) and probes it with its
-substrings for lengths from its own down to threshold less. Counts of ten letters go with each entry; as an edit changes
-two counts by one at most, most false matches fall within the join and groups with a common segment don't make all
-their pairs. What is left is verified once a pair with a banded bit-parallel edit distance.
+substrings for lengths from its own down to threshold less. Counts of nine letters go with each entry; as an edit changes
+two counts by one at most, most false matches fall within the join. What is left is verified once a pair with a banded
+bit-parallel edit distance, between what their equal beginnings and ends leave.
+
+1. Equal lines are collapsed first: only distinct lines, as hashes with their keys, are shuffled and indexed.
+2. Entries of one key meet in one task, but for keys whose bucket holds far more than its share (a table of 2^18 buckets
+   counts all entries): these are dealt out in salted parts.
+3. Of a key that few lines share all pairs are taken. Of one that many share, its line with most copies is paired with all
+   others first; then what isn't connected with the key's largest component is tried against some of its members, and at
+   last against every line of another component, by keys made of the rest of the line. So no link between components is
+   lost, but a large group of near copies doesn't make all its pairs.
 
 Classes of lines are the connected components of links. Of each class the first line stays, by (doc_id, line number); the
-others go. Lines under ``least_chars`` take no part and always stay.
+others go. Lines of blanks only take no part and always stay; lines under ``least_chars`` have exact repeats only.
 
-Only hashes, segments' hashes and counts are shuffled. Whole texts are if there are more changed documents than
-``BROADCAST_ROWS``; up to that number the list of dropped lines goes to all executors instead.
+Only hashes, segments' hashes and counts are shuffled, and the texts of lines that share a key. Whole texts are if there
+are more changed documents than ``BROADCAST_ROWS``; up to that number the list of dropped lines goes to all executors.
 
 Defined results: a null text has no lines and stays null; lines are what stands between line feeds; documents of equal ids
 and texts get equal results, those of equal ids and other texts go by a hash of the text; a null doc_id comes first; no
@@ -22,37 +30,51 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from sparkgrove.llm.common import id_text, stored, stored_small
+from sparkgrove.llm.common import id_text, limited, stored, stored_small
 from sparkgrove.llm.graph import components
 
-THRESHOLD = 1
-LEAST_CHARS = 20
+THRESHOLD = 2
 BROADCAST_ROWS = 500_000
-#: Letters that are counted, with six bits each.
-LETTERS = "entaiorshd"
-
-
-def _limited(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has BROADCAST_ROWS rows at most."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+#: Line numbers in the list of dropped lines, when it is sent to all executors.
+BROADCAST_NUMBERS = 8_000_000
+#: Letters that are counted, with six bits each; the bits above them hold the number of the entry's rule.
+LETTERS = "entaiorsh"
+RULE_AT = 6 * len(LETTERS)
+BUCKETS = 1 << 18
+#: A bucket with more entries than this, and than four times the mean, has its keys dealt out in parts.
+PART_ROWS = 4096
+#: Up to so many entries of one key are paired with each other at once.
+FEW = 16
+#: Members of a component against which others are tried before all are.
+TRIED = 4
+BLANKS = " \t\r\v\f"
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """key (of the document's id), mark (of its text), no (from 0) and line."""
+    """key (of the document's id), mark (of its text), no (from 0) and line, of lines that aren't blank."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("mark"), "text")
-    return keyed.select("key", "mark", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    lines = keyed.select("key", "mark", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return lines.where(F.btrim("line", F.lit(BLANKS)) != "")
 
 
-def letter_counts(line: Column) -> Column:
-    """How often each of LETTERS stands in the line, modulo 64, packed into a long."""
-    letters = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(1 << 6 * k).cast("long").alias("unit")) for k, c in enumerate(LETTERS)))
+def line_id(line: Column) -> Column:
+    return F.xxhash64(line)
 
-    def add(packed: Column, letter: Column) -> Column:
-        n = F.octet_length(line) - F.octet_length(F.replace(line, letter["c"], F.lit("")))
-        return packed + n.bitwiseAND(F.lit(63)) * letter["unit"]
 
-    return F.aggregate(letters, F.lit(0).cast("long"), add)
+def line_check(line: Column) -> Column:
+    """A second hash, which tells lines of equal ids apart where they are known by hashes only."""
+    return F.crc32(F.encode(line, "UTF-8"))
+
+
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS stands in the line, modulo 64, packed into a long."""
+    packed = F.lit(0).cast("long")
+    for k, c in enumerate(LETTERS):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        packed = packed + F.shiftleft(n.bitwiseAND(F.lit(63)).cast("long"), 6 * k)
+    return packed
 
 
 def letters_apart(x: Column, y: Column) -> Column:
@@ -64,47 +86,33 @@ def letters_apart(x: Column, y: Column) -> Column:
     return total
 
 
-def _keys(line: Column, length: Column, threshold: int, rules: list[tuple[int, int, int]]) -> Column:
-    """A hash of (length, number, substring) for each rule: of a line that is ``shorter``, segment ``part`` moved by ``shift``.
+def rules_of(threshold: int) -> list[tuple[int, int, int]]:
+    """(shorter, part, shift): of a line that is ``shorter``, segment ``part`` is looked for moved by ``shift``.
 
-    Of the threshold + 1 segments of a line the last ones are the longer ones. The rules are an array that is walked over,
-    which keeps the generated code small.
+    The first threshold + 1 are the line's own segments, which stand in the index; the others are probes.
     """
-    parts = threshold + 1
-    listed = F.array(*(F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("part"), F.lit(c).alias("shift")) for a, b, c in rules))
-
-    def key(r: Column) -> Column:
-        other, part = length - r["shorter"], r["part"]
-        short, long = _div(other, parts), other % parts
-        begin = short * part + F.greatest(F.lit(0), long - (F.lit(parts) - part))
-        size = short + F.when(part >= F.lit(parts) - long, 1).otherwise(0)
-        return F.xxhash64(other, part, F.substring(line, begin + 1 + r["shift"], size))
-
-    return F.transform(listed, key)
-
-
-def index_keys(line: Column, length: Column, threshold: int) -> Column:
-    """A hash of (length, number, segment) for each segment."""
-    return _keys(line, length, threshold, [(0, part, 0) for part in range(threshold + 1)])
-
-
-def probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """The same hashes of the substrings that may be segments of a line that is up to threshold shorter.
-
-    Those of unmoved segments at the line's own length are left out, as index_keys has them.
-    """
-    rules = []
+    rules = [(0, part, 0) for part in range(threshold + 1)]
     for shorter in range(threshold + 1):
         for part in range(threshold + 1):
             low = max(-part, shorter - (threshold - part))
             high = min(part, shorter + (threshold - part))
             rules += [(shorter, part, shift) for shift in range(low, high + 1) if shorter or shift]
-    return _keys(line, length, threshold, rules)
+    return rules
+
+
+def _begin(length: Column, part, parts: int) -> Column:
+    """Where segment ``part`` of a line of this length begins; segments differ by one character at most."""
+    return F.floor(length * part / parts).cast("int")
 
 
-def _div(x: Column, y: int) -> Column:
-    """Whole quotient of numbers that aren't negative."""
-    return ((x - x % y) / y).cast("int")
+def line_keys(line: Column, length: Column, threshold: int) -> Column:
+    """For each rule a hash of (length, number, substring): the line's index entries and then its probes."""
+    parts, out = threshold + 1, []
+    for shorter, part, shift in rules_of(threshold):
+        other = length - shorter
+        begin = _begin(other, part, parts)
+        out.append(F.xxhash64(other, F.lit(part), F.substring(line, begin + (1 + shift), _begin(other, part + 1, parts) - begin)))
+    return F.array(*out)
 
 
 def _named(value: Column, then) -> Column:
@@ -115,7 +123,7 @@ def _named(value: Column, then) -> Column:
 def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     """The edit distance of two strings where it is at most threshold, else more than threshold.
 
-    a and b are arrays of characters whose sizes differ by threshold at most, b not empty. Column i of the matrix is a
+    a and b are arrays of characters whose sizes differ by threshold at most, neither empty. Column i of the matrix is a
     vector of 2 * threshold + 1 bits around the diagonal (Hyyro's banded form of Myers' algorithm); bit k is row
     i - threshold + k. The distance is followed down the band's last row and then along the matrix's last row.
     """
@@ -151,9 +159,10 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
                 eq = eq + F.when(F.get(a, i + (k - threshold)) == own, 1 << k).otherwise(0)
             return eq
 
-        return _named(_named(F.get(b, i), equal), with_equal)
+        # d falls along the matrix's last row only, by its 2 * threshold columns within the band at most
+        return F.when(s["d"] > 3 * threshold, s).otherwise(_named(_named(F.get(b, i), equal), with_equal))
 
-    start = state(F.lit(full - (1 << threshold) + 1), F.lit(0), F.lit(threshold))
+    start = state(F.lit(full - (1 << threshold) + 1), F.lit(0), F.least(F.lit(threshold), F.size(a)))
     return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step)["d"]
 
 
@@ -161,39 +170,166 @@ def characters(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
 
 
-def line_links(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """a, b: hashes of distinct lines within the threshold of each other."""
-    lines = split_lines(docs).where(F.char_length("line") >= max(least_chars, threshold + 1)).select(F.xxhash64("line").alias("id"), F.char_length("line").alias("length"), letter_counts(F.col("line")).alias("letters"), "line")
-
-    line, length = F.col("line"), F.col("length")
-    own = F.transform(index_keys(line, length, threshold), lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe")))
-    looked_up = F.transform(probe_keys(line, length, threshold), lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe")))
-    entries = lines.select("id", "letters", F.inline(F.concat(own, looked_up))).repartition("key").dropDuplicates(["key", "id", "probe"])
-    # as the kinds are only told apart within the join, both its sides are one exchange and lines are gone through once;
-    # lines of one length find each other's unmoved segments by the index entries of both
-    index, probes = entries.alias("i"), entries.alias("p")
-    near = (F.col("i.key") == F.col("p.key")) & ((F.col("i.probe") < F.col("p.probe")) | (~(F.col("i.probe") | F.col("p.probe")) & (F.col("i.id") < F.col("p.id")))) & (F.col("i.id") != F.col("p.id")) & (letters_apart(F.col("i.letters"), F.col("p.letters")) <= 2 * threshold)
-    pairs = stored(index.join(probes, near).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct())
-    wanted = _limited(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = stored_small(lines.join(wanted, "id", "left_semi").select("id", "line").dropDuplicates(["id"]))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    chars = F.struct(characters(F.col("line_a")).alias("a"), characters(F.col("line_b")).alias("b"))
-    near = F.abs(F.char_length("line_a") - F.char_length("line_b")) <= threshold
-    return both.where(F.when(near, _named(chars, lambda c: edit_distance(c["a"], c["b"], threshold))) <= threshold).select("a", "b")
-
-
-def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+#: Powers of two that add up to the length of equal beginnings or ends; longer ones are only cut in part.
+STEPS = [1 << k for k in range(13, -1, -1)]
+
+
+def without_ends(x: Column, y: Column) -> Column:
+    """x and y without their equal beginnings and then ends, which leave the distance as it is."""
+
+    def cut(both: Column, part, rest) -> Column:
+        x, y = both["x"], both["y"]
+
+        def longer(n: Column, step: Column) -> Column:
+            fits = (n + step <= F.least(F.char_length(x), F.char_length(y))) & (part(x, n + step) == part(y, n + step))
+            return F.when(fits, n + step).otherwise(n)
+
+        equal = F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), longer)
+        return _named(equal, lambda n: F.struct(rest(x, n).alias("x"), rest(y, n).alias("y")))
+
+    begun = _named(F.struct(x.alias("x"), y.alias("y")), lambda b: cut(b, lambda s, n: F.substring(s, F.lit(1), n), lambda s, n: F.substring(s, n + 1, F.char_length(s))))
+    return _named(begun, lambda b: cut(b, lambda s, n: F.substring(s, -n, n), lambda s, n: F.substring(s, F.lit(1), F.char_length(s) - n)))
+
+
+def line_distance(x: Column, y: Column, threshold: int) -> Column:
+    """The edit distance of two lines where it is at most threshold, else more than threshold (or null)."""
+
+    def of(rest: Column) -> Column:
+        sizes = F.char_length(rest["x"]), F.char_length(rest["y"])
+        chars = F.struct(characters(rest["x"]).alias("x"), characters(rest["y"]).alias("y"))
+        return F.when(F.least(*sizes) == 0, F.greatest(*sizes)).otherwise(_named(chars, lambda c: edit_distance(c["x"], c["y"], threshold)))
+
+    return F.when(F.abs(F.char_length(x) - F.char_length(y)) <= threshold, _named(without_ends(x, y), of))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) of line ids that are within the threshold, as a table. texts: id, line."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    return stored_small(both.where(line_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b").distinct())
+
+
+def distinct_lines(docs: DataFrame, threshold: int, least_chars: int) -> DataFrame:
+    """id, check, letters, keys and n (occurrences) of each distinct line; keys is empty for lines under least_chars.
+
+    The lines themselves aren't shuffled. The array function, which isn't compiled into one method with what stands around it,
+    lets this projection be compiled in parts: as a single method it would be too large for the JVM to optimize.
+    """
+    line, length = F.col("line"), F.char_length("line")
+    keys = F.when(length >= least_chars, line_keys(line, length, threshold)).otherwise(F.array().cast("array<long>"))
+    known = F.element_at(F.transform(F.array(line_id(line)), lambda x: x), 1)
+    hashed = split_lines(docs).select(known.alias("id"), line_check(line).alias("check"), letter_counts(line).alias("letters"), keys.alias("keys"))
+    return hashed.groupBy("id", "check", "letters", "keys").agg(F.count("*").alias("n"))
+
+
+def shared_keys(distinct: DataFrame, threshold: int) -> DataFrame:
+    """key, id, tag (letters and rule) of entries that have another one with their key, and whether many have it (hot)."""
+    entries = distinct.select("id", "letters", F.posexplode("keys").alias("rule", "key"))
+    bucket = F.pmod(F.col("key"), F.lit(BUCKETS))
+    counts = stored_small(entries.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("entries")))
+    most = max(PART_ROWS, 4 * (counts.agg(F.sum("entries")).first()[0] or 0) // BUCKETS)
+    heavy = F.broadcast(counts.where(F.col("entries") > most).select(F.col("bucket").alias("_bucket"), F.ceil(F.col("entries") / most).alias("parts")))
+    tag = F.col("letters").bitwiseOR(F.shiftleft(F.col("rule").cast("long"), RULE_AT))
+    dealt = entries.join(heavy, bucket == F.col("_bucket"), "left").select("key", "id", tag.alias("tag"), F.coalesce(F.pmod(F.col("id"), "parts").cast("int"), F.lit(-1)).alias("part")).repartition("key", "part")
+    own = W.Window.partitionBy("key", "part")
+    grouped = dealt.withColumn("n", F.count("*").over(own)).withColumn("n_own", F.count_if(rule_of(F.col("tag")) <= threshold).over(own))
+    return grouped.where((F.col("part") >= 0) | (F.col("n") > 1) & (F.col("n_own") > 0)).select("key", "id", "tag", ((F.col("part") >= 0) | (F.col("n") > FEW)).alias("hot"))
+
+
+def rule_of(tag: Column) -> Column:
+    return F.shiftrightunsigned(tag, RULE_AT)
+
+
+def may_be_near(x: str, y: str, threshold: int) -> Column:
+    """Whether entries x and y of one key, at least one of them of the index, may be of lines within the threshold."""
+    of = lambda c: (F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
+    return (F.least(*map(rule_of, of("tag"))) <= threshold) & (letters_apart(*of("tag")) <= 2 * threshold)
+
+
+def _ends(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
+
+
+def _apart(hot: DataFrame, links: DataFrame) -> DataFrame:
+    """Entries, with component and the key's largest one, of keys with lines of more than one component."""
+    found = components(links)
+    known = stored(hot.join(limited(found, BROADCAST_ROWS), F.col("id") == F.col("node"), "left").select("key", "id", "tag", F.coalesce("component", "id").alias("component")))
+    sizes = known.groupBy("key", "component").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("k", F.col("component"))).alias("most"), F.count("*").alias("n")).where("n > 1").select("key", F.col("most.component").alias("largest"))
+    return stored(known.join(limited(stored_small(largest), BROADCAST_ROWS), "key"))
+
+
+def _finer(entries: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Entries whose keys also have a segment of what the key's own segment leaves of the line, which is within the threshold too.
+
+    What is too short to be split keeps its key.
+    """
+    parts = threshold + 1
+    rules = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("shorter", "part", "shift"), r, strict=True))) for r in rules_of(threshold)))
+    placed = entries.join(texts, "id").withColumn("_r", F.get(rules, rule_of(F.col("tag")).cast("int"))).withColumn("_other", F.char_length("line") - F.col("_r.shorter"))
+    begin = _begin(F.col("_other"), F.col("_r.part"), parts)
+    placed = placed.withColumn("_at", begin).withColumn("_end", _begin(F.col("_other"), F.col("_r.part") + 1, parts))
+    rest = F.concat(F.substring("line", F.lit(1), F.col("_at") + F.col("_r.shift")), F.substring("line", F.col("_end") + F.col("_r.shift") + 1, F.char_length("line")))
+    placed = placed.withColumn("_rest", rest).withColumn("_length", F.char_length("_rest"))
+    # the rest of the shorter line has this length; both may be too short to be split
+    finer = F.when(F.col("_other") - (F.col("_end") - F.col("_at")) < parts + threshold, F.array(F.lit(0).cast("long"))).otherwise(line_keys(F.col("_rest"), F.col("_length"), threshold))
+    return placed.select("id", "tag", "component", "largest", F.explode(F.array_distinct(F.transform(finer, lambda k: F.xxhash64("key", k)))).alias("key"))
+
+
+def line_links(docs: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """a, b: ids of distinct lines within the threshold of each other; enough of them for the components of all such pairs."""
+    shared = stored(shared_keys(distinct, threshold))
+    own = shared.select("id").distinct()
+    lines = split_lines(docs).select(line_id(F.col("line")).alias("id"), "line")
+    texts = stored(lines.join(limited(own, BROADCAST_ROWS), "id", "left_semi").distinct())
+    same = F.col("x.key") == F.col("y.key")
+    few = shared.where("NOT hot")
+    pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.id") < F.col("y.id")) & may_be_near("x", "y", threshold)).select(*_ends("x", "y"))
+    hot = shared.where("hot")
+    any_hot = bool(hot.limit(1).count())
+    if any_hot:
+        copies = distinct.where("n > 1").select("id", "n")
+        hot = stored(hot.join(limited(copies, BROADCAST_ROWS), "id", "left").select("key", "id", "tag", F.coalesce("n", F.lit(1)).alias("n")))
+        centers = hot.where(rule_of(F.col("tag")) <= threshold).groupBy("key").agg(F.max_by(F.struct("id", "tag"), F.struct("n", "id")).alias("c")).select("key", "c.*")
+        star = hot.alias("x").join(limited(stored_small(centers), BROADCAST_ROWS).alias("y"), same & (F.col("x.id") != F.col("y.id")) & may_be_near("x", "y", threshold))
+        pairs = pairs.unionByName(star.select(*_ends("x", "y")))
+    tried = stored(pairs.distinct())
+    links = verified(tried, texts, threshold)
+
+    def more(pairs: DataFrame) -> None:
+        nonlocal tried, links
+        fresh = stored_small(pairs.select(*_ends("x", "y")).distinct().join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(fresh)
+        links = links.unionByName(verified(fresh, texts, threshold))
+
+    if any_hot:
+        known = _apart(hot, links)
+        minima = [F.min_by(F.struct("id", "tag", "component"), F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(TRIED)]
+        members = known.where((F.col("component") == F.col("largest")) & (rule_of(F.col("tag")) <= threshold)).groupBy("key").agg(*minima)
+        members = members.select("key", F.explode(F.array_distinct(F.array(*(f"m{k}" for k in range(TRIED))))).alias("m")).select("key", "m.*")
+        more(known.where("component <> largest").alias("x").join(limited(stored_small(members), BROADCAST_ROWS).alias("y"), same & may_be_near("x", "y", threshold)))
+        finer = stored(_finer(_apart(hot, links), texts, threshold))
+        different = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
+        more(finer.where("component <> largest").alias("x").join(finer.alias("y"), same & different & may_be_near("x", "y", threshold)))
+    return links
+
+
+def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int | None = None) -> DataFrame:
     """key, mark, nos: the numbers of the lines of each document that go."""
-    found = components(stored_small(line_links(docs, threshold, least_chars)))
-    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    own = split_lines(docs).where(F.char_length("line") >= max(least_chars, threshold + 1))
-    places = own.select(F.xxhash64("line").alias("id"), F.crc32(F.encode("line", "UTF-8")).alias("check"), "key", "mark", "no")
-    places = places.join(_limited(found), F.col("id") == F.col("node"), "left")
+    least = threshold + 1 if least_chars is None else max(least_chars, threshold + 1)
+    distinct = stored(distinct_lines(docs, threshold, least))
+    found = stored_small(components(line_links(docs, distinct, threshold)))
+    linked = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     # a line that is linked with none is known by both its hashes
-    places = stored(places.select(F.coalesce("component", "id").alias("id"), F.when(F.col("component").isNull(), F.col("check")).otherwise(-1).alias("check"), "key", "mark", "no"))
-    first = places.groupBy("id", "check").agg(F.min(F.struct("key", "mark", "no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = places.join(first, ["id", "check"]).where(F.struct("key", "mark", "no") != F.col("first"))
-    return stored_small(gone.select("key", "mark", "no").distinct().groupBy("key", "mark").agg(F.array_sort(F.collect_list("no")).alias("nos")))
+    again = distinct.where("n > 1").join(limited(linked, BROADCAST_ROWS), F.col("id") == F.col("node"), "left_anti")
+    classes = stored_small(linked.select(F.col("node").alias("id"), F.col("component").alias("class"), F.lit(None).cast("long").alias("check")).unionByName(again.select("id", F.col("id").alias("class"), "check")))
+    places = split_lines(docs).select(line_id(F.col("line")).alias("id"), line_check(F.col("line")).alias("_check"), "key", "mark", "no")
+    known = places.join(limited(classes, BROADCAST_ROWS), "id").where(F.col("check").isNull() | (F.col("check") == F.col("_check")))
+    known = stored(known.select("class", F.coalesce("check", F.lit(-1)).alias("check"), "key", "mark", "no"))
+    stay = known.groupBy("class", "check").agg(F.min(F.struct("key", "mark", "no")).alias("first")).select("first.*")
+    stay = stay.groupBy("key", "mark").agg(F.collect_list("no").alias("stay"))
+    each = known.groupBy("key", "mark").agg(F.collect_set("no").alias("nos")).join(stay, ["key", "mark"], "left")
+    gone = each.select("key", "mark", F.array_sort(F.array_except("nos", F.coalesce("stay", F.array().cast("array<int>")))).alias("nos"))
+    return stored_small(gone.where(F.size("nos") > 0))
 
 
 def _kept(lines: Column, nos: Column) -> Column:
@@ -206,14 +342,14 @@ def _kept(lines: Column, nos: Column) -> Column:
     return _named(lines, lambda x: _named(F.struct(x.alias("lines"), F.concat(F.array(F.lit(-1)), nos, F.array(F.size(x))).alias("bounds")), of))
 
 
-def _with_nos(docs: DataFrame, id_col: str, text_col: str, threshold: int, least_chars: int) -> DataFrame:
+def _with_nos(docs: DataFrame, id_col: str, text_col: str, threshold: int, least_chars: int | None) -> DataFrame:
     """docs and, as _nos, the numbers of the lines that go (null: none)."""
     gone = dropped_lines(id_text(docs, id_col, text_col), threshold, least_chars).select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("nos").alias("_nos"))
     same = (F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))) == F.col("_key")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_mark"))
-    return docs.join(_limited(gone), same, "left").drop("_key", "_mark")
+    return docs.join(limited(gone, BROADCAST_ROWS, F.size("_nos"), BROADCAST_NUMBERS), same, "left").drop("_key", "_mark")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_chars: int | None = None) -> DataFrame:
     """docs with the repeated lines taken out of text_col. A text that had lines and has none left but blank ones is null."""
     columns = docs.columns
     marked = _with_nos(docs, id_col, text_col, threshold, least_chars)
@@ -222,7 +358,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return cleaned.select(*columns)
 
 
-def line_report(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (line numbers from 0, comma-joined) and the text that stays, one row per document."""
     marked = _with_nos(id_text(docs), "doc_id", "text", threshold, least_chars)
     nos = F.coalesce("_nos", F.array().cast("array<int>"))

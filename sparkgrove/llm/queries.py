@@ -43,7 +43,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, sf_dir, "documents"), threshold=2, least_chars=20)
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), threshold=2)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
