@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines within two edits of each other the first stays; a document of which only blank lines are left goes."""
-    cleaned = line_dedup.dedup_lines(docs.withColumn("_had_text", F.col("text").isNotNull()), threshold=2, least_chars=20)
+    cleaned = line_dedup.dedup_lines(docs.withColumn("_had_text", F.col("text").isNotNull()), threshold=2)
     kept = cleaned.where(F.col("text").isNotNull() | ~F.col("_had_text"))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
