@@ -3,8 +3,8 @@
 Two lines are linked if their edit distance is at most ``threshold``. A line is split into threshold + 1 segments of near-equal
 length; a line within the threshold has one of them unchanged, at most so far from its place as the rule of multi-match
 aware selection says. So each line puts its segments into an index by (length, number, segment) and probes it with its
-substrings for lengths from its own down to threshold less. Counts of nine letters go with each entry; as an edit changes
-two counts by one at most, most false matches fall within the join. What is left is verified once a pair with a banded
+substrings for lengths from its own down to threshold less. Lines that share a key get counts of ``SYMBOLS``; as an edit
+changes two counts by one at most, most false matches fall within the join. What is left is verified once a pair with a banded
 bit-parallel edit distance, between what their equal beginnings and ends leave.
 
 1. Equal lines are collapsed first: only distinct lines, as hashes with their keys, are shuffled and indexed.
@@ -39,9 +39,9 @@ THRESHOLD = 2
 BROADCAST_ROWS = 500_000
 #: Line numbers in the list of dropped lines, when it is sent to all executors.
 BROADCAST_NUMBERS = 8_000_000
-#: Letters that are counted, with six bits each; the bits above them hold the number of the entry's rule.
-LETTERS = "entaiorsh"
-RULE_AT = 6 * len(LETTERS)
+#: Symbols that are counted modulo 64, ten to a long.
+SYMBOLS = ["entaiorshd", "lucmpgfbyw", "vkxjqz .,-"]
+COUNTS = [f"counts{k}" for k in range(len(SYMBOLS))]
 BUCKETS = 1 << 18
 #: A bucket with more entries than this, and than four times the mean, has its keys dealt out in parts.
 PART_ROWS = 4096
@@ -68,21 +68,22 @@ def line_check(line: Column) -> Column:
     return F.crc32(F.encode(line, "UTF-8"))
 
 
-def letter_counts(line: Column) -> Column:
-    """How often each of LETTERS stands in the line, modulo 64, packed into a long."""
+def symbol_counts(line: Column, symbols: str) -> Column:
+    """How often each of the symbols stands in the line, modulo 64, packed into a long."""
     packed = F.lit(0).cast("long")
-    for k, c in enumerate(LETTERS):
+    for k, c in enumerate(symbols):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
         packed = packed + F.shiftleft(n.bitwiseAND(F.lit(63)).cast("long"), 6 * k)
     return packed
 
 
-def letters_apart(x: Column, y: Column) -> Column:
-    """At least so much do the counts differ."""
+def symbols_apart(x: str, y: str) -> Column:
+    """At least so much do the counts of x and y differ."""
     total = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        d = F.abs(F.shiftright(x, 6 * k).bitwiseAND(63) - F.shiftright(y, 6 * k).bitwiseAND(63))
-        total = total + F.least(d, 64 - d)
+    for c, symbols in zip(COUNTS, SYMBOLS, strict=True):
+        for k in range(len(symbols)):
+            d = F.abs(F.shiftright(F.col(f"{x}.{c}"), 6 * k).bitwiseAND(63) - F.shiftright(F.col(f"{y}.{c}"), 6 * k).bitwiseAND(63))
+            total = total + F.least(d, 64 - d)
     return total
 
 
@@ -105,13 +106,18 @@ def _begin(length: Column, part, parts: int) -> Column:
     return F.floor(length * part / parts).cast("int")
 
 
+def wide(line: Column) -> Column:
+    """The line with four bytes for each character, of which any stretch is found without going through those before it."""
+    return F.encode(line, "UTF-32")
+
+
 def line_keys(line: Column, length: Column, threshold: int) -> Column:
-    """For each rule a hash of (length, number, substring): the line's index entries and then its probes."""
+    """For each rule a hash of (length, number, substring): the line's index entries and then its probes. line: wide()."""
     parts, out = threshold + 1, []
     for shorter, part, shift in rules_of(threshold):
         other = length - shorter
         begin = _begin(other, part, parts)
-        out.append(F.xxhash64(other, F.lit(part), F.substring(line, begin + (1 + shift), _begin(other, part + 1, parts) - begin)))
+        out.append(F.xxhash64(other, F.lit(part), F.substring(line, (begin + shift) * 4 + 1, (_begin(other, part + 1, parts) - begin) * 4)))
     return F.array(*out)
 
 
@@ -209,40 +215,35 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame, threshold: int, least_chars: int) -> DataFrame:
-    """id, check, letters, keys and n (occurrences) of each distinct line; keys is empty for lines under least_chars.
+    """id, check, keys and n (occurrences) of each distinct line; keys is empty for lines under least_chars.
 
     The lines themselves aren't shuffled. The array function, which isn't compiled into one method with what stands around it,
     lets this projection be compiled in parts: as a single method it would be too large for the JVM to optimize.
     """
-    line, length = F.col("line"), F.char_length("line")
-    keys = F.when(length >= least_chars, line_keys(line, length, threshold)).otherwise(F.array().cast("array<long>"))
-    known = F.element_at(F.transform(F.array(line_id(line)), lambda x: x), 1)
-    hashed = split_lines(docs).select(known.alias("id"), line_check(line).alias("check"), letter_counts(line).alias("letters"), keys.alias("keys"))
-    return hashed.groupBy("id", "check", "letters", "keys").agg(F.count("*").alias("n"))
+    lines = split_lines(docs).select("line", wide(F.col("line")).alias("wide"))
+    length = (F.octet_length("wide") / 4).cast("int")
+    keys = F.when(length >= least_chars, line_keys(F.col("wide"), length, threshold)).otherwise(F.array().cast("array<long>"))
+    known = F.element_at(F.transform(F.array(line_id(F.col("line"))), lambda x: x), 1)
+    hashed = lines.select(known.alias("id"), line_check(F.col("line")).alias("check"), keys.alias("keys"))
+    return hashed.groupBy("id", "check", "keys").agg(F.count("*").alias("n"))
 
 
 def shared_keys(distinct: DataFrame, threshold: int) -> DataFrame:
-    """key, id, tag (letters and rule) of entries that have another one with their key, and whether many have it (hot)."""
-    entries = distinct.select("id", "letters", F.posexplode("keys").alias("rule", "key"))
+    """key, id, rule of entries that have another one with their key, and whether many have it (hot)."""
+    entries = distinct.select("id", F.posexplode("keys").alias("rule", "key"))
     bucket = F.pmod(F.col("key"), F.lit(BUCKETS))
     counts = stored_small(entries.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("entries")))
     most = max(PART_ROWS, 4 * (counts.agg(F.sum("entries")).first()[0] or 0) // BUCKETS)
     heavy = F.broadcast(counts.where(F.col("entries") > most).select(F.col("bucket").alias("_bucket"), F.ceil(F.col("entries") / most).alias("parts")))
-    tag = F.col("letters").bitwiseOR(F.shiftleft(F.col("rule").cast("long"), RULE_AT))
-    dealt = entries.join(heavy, bucket == F.col("_bucket"), "left").select("key", "id", tag.alias("tag"), F.coalesce(F.pmod(F.col("id"), "parts").cast("int"), F.lit(-1)).alias("part")).repartition("key", "part")
+    dealt = entries.join(heavy, bucket == F.col("_bucket"), "left").select("key", "id", F.col("rule").cast("byte").alias("rule"), F.coalesce(F.pmod(F.col("id"), "parts").cast("int"), F.lit(-1)).alias("part")).repartition("key", "part")
     own = W.Window.partitionBy("key", "part")
-    grouped = dealt.withColumn("n", F.count("*").over(own)).withColumn("n_own", F.count_if(rule_of(F.col("tag")) <= threshold).over(own))
-    return grouped.where((F.col("part") >= 0) | (F.col("n") > 1) & (F.col("n_own") > 0)).select("key", "id", "tag", ((F.col("part") >= 0) | (F.col("n") > FEW)).alias("hot"))
-
-
-def rule_of(tag: Column) -> Column:
-    return F.shiftrightunsigned(tag, RULE_AT)
+    grouped = dealt.withColumn("n", F.count("*").over(own)).withColumn("n_own", F.count_if(F.col("rule") <= threshold).over(own))
+    return grouped.where((F.col("part") >= 0) | (F.col("n") > 1) & (F.col("n_own") > 0)).select("key", "id", "rule", ((F.col("part") >= 0) | (F.col("n") > FEW)).alias("hot"))
 
 
 def may_be_near(x: str, y: str, threshold: int) -> Column:
     """Whether entries x and y of one key, at least one of them of the index, may be of lines within the threshold."""
-    of = lambda c: (F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
-    return (F.least(*map(rule_of, of("tag"))) <= threshold) & (letters_apart(*of("tag")) <= 2 * threshold)
+    return (F.least(f"{x}.rule", f"{y}.rule") <= threshold) & (symbols_apart(x, y) <= 2 * threshold)
 
 
 def _ends(x: str, y: str) -> list[Column]:
@@ -252,12 +253,15 @@ def _ends(x: str, y: str) -> list[Column]:
 def _apart(hot: DataFrame, links: DataFrame) -> DataFrame:
     """Entries, with component and the key's largest one, of keys with lines of more than one component."""
     found = components(links)
-    known = stored(hot.join(limited(found, BROADCAST_ROWS), F.col("id") == F.col("node"), "left").select("key", "id", "tag", F.coalesce("component", "id").alias("component")))
+    known = stored(hot.join(limited(found, BROADCAST_ROWS), F.col("id") == F.col("node"), "left").select(*ENTRY, F.coalesce("component", "id").alias("component")))
     sizes = known.groupBy("key", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("k", F.col("component"))).alias("most"), F.count("*").alias("n")).where("n > 1").select("key", F.col("most.component").alias("largest"))
     return stored(known.join(limited(stored_small(largest), BROADCAST_ROWS), "key"))
 
 
+ENTRY = ["key", "id", "rule", *COUNTS]
+
+
 def _finer(entries: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Entries whose keys also have a segment of what the key's own segment leaves of the line, which is within the threshold too.
 
@@ -265,14 +269,14 @@ def _finer(entries: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """
     parts = threshold + 1
     rules = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("shorter", "part", "shift"), r, strict=True))) for r in rules_of(threshold)))
-    placed = entries.join(texts, "id").withColumn("_r", F.get(rules, rule_of(F.col("tag")).cast("int"))).withColumn("_other", F.char_length("line") - F.col("_r.shorter"))
-    begin = _begin(F.col("_other"), F.col("_r.part"), parts)
-    placed = placed.withColumn("_at", begin).withColumn("_end", _begin(F.col("_other"), F.col("_r.part") + 1, parts))
+    placed = entries.join(texts.select("id", "line"), "id").withColumn("_r", F.get(rules, F.col("rule").cast("int"))).withColumn("_other", F.char_length("line") - F.col("_r.shorter"))
+    placed = placed.withColumn("_at", _begin(F.col("_other"), F.col("_r.part"), parts)).withColumn("_end", _begin(F.col("_other"), F.col("_r.part") + 1, parts))
     rest = F.concat(F.substring("line", F.lit(1), F.col("_at") + F.col("_r.shift")), F.substring("line", F.col("_end") + F.col("_r.shift") + 1, F.char_length("line")))
-    placed = placed.withColumn("_rest", rest).withColumn("_length", F.char_length("_rest"))
+    placed = placed.withColumn("_rest", wide(rest)).withColumn("_length", (F.octet_length("_rest") / 4).cast("int"))
     # the rest of the shorter line has this length; both may be too short to be split
     finer = F.when(F.col("_other") - (F.col("_end") - F.col("_at")) < parts + threshold, F.array(F.lit(0).cast("long"))).otherwise(line_keys(F.col("_rest"), F.col("_length"), threshold))
-    return placed.select("id", "tag", "component", "largest", F.explode(F.array_distinct(F.transform(finer, lambda k: F.xxhash64("key", k)))).alias("key"))
+    keys = F.explode(F.array_distinct(F.transform(finer, lambda k: F.xxhash64("key", k)))).alias("key")
+    return placed.select("id", "rule", *COUNTS, "component", "largest", keys)
 
 
 def line_links(docs: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -281,6 +285,8 @@ def line_links(docs: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD)
     own = shared.select("id").distinct()
     lines = split_lines(docs).select(line_id(F.col("line")).alias("id"), "line")
     texts = stored(lines.join(limited(own, BROADCAST_ROWS), "id", "left_semi").distinct())
+    counts = texts.select("id", *(symbol_counts(F.col("line"), x).alias(c) for c, x in zip(COUNTS, SYMBOLS, strict=True))).dropDuplicates(["id"])
+    shared = stored(shared.join(counts, "id").select(*ENTRY, "hot"))
     same = F.col("x.key") == F.col("y.key")
     few = shared.where("NOT hot")
     pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.id") < F.col("y.id")) & may_be_near("x", "y", threshold)).select(*_ends("x", "y"))
@@ -288,8 +294,8 @@ def line_links(docs: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD)
     any_hot = bool(hot.limit(1).count())
     if any_hot:
         copies = distinct.where("n > 1").select("id", "n")
-        hot = stored(hot.join(limited(copies, BROADCAST_ROWS), "id", "left").select("key", "id", "tag", F.coalesce("n", F.lit(1)).alias("n")))
-        centers = hot.where(rule_of(F.col("tag")) <= threshold).groupBy("key").agg(F.max_by(F.struct("id", "tag"), F.struct("n", "id")).alias("c")).select("key", "c.*")
+        hot = stored(hot.join(limited(copies, BROADCAST_ROWS), "id", "left").select(*ENTRY, F.coalesce("n", F.lit(1)).alias("n")))
+        centers = hot.where(F.col("rule") <= threshold).groupBy("key").agg(F.max_by(F.struct(*ENTRY[1:]), F.struct("n", "id")).alias("c")).select("key", "c.*")
         star = hot.alias("x").join(limited(stored_small(centers), BROADCAST_ROWS).alias("y"), same & (F.col("x.id") != F.col("y.id")) & may_be_near("x", "y", threshold))
         pairs = pairs.unionByName(star.select(*_ends("x", "y")))
     tried = stored(pairs.distinct())
@@ -303,8 +309,8 @@ def line_links(docs: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD)
 
     if any_hot:
         known = _apart(hot, links)
-        minima = [F.min_by(F.struct("id", "tag", "component"), F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(TRIED)]
-        members = known.where((F.col("component") == F.col("largest")) & (rule_of(F.col("tag")) <= threshold)).groupBy("key").agg(*minima)
+        minima = [F.min_by(F.struct(*ENTRY[1:], "component"), F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(TRIED)]
+        members = known.where((F.col("component") == F.col("largest")) & (F.col("rule") <= threshold)).groupBy("key").agg(*minima)
         members = members.select("key", F.explode(F.array_distinct(F.array(*(f"m{k}" for k in range(TRIED))))).alias("m")).select("key", "m.*")
         more(known.where("component <> largest").alias("x").join(limited(stored_small(members), BROADCAST_ROWS).alias("y"), same & may_be_near("x", "y", threshold)))
         finer = stored(_finer(_apart(hot, links), texts, threshold))

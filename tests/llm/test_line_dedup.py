@@ -71,8 +71,7 @@ def line_rows(seed):
     return rows + [(100, None), (101, ""), (102, "\n\n"), (None, base[0] + "\n" + base[1]), (103, "\n".join([base[2]] * 50))]
 
 
-@pytest.mark.parametrize(("threshold", "least"), [(1, 4), (2, None), (2, 6)])
-@pytest.mark.parametrize(("broadcast", "few", "part_rows"), [(0, 2, 8), (line_dedup.BROADCAST_ROWS, line_dedup.FEW, line_dedup.PART_ROWS)])
+@pytest.mark.parametrize(("threshold", "least", "broadcast", "few", "part_rows"), [(1, 4, 0, 2, 8), (2, None, 0, 2, 8), (2, 6, line_dedup.BROADCAST_ROWS, line_dedup.FEW, line_dedup.PART_ROWS)])
 def test_report(spark, monkeypatch, threshold, least, broadcast, few, part_rows):
     """With few and part_rows low, almost all keys go the way of those that many lines share, some in salted parts."""
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
