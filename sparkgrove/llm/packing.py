@@ -1,12 +1,13 @@
 """Packing: Karmarkar-Karp multiway differencing.
 
 Each item begins as a partial partition of one window; the two partial partitions of the largest imbalance are merged,
-the heavy windows of one with the light windows of the other, until one partition is left. ``pack_items`` keeps items
-whole and takes one window more whenever a window is over its capacity. ``level`` cuts instead, where that is allowed.
+the heavy windows of one with the light windows of the other, until one partition is left. Where windows of it are over
+their capacity, those that are full to ``FULL`` of it are closed, and the items of the others are differenced again; if too
+few can be closed the number of windows rises. So items stay whole.
 
-The operator works on blocks of ``BLOCK_WINDOWS`` windows within a partition and needs no shuffle: full windows are cut off
-a long document at once, the rests are spread by differencing, and what is over capacity is cut off and put where there
-is room. A block's last document is cut so that the block's windows are full; only a partition's last block has padding.
+The operator works on blocks of ``BLOCK_WINDOWS`` windows within a partition and needs no shuffle. Only documents of more
+tokens than a window are cut: full windows come off them, and the rest is an item as other documents are. A block's windows
+that aren't full are taken up in the next block.
 
 Defined results: a null text is empty (its document is just the end id); repeated rows are packed each; no rows give no
 rows; other columns of the input are not carried.
@@ -25,7 +26,9 @@ from pyspark.sql import DataFrame
 from sparkgrove.llm.common import id_text, texts_of, tidy, to_arrow
 from sparkgrove.llm.tokens import TextEncoder
 
-BLOCK_WINDOWS = 192
+BLOCK_WINDOWS = 128
+#: A window with this share of its capacity is full.
+FULL = 0.97
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -69,42 +72,24 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def pack_items(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Whole items in the fewest windows for which differencing keeps to the capacity."""
+    """Whole items in windows that keep to the capacity. Windows without items aren't listed."""
     if any(s > capacity for s in sizes):
         raise ValueError("an item is larger than a window")
-    k = -(-sum(sizes) // capacity)
-    while k:
-        windows = differencing(sizes, k)
-        if all(sum(sizes[i] for i in w) <= capacity for w in windows):
-            return windows
-        k += 1
-    return []
-
-
-def level(windows: list[list[int]], sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Pieces (item, from, to) in the same windows: the end of a window that is over capacity goes where there is room."""
-    kept, spare = [], []
-    for w in windows:
-        room, pieces = capacity, []
-        for i in w:
-            take = min(room, sizes[i])
-            if take:
-                pieces.append((i, 0, take))
-                room -= take
-            if take < sizes[i]:
-                spare.append((i, take, sizes[i]))
-        kept.append((room, pieces))
-    for room, pieces in kept:
-        while room and spare:
-            i, a, b = spare.pop()
-            take = min(room, b - a)
-            pieces.append((i, a, a + take))
-            room -= take
-            if a + take < b:
-                spare.append((i, a + take, b))
-    if spare:
-        raise ValueError("the items don't fit")
-    return [pieces for _, pieces in kept if pieces]
+    left, done, more = list(range(len(sizes))), [], 0
+    while left:
+        own = [sizes[i] for i in left]
+        k = -(-sum(own) // capacity) + more
+        windows = [([left[j] for j in w], sum(own[j] for j in w)) for w in differencing(own, k)]
+        if all(total <= capacity for _, total in windows):
+            return done + [w for w, _ in windows if w]
+        closed = [w for w, total in windows if FULL * capacity <= total <= capacity]
+        if len(closed) * 8 >= k:
+            done += closed
+            gone = {i for w in closed for i in w}
+            left, more = [i for i in left if i not in gone], 0
+        else:
+            more += max(1, k // 50)
+    return done
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
@@ -122,13 +107,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, capacity: int = 20
         out: list[list] = [[] for _ in arrow.names]
 
         def put(pieces: list[tuple]) -> None:
-            """pieces: (doc_id, ids as bytes, first id, end, the document's ids)."""
+            """pieces: (doc_id, their ids as bytes, first id, end, number of the document's ids)."""
             nonlocal sequence
             used = sum(p[3] - p[2] for p in pieces)
             padded = used if used & (used - 1) == 0 else capacity
             offset = 0
             for key, ids, a, b, total in pieces:
-                crc = zlib.crc32(np.frombuffer(ids, encoder.dtype, b - a, a * width).astype("<u4").tobytes())
+                crc = zlib.crc32(np.frombuffer(ids, encoder.dtype).astype("<u4").tobytes())
                 for column, value in zip(out, (key, a, b - a, crc, total, sequence, offset, padded), strict=True):
                     column.append(value)
                 offset += b - a
@@ -139,29 +124,37 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, capacity: int = 20
             batch, out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow), [[] for _ in arrow.names]
             return batch
 
-        def spread(block: list[tuple]) -> None:
+        def close(block: list[tuple], last: bool) -> list[tuple]:
+            """Put the windows of block, but for those to be taken up again, whose items are returned."""
             sizes = [p[3] - p[2] for p in block]
-            windows = differencing(sizes, -(-sum(sizes) // capacity))
-            for w in level(windows, sizes, capacity):
-                put([(block[i][0], block[i][1], block[i][2] + a, block[i][2] + b, block[i][4]) for i, a, b in w])
-
-        block, have, full = [], 0, capacity * block_windows
+            again: list[tuple] = []
+            windows = pack_items(sizes, capacity)
+            full = [sum(sizes[i] for i in w) >= FULL * capacity for w in windows]
+            last = last or 2 * sum(full) < len(windows)
+            for w, whole in zip(windows, full, strict=True):
+                if last or whole:
+                    put([block[i] for i in w])
+                else:
+                    again += [block[i] for i in w]
+            return again
+
+        block, have = [], 0
         for batch in batches:
             for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch), end), strict=True):
                 total, at = len(ids) // width, 0
                 while total - at > capacity:
-                    put([(key, ids, at, at + capacity, total)])
+                    put([(key, ids[at * width : (at + capacity) * width], at, at + capacity, total)])
                     at += capacity
-                if have + total - at >= full:
-                    cut = at + full - have
-                    spread([*block, (key, ids, at, cut, total)])
-                    block, have, at = [], 0, cut
+                block.append((key, ids[at * width :] if at else ids, at, total, total))
+                have += total - at
+                if have >= capacity * block_windows:
+                    block = close(block, False)
+                    have = sum(p[3] - p[2] for p in block)
                     yield flush()
-                if at < total:
-                    block.append((key, ids, at, total, total))
-                    have += total - at
+            if out[0]:
+                yield flush()
         if block:
-            spread(block)
+            close(block, True)
         if out[0]:
             yield flush()
 
