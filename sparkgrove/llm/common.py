@@ -27,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the folder that all executors share.
 
-    Only where the session names none (tests, local mode) is a local folder made, and it is removed at exit.
+    Only in local mode (tests), where the session names none, is a local folder made; it is removed at exit.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sparkgrove-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set(CHECKPOINT_KEY, root)
@@ -57,6 +59,12 @@ def limited(df: DataFrame, rows: int, weight: Column | None = None, most: int =
     return F.broadcast(df) if n <= rows and total <= most else df
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of df, which for tables on disk is that of their files; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text, so that no other column of the input can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -5,7 +5,7 @@ the documents' ends as an Elias-Fano sequence. With n documents over u ids each
 sample for each 64th; ``EliasFano.select`` gives a document's end from those without a table of offsets.
 
 Defined results: a null text is empty (its document has only the end id); documents with equal doc_ids stand in the order
-of their texts; a null doc_id comes first; no rows give no rows; other columns of the input are not carried.
+of their texts' checksums, then of their texts; a null doc_id comes first; no rows give no rows; other columns of the input are not carried.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sparkgrove.llm.common import id_text, keeps, shared_dir, stored, texts_of, tidy, to_arrow
+from sparkgrove.llm.common import id_text, keeps, planned_bytes, shared_dir, stored, texts_of, tidy, to_arrow
 
 #: Words whose ids a worker keeps; with more of them it takes over only those that come again.
 WORDS_KEPT = 250_000
@@ -45,6 +45,7 @@ BYTE_LEVEL = _byte_level()
 SAMPLE = 64
 MAGIC = b"SGEF0001"
 SHARD_IDS = 1 << 20
+PART_BYTES = 256 << 20
 
 
 class TextEncoder:
@@ -235,12 +236,13 @@ FILES = "part int, shard int, first_id long, n_docs long, n_ids long, start_in_p
 def write_token_files(docs: DataFrame, tokenizer: str, end: int, path: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode docs and write their files below path (a folder that all executors share), in ascending doc_id order.
 
-    The rows are dealt out by ranges of doc_id, so a part's documents follow those of the part before it; a part has files
-    of shard_ids ids or one document more. The files are the binary column of a Parquet table, which any store that
+    The rows are dealt out by ranges of doc_id (of equal ones, of the texts' checksums), so a part's documents follow those
+    of the part before it. There are as many parts as a shuffle has, or more: one for each PART_BYTES of input. A part has
+    files of shard_ids ids or one document more. The files are the binary column of a Parquet table, which any store that
     Spark can write can hold. Returns that table, read back.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), planned_bytes(docs) // PART_BYTES)
     arrow = to_arrow(spark, FILES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,16 +268,20 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, path: str | Non
         if ids:
             yield row()
 
-    dealt = id_text(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    summed = id_text(docs).withColumn("crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    dealt = summed.repartitionByRange(parts, "doc_id", "crc").sortWithinPartitions("doc_id", "crc", "text").select("doc_id", "text")
     return stored(dealt.mapInArrow(tidy(run, "words"), FILES), path or shared_dir(spark))
 
 
 def with_starts(files: DataFrame) -> DataFrame:
-    """Adds start: the ids of all files before. Only a row for each part is summed up in one place."""
+    """Adds start: the ids of all files before. Only a row for each part is summed up in one place.
+
+    These rows go to all executors: they are as many as the parts that files were dealt out to, so no file is shuffled.
+    """
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     bases = parts.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    return files.join(bases, "part").withColumn("start", F.col("base") + F.col("start_in_part")).drop("base")
+    return files.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("start_in_part")).drop("base")
 
 
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
