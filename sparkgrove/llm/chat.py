@@ -1,8 +1,8 @@
 """Chat formatting with Spark expressions only.
 
 A conversation becomes one string. Each run of adjacent turns of one role is ``### role: part</part>part</turn>`` and a
-line feed. Inside texts a backslash is doubled and one is put inside ``</`` and ``###`` (and inside ``: `` in roles), so
-that no text can look like a mark and ``parse`` gives back every turn.
+line feed. Inside texts a backslash is doubled and one is put inside ``</`` and between each two ``#`` of a run (and inside
+``: `` in roles), so that no text holds ``###`` or ``</`` and ``parse`` gives back every turn.
 
 Turns are gathered in blocks of ``BLOCK`` turn numbers first and the blocks' strings then joined, so a long conversation
 isn't gathered turn by turn in one task; only its finished string is one value, as it must be.
@@ -27,11 +27,11 @@ def _replace(text: Column, old: str, new: str) -> Column:
 
 
 def escape(text: Column) -> Column:
-    return _replace(_replace(_replace(text, "\\", "\\\\"), "</", "<\\/"), "###", "#\\##")
+    return _replace(_replace(_replace(text, "\\", "\\\\"), "</", "<\\/"), "##", "#\\#")
 
 
 def unescape(text: Column) -> Column:
-    return _replace(_replace(_replace(text, "#\\##", "###"), "<\\/", "</"), "\\\\", "\\")
+    return _replace(_replace(_replace(text, "#\\#", "##"), "<\\/", "</"), "\\\\", "\\")
 
 
 def _escape_role(role: Column) -> Column:
@@ -123,3 +123,23 @@ def conversation_digest(turns: DataFrame) -> DataFrame:
         "conv_id", "n_turns", F.sha2(F.encode("lines", "UTF-8"), 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), "n_runs",
     )
+
+
+#: The same result in DuckDB's SQL, from the turns and the template instead of the formatted strings.
+ORACLE = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, role)
+), escaped AS (
+  SELECT *, replace(replace(replace(text, '\', '\'), '</', '<\/'), '##', '#\#') AS body,
+         replace(replace(replace(replace(role, '\', '\'), '</', '<\/'), '##', '#\#'), ': ', ':\ ') AS name,
+         coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) = role, false) AS same
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(body) + CASE WHEN same THEN length('</part>') ELSE length('### ') + length(name) + length(': ') + length('</turn>') + 1 END) AS BIGINT) AS formatted_chars,
+       CAST(count(*) FILTER (NOT same) AS BIGINT) AS n_runs
+FROM escaped GROUP BY conv_id
+"""

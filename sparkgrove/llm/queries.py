@@ -73,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": ngram_join.ORACLE,
+    "op4_chat": chat.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }

@@ -1,5 +1,7 @@
 import hashlib
-from itertools import groupby
+from itertools import groupby, product
+
+from pyspark.sql import functions as F
 
 from sparkgrove.llm import chat
 from sparkgrove.llm.queries import PLANTED_CONVERSATION, op4_chat
@@ -37,6 +39,13 @@ def test_odd_turns(spark):
     assert chat.conversation_digest(df.limit(0)).count() == 0
 
 
+def test_no_control_string_is_left_in_a_text(spark):
+    texts = ["".join(x) for n in range(9) for x in product("#\\</", repeat=n)]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").select("text", chat.escape(F.col("text")).alias("escaped"))
+    wrong = df.where((chat.unescape(F.col("escaped")) != F.col("text")) | F.contains("escaped", F.lit("###")) | F.contains("escaped", F.lit("</")))
+    assert df.count() == len(texts) and wrong.count() == 0 and df.select("escaped").distinct().count() == len(texts)
+
+
 def test_template_and_mask(spark):
     df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a </turn>"), (1, 2, "assistant", "b")], "conv_id long, turn long, role string, text string")
     out = chat.format_conversations(df)
