@@ -30,6 +30,10 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 3
 FIELD_TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 16: "Q"}
 
 
+#: No compression here makes more of a byte.
+LARGEST_GROWTH = 4096
+
+
 class TiffError(ValueError):
     """The file isn't a TIFF that can be decoded."""
 
@@ -82,6 +86,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         if not table:
             raise TiffError("LZW data doesn't begin with a clear code")
         if not last:
+            if code > 255:
+                raise TiffError("LZW code out of range")
             entry = table[code]
         else:
             if code < len(table):
@@ -155,10 +161,10 @@ def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, t
 
 
 def _page(data: bytes, tags: dict[int, tuple], order: str) -> Page:
-    one = lambda tag, default: tags.get(tag, (default,))[0]
+    one = lambda tag, default: (tags.get(tag) or (default,))[0]
     width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if not width or not height or len(set(tags.get(BITS, (1,)))) > 1:
+    if min(width, height, samples) <= 0 or len(set(tags.get(BITS, (1,)))) > 1:
         raise TiffError("no size, or samples of unlike sizes")
     if bits not in (1, 2, 4, 8, 16, 32, 64) or bits < 8 and (samples > 1 or predictor > 1):
         raise TiffError(f"{bits} bits a sample aren't supported here")
@@ -167,14 +173,18 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> Page:
     offsets, counts = (tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ()))
     planes = samples if one(PLANAR, 1) == 2 else 1
     inner = samples // planes
+    if min(tw, th) <= 0:
+        raise TiffError("strips or tiles without a size")
     across, down = -(-width // tw), -(-height // th)
-    if not tw or not th or len(offsets) != len(counts) or len(offsets) < across * down * planes:
+    if len(offsets) != len(counts) or len(offsets) < across * down * planes or min(offsets, default=0) < 0 or min(counts, default=0) < 0:
         raise TiffError("strips or tiles are missing")
     dtype = np.dtype(f"u{bits // 8}") if bits >= 8 else np.dtype("u1")
     row = tw * inner if bits >= 8 else -(-tw * bits // 8)  # in units of dtype
     if bits < 8 and across > 1 and tw * bits % 8:
         raise TiffError("tiles that share a byte")
     whole_row = width if bits >= 8 else -(-width * bits // 8)
+    if height * whole_row * samples * dtype.itemsize > LARGEST_GROWTH * sum(counts) or th * row * dtype.itemsize > LARGEST_GROWTH * max(counts):
+        raise TiffError("larger than what its strips or tiles can hold")
     parts: list[bytes] = []
     image = None if not tiled and planes == 1 else np.zeros((height, whole_row, samples if bits >= 8 else 1), dtype)
     for k in range(across * down * planes):
@@ -211,8 +221,10 @@ def decode_pages(data: bytes) -> Iterator[Page]:
             seen.add(at)
             tags, at = _directory(data, at, order, magic == 43)
             yield _page(data, tags, order)
-    except struct.error as e:
-        raise TiffError(f"cut short: {e}") from e
+    except TiffError:
+        raise
+    except (struct.error, ValueError, IndexError, ArithmeticError, MemoryError) as e:
+        raise TiffError(f"damaged: {e}") from e
 
 
 # ---- encoding -----------------------------------------------------------------------------------------------------
@@ -355,10 +367,15 @@ def payload_of(text: str) -> tuple[int, bytes]:
     return n, data + b"\0" * (-n % 64 if n else 64)
 
 
+#: How payloads are stored: compression, predictor and side of tiles (0: strips). A text's checksum picks one.
+LAYOUTS = [(DEFLATE, 2, 0), (DEFLATE, 1, 64), (LZW, 2, 0), (PACKBITS, 1, 64)]
+
+
 def store_payload(payload: bytes) -> bytes:
-    """Grey pages of 64 samples a row, of 65,536 rows at most."""
+    """Grey pages of 64 samples a row, of 65,536 rows at most, in one of LAYOUTS."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, PAYLOAD_WIDTH)
-    return encode([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)], DEFLATE, 2, STRIP_ROWS)
+    compression, predictor, tile = LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
+    return encode([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)], compression, predictor, STRIP_ROWS, tile)
 
 
 def features(pages: list[Page], samples: np.ndarray) -> str:
@@ -374,7 +391,8 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def text_media_digest(docs: DataFrame) -> DataFrame:
     """Each text as a TIFF, decoded again; one row per document. A null text is an empty one: 64 zero bytes.
 
-    Pages of one document are decoded, digested and dropped in turn; only the batch at hand is in memory.
+    The stored form goes through all codecs, strips and tiles, as the text's checksum has it. Of one document at a time the
+    payload, the file and the decoded pages are in memory.
     """
 
     def run(batch):

@@ -47,6 +47,43 @@ def test_pages_of_odd_files(spark):
     assert tiff.tiff_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("layout", tiff.LAYOUTS + [(tiff.NONE, 1, 0)])
+def test_damaged_files_give_errors_only(layout):
+    """Bytes changed at random, fields set to zero and to large numbers: pages or a TiffError, never another exception."""
+    compression, predictor, tile = layout
+    rng = np.random.default_rng(3)
+    good = tiff.encode([rng.integers(0, 9, (70, 40)).astype(np.uint8), np.ones((3, 3), np.uint8)], compression, predictor, 16, tile and 16)
+    for k in range(1500):
+        bad = bytearray(good)
+        for _ in range(rng.integers(1, 4)):
+            at = int(rng.integers(0, len(bad)))
+            bad[at : at + 4] = [b"\0\0\0\0", b"\xff\xff\xff\xff", bytes([int(rng.integers(0, 256))])][k % 3]
+        try:
+            list(tiff.decode_pages(bytes(bad)))
+        except tiff.TiffError:
+            pass
+
+
+def test_damaged_fields(spark):
+    def with_field(tag, value, count=1):
+        data = bytearray(tiff.encode([np.zeros((2, 3), np.uint8)], tiff.NONE, 1, 1, tile=16 if tag in (tiff.TILE_WIDTH, tiff.TILE_HEIGHT) else 0))
+        at = int.from_bytes(data[4:8], "little")
+        for k in range(int.from_bytes(data[at : at + 2], "little")):
+            e = at + 2 + 12 * k
+            if int.from_bytes(data[e : e + 2], "little") == tag:
+                data[e + 4 : e + 12] = count.to_bytes(4, "little") + value.to_bytes(4, "little")
+        return bytes(data)
+
+    fields = [(tiff.ROWS_PER_STRIP, 0), (tiff.TILE_WIDTH, 0), (tiff.TILE_HEIGHT, 0), (tiff.SAMPLES, 0), (tiff.WIDTH, 0), (tiff.WIDTH, 2**31), (tiff.HEIGHT, 2**32 - 1)]
+    files = [with_field(t, v) for t, v in fields] + [with_field(tiff.STRIP_OFFSETS, 8, 0), with_field(tiff.BITS, 8, 0)]
+    out = tiff.tiff_pages(spark.createDataFrame([(k, x) for k, x in enumerate(files)], "doc_id long, content binary")).collect()
+    out = [r for r in out if r.doc_id <= len(fields)]  # without a value for the bits there is the default
+    assert [r.page for r in out] == [-1] * (len(fields) + 1) and all(r.error for r in out)
+    lzw = int("".join(f"{c:09b}" for c in (256, 300, 257)).ljust(32, "0"), 2).to_bytes(4, "big")
+    with pytest.raises(tiff.TiffError):
+        tiff.lzw_decode(lzw, 3)
+
+
 def brute(text):
     data = (text or "").encode()
     padded = data + b"\0" * ((-len(data)) % 64 if data else 64)
@@ -63,7 +100,11 @@ def test_digest(request, name):
 
 
 def test_many_pages_and_none(no_documents):
-    _, payload = tiff.payload_of("z" * (64 * tiff.PAGE_ROWS + 1))
-    pages = list(tiff.decode_pages(tiff.store_payload(payload)))
-    assert len(pages) == 2 and b"".join(p.data for p in pages) == payload
+    kinds = set()
+    for end in "abcdefgh":
+        _, payload = tiff.payload_of("z" * (64 * tiff.PAGE_ROWS) + end)
+        pages = list(tiff.decode_pages(tiff.store_payload(payload)))
+        assert len(pages) == 2 and b"".join(p.data for p in pages) == payload
+        kinds.add(pages[0].compression)
+    assert len(kinds) > 1
     assert tiff.text_media_digest(no_documents).count() == 0
