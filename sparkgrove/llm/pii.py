@@ -1,8 +1,9 @@
 """Personal data: patterns propose, checks confirm, words nearby adjust the score.
 
 E-mail addresses, IP addresses, card and phone numbers are the base kinds; what fails its check is dropped and not tried
-again. The method adds IBANs (mod-97), short card numbers of 13 to 15 digits (Luhn) and social security numbers, which
-are reported only if their score, with the words around them, reaches ``THRESHOLD``.
+again. The method adds IBANs (mod-97), short card numbers of 13 to 15 digits (Luhn), social security numbers and secrets
+(long runs of letters and digits of high entropy), which are reported only if their score, with the whole words around them,
+reaches ``THRESHOLD``.
 
 All scans are linear in the text: an e-mail address is grown from its @ to both sides, and a run of digits is entered at
 its first digit only; both find just what the leftmost greedy patterns find.
@@ -14,14 +15,16 @@ repeated results; no rows give no rows; other columns of the input are not carri
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
 from sparkgrove.llm.common import id_text, map_batches, texts_of
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "card_short", "ssn")
+ADDED = ("iban", "card_short", "ssn", "secret")
 THRESHOLD = 0.5
 NEAR = 48  # code points on either side in which words count
 # The patterns and the words that speak for each kind.
@@ -32,6 +35,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,128}(?![A-Za-z0-9+/_-])")
 WORDS = {
     "email": ("mail", "contact", "write"),
     "ip": ("address", "host", "ip", "server"),
@@ -40,8 +44,10 @@ WORDS = {
     "iban": ("account", "bank", "iban", "konto"),
     "card_short": ("amex", "card", "credit", "diners"),
     "ssn": ("security", "social", "ssn"),
+    "secret": ("apikey", "bearer", "key", "password", "secret", "token"),
 }
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.8, "iban": 0.8, "card_short": 0.3, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.8, "iban": 0.8, "card_short": 0.3, "ssn": 0.3, "secret": 0.3}
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -75,8 +81,16 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    around = (text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()
-    return min(1.0, PRIOR[kind] + (0.4 if any(w in around for w in WORDS[kind]) else 0.0))
+    """The kind's prior, and more if one of its words stands whole within NEAR code points of the span."""
+    low, high = max(0, start - NEAR), min(len(text), end + NEAR)
+    before = [m[0] for m in WORD.finditer(text, low, start) if m.start() > low or not low or not text[low - 1].isalpha()]
+    after = [m[0] for m in WORD.finditer(text, end, high) if m.end() < high or high == len(text) or not text[high].isalpha()]
+    return min(1.0, PRIOR[kind] + (0.4 if any(w.lower() in WORDS[kind] for w in (*before, *after)) else 0.0))
+
+
+def entropy(run: str) -> float:
+    """Bits a character."""
+    return -sum(n / len(run) * math.log2(n / len(run)) for n in Counter(run).values())
 
 
 def spans(text: str) -> dict[str, list[tuple[int, int, float]]]:
@@ -101,6 +115,9 @@ def spans(text: str) -> dict[str, list[tuple[int, int, float]]]:
     for m in SSN.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             found["ssn"].append(m.span())
+    for m in SECRET.finditer(text):
+        if any("0" <= c <= "9" for c in m[0]) and any(c.isalpha() for c in m[0]) and entropy(m[0]) >= 3:
+            found["secret"].append(m.span())
     scored = {k: [(a, b, score(text, k, a, b)) for a, b in v] for k, v in found.items()}
     return {k: v if k in BASE else [x for x in v if x[2] >= THRESHOLD] for k, v in scored.items()}
 

@@ -44,10 +44,16 @@ def test_cards_and_others():
     assert base(text) == brute(text)
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
     found = pii.spans("iban GB82 WEST 1234 5698 7654 32, amex 378282246310005; 378282246310005 alone" + " " * 60 + "378282246310005" + " " * 60 + "social security 123-45-6789")
-    assert [len(found[k]) for k in pii.ADDED] == [1, 2, 1]
+    assert [len(found[k]) for k in pii.ADDED] == [1, 2, 1, 0]
     assert pii.redact("write to a@b.co now") == "write to <EMAIL> now"
 
 
+def test_context_words_are_whole_words():
+    run = "cf1d64a9a4cd9723e1f4eafc27395915e6868ffa"
+    for text, kinds in [("antisocialite 123-45-6789", []), ("social 123-45-6789", ["ssn"]), ("x" * 60 + "social 123-45-6789", []), (f'token = "{run}"', ["secret"]), (f"tokens of {run}", []), ("key " + "a" * 40, []), (f"é {run} (KEY)", ["secret"])]:
+        assert [k for k, v in pii.spans(text).items() if v] == kinds, text
+
+
 @pytest.mark.parametrize("name", ["documents", "odd_documents"])
 def test_query(request, name):
     docs = request.getfixturevalue(name)
