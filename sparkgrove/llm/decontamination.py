@@ -2,13 +2,16 @@
 
 1. How often each benchmark word occurs is counted over all documents.
 2. Of each window of ``n`` item words the rarest ``LISTS`` places are its anchors; a window with a word that no document
-   has can't occur and goes. The documents' postings (word, doc_id, position) of all anchor words are stored as a table.
+   has can't occur and goes. The postings (word, mark, position) of all anchor words are stored as a table; the mark is a
+   hash of the whole text, so that exact copies are one document here.
 3. A posting minus its word's place in the item is the place where the item would begin. Lists so adjusted are intersected:
    a beginning stays where all anchors of some window have it. It stands for all windows of the item at once, so a passage
    that many documents share makes one row for each occurrence, not one for each window.
-4. At each beginning that is left the words of document and item are compared once, and runs of ``n`` equal words are hits.
+4. At each beginning that is left all postings of the item's words are met, a row for each place; runs of ``n`` places in a
+   row are hits. Only texts with beginnings are split for that, and no text is shuffled for it.
 
-``proximity_matches`` finds the places where all words of an item stand within some distance, from the rarest word's list.
+``phrase_hits`` gives the hits; ``proximity_matches`` finds the places where all words of an item stand within some
+distance, from the rarest word's list.
 
 Defined results: null texts have no words; an item of fewer than n words, but not none, is one window; repeated items and
 item_ids count once; documents with equal ids are each compared with their own text; a null doc_id or item_id is kept (a
@@ -21,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sparkgrove.llm.common import ascii_lower, id_text, stored, stored_small
+from sparkgrove.llm.common import ascii_lower, id_text, limited, stored, stored_small
 
 N = 10
 LISTS = 2
-#: Words of the benchmark that are sent to all executors; with more of them they are joined by a shuffle.
+#: Rows and bytes that are sent to all executors; with more of them joins shuffle.
 BROADCAST_WORDS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 #: What stands between words, in text whose letters still have their case.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -36,15 +40,23 @@ def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
+def mark_of(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, word: a row for each word, which isn't stored or shuffled as it is."""
-    rows = docs.select("doc_id", F.posexplode(raw_words(F.col("text"))).alias("pos", "raw"))
-    return rows.select("doc_id", "pos", ascii_lower(F.col("raw")).alias("word"))
+    """mark, pos, word: a row for each word, which isn't stored or shuffled as it is."""
+    rows = docs.select(mark_of(F.col("text")).alias("mark"), F.posexplode(raw_words(F.col("text"))).alias("pos", "raw"))
+    return rows.select("mark", "pos", ascii_lower(F.col("raw")).alias("word"))
+
 
+def small(rows: DataFrame, weight: Column) -> DataFrame:
+    """Marked for broadcast if it is BROADCAST_WORDS rows and, by their weights, BROADCAST_BYTES at most."""
+    return limited(rows, BROADCAST_WORDS, weight, BROADCAST_BYTES)
 
-def small(words: DataFrame) -> DataFrame:
-    """Marked for broadcast if it is a table of BROADCAST_WORDS rows at most."""
-    return F.broadcast(words) if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else words
+
+def by_word(words: DataFrame) -> DataFrame:
+    return small(words, F.octet_length("word") + 48)
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -55,12 +67,12 @@ def item_words(items: DataFrame) -> DataFrame:
 
 def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     """word, n: how often each of the words occurs in docs; words that don't occur are missing."""
-    return occurrences(docs).join(small(words), "word").groupBy("word").agg(F.count("*").alias("n"))
+    return occurrences(docs).join(by_word(words), "word").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def store_postings(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """The stored table (word, doc_id, pos) of the words' occurrences in docs."""
-    return stored(occurrences(docs).join(small(words), "word").select("word", "doc_id", "pos"))
+    """The stored table (word, mark, pos) of the words' occurrences in docs."""
+    return stored(occurrences(docs).join(by_word(words), "word").select("word", "mark", "pos"))
 
 
 def anchored(items: DataFrame, counts: DataFrame, n: int = N, lists: int = LISTS) -> DataFrame:
@@ -75,61 +87,60 @@ def anchored(items: DataFrame, counts: DataFrame, n: int = N, lists: int = LISTS
 
 
 def beginnings(postings: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, words, n, first: where the lists of a window's anchors, each less its place, meet."""
+    """mark, item_id, words_key, n, first: where the lists of a window's anchors, each less its place, meet."""
     anchors = items.select("item_id", "words", F.explode(F.array_distinct(F.flatten("windows"))).alias("place"))
     anchors = anchors.select("item_id", "place", F.xxhash64("words").alias("words_key"), F.element_at("words", F.col("place") + 1).alias("word"))
-    adjusted = postings.join(small(anchors), "word").select("doc_id", "item_id", "words_key", (F.col("pos") - F.col("place")).alias("first"), "place")
-    met = adjusted.groupBy("doc_id", "item_id", "words_key", "first").agg(F.collect_set("place").alias("places"))
-    keyed = items.withColumn("words_key", F.xxhash64("words"))
-    whole = met.join(small(keyed), ["item_id", "words_key"])
-    return whole.where(F.exists("windows", lambda w: F.size(F.array_except(w, F.col("places"))) == 0)).select("doc_id", "item_id", "words", "n", "first")
-
-
-def _hits(words: Column, begin: Column) -> Column:
-    """Positions of the words in runs of n that equal the item's, laid along the document from begin.first."""
-    none = F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("hits"))
-
-    def step(state: Column, place: Column) -> Column:
-        at = begin["first"] + place
-        same = F.coalesce(ascii_lower(F.get(words, at)) == F.get(begin["words"], place), F.lit(False))
-        run = F.when(same, state["run"] + 1).otherwise(0)
-        more = F.when(run == begin["n"], F.sequence(at - begin["n"] + 1, at)).when(run > begin["n"], F.array(at)).otherwise(F.array().cast("array<int>"))
-        return F.struct(run.alias("run"), F.when(run >= begin["n"], F.concat(state["hits"], more)).otherwise(state["hits"]).alias("hits"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(begin["words"]) - 1), none, step)["hits"]
+    adjusted = postings.join(small(anchors, F.octet_length("word") + F.octet_length("item_id") + 48), "word").select("mark", "item_id", "words_key", (F.col("pos") - F.col("place")).alias("first"), "place")
+    met = adjusted.groupBy("mark", "item_id", "words_key", "first").agg(F.collect_set("place").alias("places"))
+    keyed = items.select("item_id", F.xxhash64("words").alias("words_key"), "n", "windows")
+    whole = met.join(small(keyed, 48 * (F.size("windows") + 2)), ["item_id", "words_key"])
+    return whole.where(F.exists("windows", lambda w: F.size(F.array_except(w, F.col("places"))) == 0)).select("mark", "item_id", "words_key", "n", "first")
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, text, n_words and found: the items with windows in the text and the positions of their words there."""
+    """mark (of the text), item_id, from_pos and to_pos: the stretches of words, both ends included, that windows of items cover."""
     words = stored_small(item_words(items))
     vocabulary = words.select(F.explode("words").alias("word")).distinct()
-    plan = stored_small(anchored(words, word_counts(docs, vocabulary), n))
-    anchor_words = plan.select(F.explode(F.transform(F.array_distinct(F.flatten("windows")), lambda p: F.element_at("words", p + 1))).alias("word")).distinct()
-    begins = beginnings(store_postings(docs, anchor_words), plan)
-    by_doc = begins.groupBy(F.col("doc_id").alias("begin_doc")).agg(F.collect_set(F.struct("item_id", "words", "n", "first")).alias("begins"))
-    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("begin_doc")), "left").select("doc_id", "text", raw_words(F.col("text")).alias("doc_words"), "begins")
-    begins = F.coalesce("begins", F.array().cast(by_doc.schema["begins"].dataType))
-    # the words are bound in a function of elements, so that they are split once however the plan is rearranged
-    found = F.element_at(F.transform(F.array("doc_words"), lambda words: F.transform(begins, lambda b: F.struct(b["item_id"].alias("item_id"), _hits(words, b).alias("hits")))), 1)
-    return joined.select("doc_id", "text", F.size("doc_words").cast("long").alias("n_words"), F.filter(found, lambda f: F.size(f["hits"]) > 0).alias("found"))
+    plan = stored_small(anchored(words, stored_small(word_counts(docs, vocabulary)), n))
+    anchor_words = stored_small(plan.select(F.explode(F.transform(F.array_distinct(F.flatten("windows")), lambda p: F.element_at("words", p + 1))).alias("word")).distinct())
+    begins = stored_small(beginnings(store_postings(docs, anchor_words), plan))
+    places = plan.select("item_id", F.xxhash64("words").alias("words_key"), F.posexplode("words").alias("place", "word"))
+    expected = begins.join(places, ["item_id", "words_key"]).withColumn("pos", F.col("first") + F.col("place")).where("pos >= 0")
+    marks = begins.select(F.col("mark").alias("_mark")).distinct()
+    concerned = docs.join(limited(marks, BROADCAST_WORDS), mark_of(F.col("text")) == F.col("_mark"), "left_semi")
+    met = expected.join(occurrences(concerned), ["mark", "pos", "word"], "left_semi")
+    begin = ["mark", "item_id", "words_key", "n", "first"]
+    runs = met.withColumn("run", F.col("place") - F.row_number().over(W.Window.partitionBy(*begin).orderBy("place")))
+    runs = runs.groupBy(*begin, "run").agg(F.min("pos").alias("from_pos"), F.max("pos").alias("to_pos")).where(F.col("to_pos") - F.col("from_pos") + 1 >= F.col("n"))
+    return runs.select("mark", "item_id", "from_pos", "to_pos").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """One row per document: its words, those that are hit, the items hit, and whether any is."""
-    hits = phrase_hits(id_text(docs), items, n)
-    return hits.select(
-        "doc_id", "n_words",
-        F.size(F.array_distinct(F.flatten(F.transform("found", lambda f: f["hits"])))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item_id"]))).alias("items"),
-    ).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    docs = id_text(docs)
+    hits = stored_small(phrase_hits(docs, items, n))
+    found = hits.groupBy("mark").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    hit = hits.select("mark", F.explode(F.sequence("from_pos", "to_pos")).alias("pos")).distinct().groupBy("mark").agg(F.count("*").alias("n_hit"))
+    digest = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
+    by_text = stored_small(hit.join(found, "mark").select(F.col("mark").alias("_mark"), "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256")))
+    rows = docs.select("doc_id", mark_of(F.col("text")).alias("mark"), F.size(raw_words(F.col("text"))).cast("long").alias("n_words"))
+    joined = rows.join(limited(by_text, BROADCAST_WORDS), F.col("mark") == F.col("_mark"), "left")
+    none = F.sha2(F.encode(F.lit(""), "UTF-8"), 256)
+    return joined.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", none).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
+def contaminated_marks(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
+    """mark: hashes of the texts in which windows of items occur."""
+    return phrase_hits(id_text(docs), items, n).select("mark").distinct()
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, distance: int) -> DataFrame:
-    """item_id, doc_id, pos: occurrences of an item's rarest word with all its other words at most ``distance`` words away.
+    """item_id, mark (of the text), pos: occurrences of an item's rarest word with all its other words at most ``distance`` words away.
 
-    Postings are joined by document and stretch of ``distance`` words, so a long document isn't joined with itself.
+    Postings are joined by text and stretch of ``distance`` words, so a long document isn't joined with itself.
     """
     docs = id_text(docs)
     words = stored_small(item_words(items))
@@ -140,10 +151,10 @@ def proximity_matches(docs: DataFrame, items: DataFrame, distance: int) -> DataF
     ranked = terms.join(counts, "word", "left").withColumn("k", F.row_number().over(by_item.orderBy(F.col("n").asc_nulls_first(), "word")))
     possible = ranked.withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(by_item)).where("least > 0")
     step = max(1, distance)
-    hits = store_postings(docs, vocabulary).join(possible, "word").withColumn("stretch", F.floor(F.col("pos") / step))
-    rarest = hits.where("k = 1").select("item_id", "words_key", "doc_id", F.col("pos").alias("at"), "n_terms", F.explode(F.array(F.col("stretch") - 1, F.col("stretch"), F.col("stretch") + 1)).alias("stretch"))
-    near = rarest.join(hits.select("item_id", "words_key", "doc_id", "stretch", "pos", "word"), ["item_id", "words_key", "doc_id", "stretch"]).where(F.abs(F.col("pos") - F.col("at")) <= distance)
-    return near.groupBy("item_id", "words_key", "doc_id", "at", "n_terms").agg(F.count_distinct("word").alias("n")).where("n = n_terms").select("item_id", "doc_id", F.col("at").alias("pos")).distinct()
+    hits = store_postings(docs, vocabulary).distinct().join(possible, "word").withColumn("stretch", F.floor(F.col("pos") / step))
+    rarest = hits.where("k = 1").select("item_id", "words_key", "mark", F.col("pos").alias("at"), "n_terms", F.explode(F.array(F.col("stretch") - 1, F.col("stretch"), F.col("stretch") + 1)).alias("stretch"))
+    near = rarest.join(hits.select("item_id", "words_key", "mark", "stretch", "pos", "word"), ["item_id", "words_key", "mark", "stretch"]).where(F.abs(F.col("pos") - F.col("at")) <= distance)
+    return near.groupBy("item_id", "words_key", "mark", "at", "n_terms").agg(F.count_distinct("word").alias("n")).where("n = n_terms").select("item_id", "mark", F.col("at").alias("pos")).distinct()
 
 
 #: The same result in DuckDB's SQL: all windows of all documents against those of the items.

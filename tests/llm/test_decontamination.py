@@ -78,7 +78,9 @@ def test_tables(spark, request, name):
 def test_proximity(spark, made):
     docs, items = made
     docs = [d for d in docs if d[0] != 5]
-    out = {(r.item_id, r.doc_id, r.pos) for r in decontamination.proximity_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(50, "De ü"), (51, "a Zz x2"), (52, "nowhere a")], "item_id long, text string"), 3).collect()}
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    keys = {r.mark: r.doc_id for r in table.select("doc_id", decontamination.mark_of(table.text).alias("mark")).collect()}
+    out = {(r.item_id, keys[r.mark], r.pos) for r in decontamination.proximity_matches(table, spark.createDataFrame([(50, "De ü"), (51, "a Zz x2"), (52, "nowhere a")], "item_id long, text string"), 3).collect()}
     counts = {}
     for _, t in docs:
         for w in words_of(t):
