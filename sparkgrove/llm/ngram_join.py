@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import id_text, map_batches, stored, stored_small, texts_of, tidy, to_arrow
+from sparkgrove.llm.common import id_text, limited as within, map_batches, stored, stored_small, texts_of, tidy, to_arrow
 from sparkgrove.llm.graph import components
 
 WORDS = 5
@@ -37,7 +37,7 @@ PERCENT = 80
 BUCKET_BITS = 18
 #: Up to so many classes with one n-gram are paired with each other at once.
 FEW = 16
-#: An n-gram in more documents than this is dealt out in parts of about this many rows.
+#: An n-gram in more documents than this, and than four times the mean of all buckets, is dealt out in parts of so many rows.
 PART_ROWS = 4096
 #: Members of a component against which others are tried before all are.
 TRIED = 6
@@ -105,6 +105,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int = WORDS, percent: i
     salts: the part for each token of the prefix, -1 where the token isn't dealt out in parts; null if all are -1.
     """
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    part_rows = max(PART_ROWS, int(4 * counts.mean()))
 
     def run(batch):
         counts = shared.value
@@ -115,7 +116,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int = WORDS, percent: i
             n = len(x)
             often = counts[(x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
             first = np.lexsort((x, often))[: n - needed(n, percent) + 1 if n else 0]
-            parts = -(-often[first] // PART_ROWS)
+            parts = -(-often[first] // part_rows)
             data = x.tobytes()
             mine = xxhash.xxh3_64_intdigest(str(key)) & 0x7FFFFFFF
             row = (
@@ -194,8 +195,7 @@ def shared_prefixes(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def limited(rows: DataFrame, most: int | None = None) -> DataFrame:
     """Marked for broadcast if it has ``most`` rows (BROADCAST_ROWS) at most."""
-    most = BROADCAST_ROWS if most is None else most
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+    return within(rows, BROADCAST_ROWS if most is None else most)
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, words: int = WORDS) -> DataFrame:
@@ -240,7 +240,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     docs = id_text(docs)
     table = stored(prefixes(docs, bucket_counts(docs, words), words, percent))
     keys = ["n", "key1", "key2"]
-    classes = stored_small(table.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")))
+    classes = stored_small(table.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
     own = table.where("n > 0").join(limited(classes.where("rep IS NOT NULL").select("rep").distinct()), F.col("doc_id") == F.col("rep"), "left_semi")
     own = own.select(F.col("doc_id").alias("rep"), "n", F.posexplode(F.arrays_zip("tokens", F.coalesce("salts", F.transform("tokens", lambda t: F.lit(-1))).alias("salts"))).alias("pos", "e"))
     first = stored(shared_prefixes(own.select(F.col("e.tokens").alias("token"), F.col("e.salts").alias("salt"), "rep", "n", "pos"), percent))
@@ -276,8 +276,12 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         different = (F.col("o.component") != F.col("x.component")) & ((F.col("x.component") == F.col("x.largest")) | (F.col("o.rep") < F.col("x.rep")))
         more(known.alias("x").join(limited(others, BROADCAST_MARKS).alias("o"), same & different & allowed("o", "x")))
     found = components(links)
-    named = table.select("doc_id", *keys).join(classes, keys, "left").join(found, F.col("rep") == F.col("node"), "left")
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    # documents without n-grams are linked with nothing: they need no join, where all of them would be one key;
+    # nor do those that are alone in their class and component
+    linked = stored_small(classes.join(limited(found), F.col("rep") == F.col("node"), "left").where("members > 1 OR component IS NOT NULL").select(*keys, F.coalesce("component", "rep").alias("linked")))
+    named = table.where("n > 0").select("doc_id", *keys).join(limited(linked), keys, "left").select("doc_id", "n", "linked")
+    named = named.unionByName(table.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("linked")))
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("linked", "doc_id").alias("component_id"))
 
 
 def _members(known: DataFrame, seed: int) -> DataFrame:
