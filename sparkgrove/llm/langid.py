@@ -4,14 +4,15 @@ Each word has features of its beginning and end, its character n-grams and itsel
 ``DIMENSIONS`` weights a label; transitions between neighbours' labels are learnt too. ``LanguageModel.label_words``
 labels the words of code-switched text by forward-backward; a document's language is that of its largest mean posterior.
 
-Training takes whole texts of ``SAMPLE_ROWS`` documents for each language at most, the first by a hash of their ids, cuts
-them into stretches and strings those together with changes of language among them, so that changes can be learnt.
+Training takes texts of ``SAMPLE_ROWS`` documents for each language at most, the first by a hash of their ids. Executors cut
+them into stretches and turn their words into numbers; ``STRETCHES`` of a language at most come to the driver, which strings
+them together with changes of language among them, so that changes can be learnt.
 
 Forward-backward runs on many documents at once: each is cut into blocks; the blocks' matrices are multiplied up side by
 side, carried from block to block, and then the posteriors within all blocks found side by side. It is exact.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; repeated rows give repeated results;
-without documents to learn from every text is ``und``; with one language all texts that have letters are of it; no rows
+without documents to learn from every text is ``und``; more than ``MOST_LANGUAGES`` values of lang are an error; with one language all texts that have letters are of it; no rows
 give no rows; other columns of the input are not carried.
 """
 
@@ -19,14 +20,19 @@ from __future__ import annotations
 
 import re
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from sparkgrove.llm.common import first_by_hash, id_text, map_batches, texts_of
+from sparkgrove.llm.common import first_by_hash, id_text, map_batches, stored, texts_of
 
 SAMPLE_ROWS = 400
+STRETCHES = 4000
+MOST_LANGUAGES = 256
 DIMENSIONS = 1 << 16
 WORDS_KEPT = 300_000
 BLOCK = 64
@@ -161,33 +167,48 @@ class LanguageModel:
         return [(w, self.labels[p.argmax()], float(p.max())) for w, p in zip(words, post, strict=True)]
 
 
-def stretches(texts: list[tuple[str, int]], seed: int = 1) -> tuple[list[str], np.ndarray]:
-    """All words of the texts in stretches of 4 to 60 words, one after another in mixed order, and their labels."""
-    rng = np.random.default_rng(seed)
-    cut: list[tuple[list[str], int]] = []
-    for text, label in texts:
-        words, at = words_of(text), 0
-        while at < len(words):
-            n = int(rng.integers(4, 61))
-            cut.append((words[at : at + n], label))
-            at += n
-    rng.shuffle(cut)
-    return [w for x, _ in cut for w in x], np.repeat([y for _, y in cut], [len(x) for x, _ in cut]) if cut else np.zeros(0, int)
+def stretches(text: str, seed: int) -> list[list[str]]:
+    """The words of a text in stretches of 4 to 60."""
+    rng, words, out, at = np.random.default_rng(seed), words_of(text), [], 0
+    while at < len(words):
+        n = int(rng.integers(4, 61))
+        out.append(words[at : at + n])
+        at += n
+    return out
 
 
-def train(texts: list[tuple[str, str]], steps: int = 40, ridge: float = 1e-6) -> LanguageModel:
+@dataclass
+class Sample:
+    """Numbered words of stretches, and the features of each number."""
+
+    labels: list[str]
+    words: list[np.ndarray]
+    label_of: list[int]
+    features: np.ndarray
+    starts: np.ndarray
+
+
+def gathered(rows: list[tuple[str, np.ndarray]], features_of: dict[int, np.ndarray]) -> Sample:
+    """rows: (language, words as hashes) of stretches, already in mixed order."""
+    labels = sorted({y for y, _ in rows})
+    known = np.array(sorted(features_of), np.int64)
+    counts = [len(features_of[w]) for w in known.tolist()]
+    features = np.concatenate([features_of[w] for w in known.tolist()]) if len(known) else np.zeros(0, np.int64)
+    return Sample(labels, [np.searchsorted(known, x) for _, x in rows], [labels.index(y) for y, _ in rows], features, np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64))
+
+
+def train(sample: Sample, steps: int = 40, ridge: float = 1e-6) -> LanguageModel:
     """Maximum likelihood by gradient steps over all stretches, in sequences of BLOCK words."""
-    labels = sorted({y for _, y in texts})
+    labels, features, starts = sample.labels, sample.features, sample.starts
     k = len(labels)
     weights, transition = np.zeros((DIMENSIONS, k), np.float32), np.zeros((k, k))
-    words, gold = stretches([(x, labels.index(y)) for x, y in texts])
-    n = len(words) // BLOCK
+    n = sum(map(len, sample.words)) // BLOCK
     if k < 2 or not n:
         return LanguageModel(labels, weights, transition)
-    words, gold = words[: n * BLOCK], gold[: n * BLOCK].reshape(n, BLOCK).T  # a rest shorter than a sequence isn't trained on
-    place: dict[str, int] = {}
-    ids = np.array([place.setdefault(w, len(place)) for w in words]).reshape(n, BLOCK).T
-    features, starts = word_grams(list(place))
+    # a rest shorter than a sequence isn't trained on
+    ids = np.concatenate(sample.words)[: n * BLOCK].reshape(n, BLOCK).T
+    gold = np.repeat(sample.label_of, [len(x) for x in sample.words])[: n * BLOCK].reshape(n, BLOCK).T
+    n_words = len(starts)
     counts = np.diff(np.concatenate([starts, [len(features)]]))
     eye, sums = np.eye(k), [np.zeros_like(weights, float), np.zeros((k, k))]
     for _ in range(steps):
@@ -207,7 +228,7 @@ def train(texts: list[tuple[str, str]], steps: int = 40, ridge: float = 1e-6) ->
         pair = (pair / pair.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
         seen = np.bincount((gold[:-1] * k + gold[1:]).reshape(-1), minlength=k * k).reshape(k, k)
         error = (eye[gold] - post).reshape(-1, k)
-        by_word = np.stack([np.bincount(ids.reshape(-1), error[:, y], len(place)) for y in range(k)], axis=1)
+        by_word = np.stack([np.bincount(ids.reshape(-1), error[:, y], n_words) for y in range(k)], axis=1)
         grown = [np.stack([np.bincount(features, np.repeat(by_word[:, y], counts), DIMENSIONS) for y in range(k)], axis=1) - ridge * ids.size * weights, seen - pair - 1e-3 * transition]
         for x, g, s, rate in zip((weights, transition), grown, sums, (0.2, 0.3), strict=True):
             s += g * g
@@ -220,11 +241,43 @@ def may_learn(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 != 2
 
 
-def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
+def word_hash(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in words], np.int64)
+
+
+def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = STRETCHES) -> LanguageModel:
+    """Fits the model. Only hashes of words and numbers of features come to the driver."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("group")).where("group IS NOT NULL AND doc_id IS NOT NULL").where(may_learn(F.col("doc_id")))
+    if own.select("group").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     picked = first_by_hash(own, rows).select(F.col("doc_id").alias("picked_id"), F.col("group").alias("lang")).dropDuplicates()
-    texts = id_text(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("doc_id", "text", "lang").collect()
-    return train([(r.text or "", r.lang) for r in sorted(texts, key=lambda r: (r.doc_id, r.lang, r.text or ""))])
+    texts = id_text(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("doc_id", "text", "lang")
+
+    def cut(batch):
+        out: dict[str, list] = {"lang": [], "place": [], "words": []}
+        for key, text, lang in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("lang").to_pylist(), strict=True):
+            for k, words in enumerate(stretches(text, key & 0xFFFFFFFF)):
+                out["lang"].append(lang)
+                out["place"].append(xxhash.xxh3_64_intdigest(f"{key}:{k}:{words[0]}") - (1 << 63))
+                out["words"].append(words)
+        yield out
+
+    cuts = map_batches(texts, cut, "lang string, place long, words array<string>")
+    first = W.Window.partitionBy("lang").orderBy("place", "words")
+    chosen = stored(cuts.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).select("lang", "place", "words"))
+
+    def hashed(batch):
+        yield {"lang": batch.column("lang"), "place": batch.column("place"), "words": [word_hash(x) for x in batch.column("words").to_pylist()]}
+
+    def featured(batch):
+        words = sorted({w for x in batch.column("words").to_pylist() for w in x})
+        features, starts = word_grams(words)
+        yield {"word": word_hash(words), "features": np.split(features, starts[1:])}
+
+    found = map_batches(chosen, hashed, "lang string, place long, words array<long>").toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
+    numbers = map_batches(chosen, featured, "word long, features array<int>").groupBy("word").agg(F.first("features").alias("features")).toArrow()
+    features_of = dict(zip(numbers["word"].to_pylist(), (np.array(x, np.int64) for x in numbers["features"].to_pylist()), strict=True))
+    return train(gathered(list(zip(found["lang"].to_pylist(), (np.array(x, np.int64) for x in found["words"].to_pylist()), strict=True)), features_of))
 
 
 PREDICTIONS = "doc_id long, held_out boolean, lang_pred string, score double"
