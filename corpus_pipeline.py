@@ -69,11 +69,9 @@ def _without_near_copies(docs: DataFrame) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten consecutive words of a benchmark item go, whatever their ids: the search knows them by their texts' hashes."""
-    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     # stored first, so that the filter on it isn't worked out within the search
-    found = stored(decontamination.decontaminate(by_text, table(spark, sf_dir, "benchmark"), n=10).select("doc_id", "contaminated"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(ngram_join.limited(gone), F.xxhash64("text") == F.col("_gone"), "left_anti")
+    gone = stored_small(decontamination.contaminated_marks(docs, table(spark, sf_dir, "benchmark"), n=10).select(F.col("mark").alias("_gone")))
+    return docs.join(ngram_join.limited(gone), decontamination.mark_of(F.col("text")) == F.col("_gone"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
