@@ -12,6 +12,7 @@ from pyspark.sql import window as W
 from sparkgrove.functions.globs import matches_glob
 from sparkgrove.functions.text import lines_of, literal_ranges, regex_ranges
 from sparkgrove.plans.planner import SearchPlan
+from sparkgrove.plans.regex import for_python
 
 #: At most so many matching lines of a file count.
 LINE_CAP = 1000
@@ -50,13 +51,7 @@ def match_ranges(plan: SearchPlan, line: Column) -> Column:
 
 def can_be_empty(plan: SearchPlan) -> bool:
     """Whether the pattern may match between characters, where ranges can't be told from stretches between matches."""
-    return plan.is_regex and not _has_width(plan.java)
-
-
-def _has_width(java: str) -> bool:
-    """Only patterns without anything that may match nothing are sure to have width."""
-    plain = java.split(")", 1)[1]
-    return not any(c in plain for c in "*?|^$") and "\\b" not in plain and "\\B" not in plain and "{0" not in plain
+    return plan.is_regex and not plan.least_width
 
 
 RANGES = "repo string, path string, line_number int, line string, match_ranges array<struct<start:int,end:int>>"
@@ -78,10 +73,7 @@ def matching_lines(texts: DataFrame, plan: SearchPlan, cap: int = LINE_CAP) -> D
 
 def _python_ranges(plan: SearchPlan):
     """Ranges of patterns that may match nothing, by Arrow batches. An empty match beside the match before isn't one."""
-    import re
-
-    flags = re.IGNORECASE if plan.ignore_case else 0
-    pattern = re.compile(re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), plan.java.split(")", 1)[1]).replace("(?<", "(?P<"), flags)
+    pattern = for_python(plan.java, plan.ignore_case)
 
     def of(line: str) -> list[dict]:
         out, last = [], -1

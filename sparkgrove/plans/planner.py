@@ -46,6 +46,7 @@ class SearchPlan:
     needs: Formula
     lowered: bool  # the trigrams are those of the lower-cased text
     java: str | None = None
+    least_width: int = 1
 
     @property
     def trigrams(self) -> list[int]:
@@ -76,6 +77,9 @@ def _literal_plan(query: str, ignore_case: bool, mode: str) -> SearchPlan:
 def _regex_plan(query: str, ignore_case: bool, mode: str) -> SearchPlan:
     try:
         node, java = regex.compile_regex(query, ignore_case)
+        width = regex.least_width(node)
+        if not width:
+            regex.for_python(java, ignore_case)
     except InvalidRegex as e:
         raise BadRegex(f"invalid regex: {e}") from e
     found = regex.fragments(node)
@@ -88,13 +92,13 @@ def _regex_plan(query: str, ignore_case: bool, mode: str) -> SearchPlan:
         needs = Formula(frozenset(t for x in found for t in extract(x.encode())))
     else:
         needs = regex.formula(regex.case_folded(node) if ignore_case else node)
-    return SearchPlan(query, True, ignore_case, mode, needs, ignore_case and mode == "exact", java)
+    return SearchPlan(query, True, ignore_case, mode, needs, ignore_case and mode == "exact", java, width)
 
 
 def _uncased(node: regex.Node) -> regex.Node:
     if node.kind == "literal":
         return regex.Node("concat", parts=[regex.Node("literal", c) if c.lower() == c.upper() else regex.Node("any") for c in node.text])
-    return regex.Node(node.kind, node.text, [_uncased(p) for p in node.parts], node.least)
+    return regex.Node(node.kind, node.text, [_uncased(p) for p in node.parts], node.least, node.width)
 
 
 def effective_limit(asked: int, server: int) -> int:
