@@ -27,14 +27,5 @@ def extract_unique(data: bytes) -> list[int]:
     return list(dict.fromkeys(extract(data)))
 
 
-def hex_trigrams(content: Column) -> Column:
-    """All windows of a binary or string column as six hexadecimal digits, in one pass over the text."""
-    return F.regexp_extract_all(F.hex(content), F.lit(r"(?=(.{6}))(?:..)"), F.lit(1))
-
-
-def trigram_of_hex(digits: Column) -> Column:
-    return F.conv(digits, 16, 10).cast("int")
-
-
 def hex_of(trigram: int) -> str:
     return f"{trigram:06X}"

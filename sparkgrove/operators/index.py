@@ -1,39 +1,79 @@
-"""The trigram index: postings of files, and the files that have what a plan needs."""
+"""The trigram index: postings of files, and the files that have what a plan needs.
+
+Postings have a row for each trigram of each file, so counting a file's rows counts its trigrams.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrove.functions.trigrams import hex_trigrams, trigram_of_hex
 from sparkgrove.plans.planner import SearchPlan
 from sparkgrove.plans.regex import Formula
 
 
+POSTINGS = "repo string, path string, tri int, raw boolean, folded boolean"
+
+
 def postings(files: DataFrame) -> DataFrame:
-    """repo, path, folded, tri: each distinct trigram of each file, of its bytes and (folded) of its lower-cased text.
+    """repo, path, tri, raw, folded: each distinct trigram of each file; raw: of its bytes, folded: of its lower-cased text.
 
-    A row needs no other row, so there is no shuffle. Files whose lower case is the same keep one kind, for both.
+    A row needs no other row, so there is no shuffle. The lower case is Spark's own, as in matching; the windows over the
+    bytes are taken by array operations on Arrow batches.
     """
-    text = F.col("content").cast("string")
-    low = F.lower(text).cast("binary")
-    raw = files.select("repo", "path", F.lit(False).alias("folded"), F.explode(F.array_distinct(hex_trigrams(F.col("content")))).alias("hex"))
-    folded = files.select("repo", "path", F.lit(True).alias("folded"), F.explode(F.array_distinct(hex_trigrams(low))).alias("hex"))
-    return raw.unionAll(folded).select("repo", "path", "folded", trigram_of_hex(F.col("hex")).alias("tri"))
+    low = F.lower(F.col("content").cast("string")).cast("binary")
+    given = files.select("repo", "path", "content", F.when(low != F.col("content"), low).alias("low"))
+    return given.mapInArrow(_postings_of(), POSTINGS)
+
+
+def _postings_of():
+    """The task's function; it is sent as it is, so that executors needn't have this package."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        def windows(data):
+            """The distinct 3-byte windows, ascending."""
+            a = np.frombuffer(data, np.uint8).astype(np.int32)
+            return np.unique(a[:-2] << 16 | a[1:-1] << 8 | a[2:]) if len(a) > 2 else a[:0]
+
+        def of(batch):
+            grams, raws, folds, sizes = [], [], [], []
+            for content, low in zip(batch.column("content").to_pylist(), batch.column("low").to_pylist(), strict=True):
+                own = both = windows(content or b"")
+                raw = folded = np.ones(len(own), bool)
+                if low is not None:
+                    other = windows(low)
+                    both = np.union1d(own, other)
+                    raw, folded = np.isin(both, own, assume_unique=True), np.isin(both, other, assume_unique=True)
+                for column, value in zip((grams, raws, folds, sizes), (both, raw, folded, len(both)), strict=True):
+                    column.append(value)
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            columns = [batch.column("repo").take(owner), batch.column("path").take(owner), pa.array(np.concatenate(grams), pa.int32()), pa.array(np.concatenate(raws)), pa.array(np.concatenate(folds))]
+            return pa.RecordBatch.from_arrays(columns, names=["repo", "path", "tri", "raw", "folded"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                yield of(batch.slice(k, 200))
+
+    return run
 
 
 def repo_info(files: DataFrame, index: DataFrame) -> DataFrame:
     """repo, doc_count, trigram_count."""
     docs = files.groupBy("repo").agg(F.count("*").alias("doc_count"))
-    grams = index.where("NOT folded").groupBy("repo").agg(F.count_distinct("tri").alias("trigram_count"))
+    grams = index.where("raw").groupBy("repo").agg(F.count_distinct("tri").alias("trigram_count"))
     return docs.join(grams, "repo", "left").select("repo", "doc_count", F.coalesce("trigram_count", F.lit(0)).alias("trigram_count"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
     """repo, tri, df of the trigrams of raw bytes."""
-    return index.where("NOT folded").groupBy("repo", "tri").agg(F.count("*").alias("df"))
+    return index.where("raw").groupBy("repo", "tri").agg(F.count("*").alias("df"))
 
 
 def _all_trigrams(needs: Formula) -> set[int]:
@@ -53,16 +93,16 @@ def candidates(index: DataFrame, plan: SearchPlan) -> DataFrame:
     The filter on tri reaches the scan of a stored index, which is sorted by it; only the wanted lists are grouped.
     """
     wanted = sorted(_all_trigrams(plan.needs))
-    lists = index.where((F.col("folded") == F.lit(plan.lowered)) & F.col("tri").isin(wanted))
+    lists = index.where(F.col("folded" if plan.lowered else "raw") & F.col("tri").isin(wanted))
     if not plan.needs.either:
-        return lists.groupBy("repo", "path").agg(F.count_distinct("tri").alias("n")).where(F.col("n") == len(wanted)).select("repo", "path")
+        return lists.groupBy("repo", "path").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("repo", "path")
     return lists.groupBy("repo", "path").agg(F.collect_set("tri").alias("found")).where(_holds(plan.needs, F.col("found"))).select("repo", "path")
 
 
 def with_all_trigrams(index: DataFrame, trigrams: list[int]) -> DataFrame:
     """repo, path of files that have all of the trigrams; none if the list is empty."""
-    lists = index.where(~F.col("folded") & F.col("tri").isin(sorted(set(trigrams)))) if trigrams else index.where("false")
-    return lists.groupBy("repo", "path").agg(F.count_distinct("tri").alias("n")).where(F.col("n") == len(set(trigrams))).select("repo", "path")
+    lists = index.where(F.col("raw") & F.col("tri").isin(sorted(set(trigrams)))) if trigrams else index.where("false")
+    return lists.groupBy("repo", "path").agg(F.count("*").alias("n")).where(F.col("n") == len(set(trigrams))).select("repo", "path")
 
 
 def candidate_files(files: DataFrame, index: DataFrame, plan: SearchPlan) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkgrove.functions import globs, text, trigrams
+from sparkgrove.operators import index
 
 
 @pytest.mark.parametrize(("content", "want"), [("a\n", ["a"]), ("a\n\n", ["a", ""]), ("", []), ("a\r\nb\r", ["a", "b\r"]), ("a\r\r\nb", ["a\r", "b"]), ("\n", [""]), ("x", ["x"])])
@@ -15,8 +16,10 @@ def test_trigrams(spark):
     assert trigrams.unpack(trigrams.pack(1, 2, 255)) == (1, 2, 255) and trigrams.shown(trigrams.pack(32, 7, 97)) == " \\x07a"
     rows = ["foobar", "", "ab", "日本", "aaaa"]
     df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, c string")
-    got = {r.k: r.t for r in df.select("k", F.transform(trigrams.hex_trigrams(F.encode("c", "UTF-8")), trigrams.trigram_of_hex).alias("t")).collect()}
-    assert got == {k: trigrams.extract(x.encode()) for k, x in enumerate(rows)}
+    grams = index.postings(df.select(F.lit("r").alias("repo"), F.col("k").cast("string").alias("path"), F.encode("c", "UTF-8").alias("content"))).collect()
+    for k, x in enumerate(rows):
+        assert sorted(r.tri for r in grams if r.path == str(k)) == sorted(set(trigrams.extract(x.encode())))
+    assert all(r.raw and r.folded for r in grams)
 
 
 def test_binary_and_utf8(spark):
