@@ -1,4 +1,5 @@
-"""python -m sparkgrove --config FILE [--query TEXT ...]: refresh the index of the configured repositories, or search it."""
+"""python -m sparkgrove --config FILE [--watch | --query TEXT ...]: refresh the index of the configured repositories, once or
+at intervals, or search it."""
 
 from __future__ import annotations
 
@@ -18,24 +19,18 @@ def make_engine(spark: SparkSession, config: Config) -> SearchEngine:
     return SearchEngine(spark, Store(spark, f"{config.indexer.data_dir}/indexes"), details, config.server.max_search_results, ResultCache(config.cache.max_entries, config.cache.ttl_secs), config.indexer.poll_interval_secs)
 
 
-def refresh(spark: SparkSession, engine: SearchEngine, config: Config) -> bool:
-    def files(repo):
-        def read():
-            source = GitSource(repo, f"{config.indexer.data_dir}/repos", config.indexer.index_timeout_secs)
-            if not source.clone_or_open():
-                source.fetch()
-            return source.files(spark, config.indexer.max_file_size)
-
-        return read
-
+def refresh(spark: SparkSession, engine: SearchEngine, config: Config, cycles: int | None = 1) -> int:
+    """Run cycles at the configured interval (None: without end); how many changed the index."""
     i = config.indexer
-    return engine.cycle({r.name: files(r) for r in config.repos}, i.max_concurrent_indexers, i.index_timeout_secs, i.max_file_size, i.exclude_patterns)
+    sources = {r.name: GitSource(r, f"{i.data_dir}/repos", i.index_timeout_secs) for r in config.repos}
+    return engine.watch(sources, i.poll_interval_secs, cycles, workers=i.max_concurrent_indexers, seconds=i.index_timeout_secs, max_file_size=i.max_file_size, excludes=i.exclude_patterns)
 
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="sparkgrove", description=__doc__)
     p.add_argument("--config", required=True)
     p.add_argument("--query")
+    p.add_argument("--watch", action="store_true")
     p.add_argument("--regex", action="store_true")
     p.add_argument("--ignore-case", action="store_true")
     p.add_argument("--repos")
@@ -45,7 +40,7 @@ def main(args: list[str] | None = None) -> None:
     config = load(a.config)
     spark = SparkSession.builder.appName("sparkgrove").getOrCreate()
     engine = make_engine(spark, config)
-    out = {"changed": refresh(spark, engine, config)} if a.query is None else engine.search(a.query, a.regex, a.ignore_case, a.repos, a.files, a.max)
+    out = {"changed": bool(refresh(spark, engine, config, None if a.watch else 1))} if a.query is None else engine.search(a.query, a.regex, a.ignore_case, a.repos, a.files, a.max)
     print(json.dumps(out, ensure_ascii=False))
 
 

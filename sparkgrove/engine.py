@@ -6,17 +6,16 @@ import json
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as FutureTimeout
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkgrove.functions.globs import GlobError, glob_to_regex
 from sparkgrove.operators import index, matching, shaping
-from sparkgrove.operators.incremental import drop_orphans, refresh
+from sparkgrove.operators.incremental import drop_orphans, prepare_repo
 from sparkgrove.plans.planner import SearchPlan, effective_limit, plan
-from sparkgrove.sources.corpora import ingest, with_text
+from sparkgrove.sources.corpora import with_text
 from sparkgrove.sources.store import Store
 from sparkgrove.streaming.refresh import Heartbeat
 
@@ -95,24 +94,25 @@ class SearchEngine:
         self.heartbeat = Heartbeat(poll_seconds)
         self.states: dict[str, tuple[str, str | None]] = {}
         if store.current():
+            store.validate()
             self.states = {r.repo: ("ready", None) for r in store.table("files").select("repo").distinct().collect()}
 
     # ---- searching
 
-    def _frames(self, query: str, is_regex: bool, ignore_case: bool, repos, glob: str | None, limit: int, use_index: bool) -> DataFrame:
+    def _frames(self, query: str, is_regex: bool, ignore_case: bool, repos, glob: str | None, limit: int, use_index: bool, version: str | None) -> DataFrame:
         found = plan(query, is_regex, ignore_case, self.mode)
-        version = self.store.current()
         postings = self.store.table("postings", version) if use_index or self.mode == "strict" else None
         return search_frames(self.store.table("files", version), postings, found, limit, checked_glob(glob, self.lenient), repos, details=self.details)
 
     def search(self, query: str, is_regex: bool = False, ignore_case: bool = False, repos: str | None = None, files: str | None = None, max_results: int = 0, use_index: bool = True) -> dict:
         """All repos' results with totals. What has results is kept in the cache."""
-        key = (query, is_regex, ignore_case, repos, files, max_results)
+        version = self.store.current()
+        key = (version, query, is_regex, ignore_case, repos, files, max_results)
         if (kept := self.cache.get(key)) is not None:
             return json.loads(kept)
         began = time.perf_counter()
         limit = effective_limit(max_results, self.server_limit)
-        rows = self._frames(query, is_regex, ignore_case, repos, files, limit, use_index).orderBy("repo").collect()
+        rows = self._frames(query, is_regex, ignore_case, repos, files, limit, use_index, version).orderBy("repo").collect()
         results = [as_json(r) for r in rows if r.files]
         out = {
             "results": results, "duration_ms": (time.perf_counter() - began) * 1000, "total_files": sum(r["total_file_count"] for r in results),
@@ -125,7 +125,7 @@ class SearchEngine:
     def search_stream(self, query: str, is_regex: bool = False, ignore_case: bool = False, repos: str | None = None, files: str | None = None, max_results: int = 0) -> Iterator[tuple[str, dict]]:
         """("result", a repo's results) one by one, then ("done", totals). Nothing is cached."""
         began = time.perf_counter()
-        frames = self._frames(query, is_regex, ignore_case, repos, files, effective_limit(max_results, self.server_limit), True)
+        frames = self._frames(query, is_regex, ignore_case, repos, files, effective_limit(max_results, self.server_limit), True, self.store.current())
         total = 0
         for row in frames.where("total_file_count > 0").orderBy("repo").toLocalIterator():
             total += row.total_file_count
@@ -148,52 +148,59 @@ class SearchEngine:
 
     # ---- keeping up to date
 
-    def cycle(self, sources: dict[str, Callable[[], DataFrame]], workers: int = 4, seconds: float = 300, max_file_size: int = 1 << 20, excludes: list[str] | None = None) -> bool:
-        """Load all repos, some at a time, and refresh the store. A repo that fails or takes too long keeps what it had.
+    def cycle(self, sources: dict[str, Callable[[], DataFrame] | object], workers: int = 4, seconds: float = 300, max_file_size: int = 1 << 20, excludes: list[str] | None = None) -> bool:
+        """Write a layer for each repo that changed, some at a time, and put those that were written whole in force together.
 
-        Repos that aren't among the sources go. Returns whether a new version is in force.
+        sources: see incremental.prepare_repo. A repo that fails or takes longer than ``seconds`` keeps what it had and
+        doesn't hold up the others. Repos that aren't among the sources go. Returns whether a new version is in force.
         """
-        loaded, failed = [], []
+        started: dict[str, float] = {}
 
-        def load(repo: str) -> DataFrame:
+        def prepare(repo: str):
+            started[repo] = time.monotonic()
             self.spark.addTag(f"load-{repo}")
             try:
-                files = ingest(sources[repo](), max_file_size, excludes).where(F.col("repo") == repo)
-                files.select("path").limit(1).collect()
-                return files
+                return prepare_repo(self.store, repo, sources[repo], max_file_size, excludes)
             finally:
                 self.spark.removeTag(f"load-{repo}")
 
-        version = self.store.current()
-        for repo in sources:
-            self.states.setdefault(repo, ("pending", None))
-        with ThreadPoolExecutor(workers) as pool:
-            running = {}
-            for repo in sources:
-                self.states[repo] = ("indexing", None)
-                running[repo] = pool.submit(load, repo)
-            for repo, job in running.items():
+        pool = ThreadPoolExecutor(workers)
+        waiting = {pool.submit(prepare, repo): repo for repo in sources}
+        self.states |= {repo: ("indexing", None) for repo in sources}
+        written, tokens = [], {}
+        while waiting:
+            done, _ = wait(waiting, timeout=0.1, return_when=FIRST_COMPLETED)
+            for job in done:
+                repo = waiting.pop(job)
                 try:
-                    loaded.append(job.result(seconds))
-                    self.states[repo] = ("ready", None)
-                except FutureTimeout:
-                    self.spark.interruptTag(f"load-{repo}")
-                    failed.append(repo)
-                    self.states[repo] = ("failed", "timed out")
+                    layer, token = job.result()
                 except Exception as e:
-                    failed.append(repo)
                     self.states[repo] = ("failed", str(e))
-        if version and failed:
-            loaded.append(self.store.table("files", version).where(F.col("repo").isin(failed)).select("repo", "path", "content"))
+                    continue
+                self.states[repo] = ("ready", None)
+                written += [layer] if layer else []
+                tokens |= {repo: token} if token else {}
+            for job, repo in list(waiting.items()):
+                if repo in started and time.monotonic() - started[repo] > seconds:
+                    self.spark.interruptTag(f"load-{repo}")
+                    del waiting[job]
+                    self.states[repo] = ("failed", "timed out")
+        pool.shutdown(wait=False, cancel_futures=True)
         for repo in set(self.states) - set(sources):
             del self.states[repo]
-        changed = False
-        if loaded:
-            files = loaded[0]
-            for more in loaded[1:]:
-                files = files.unionByName(more)
-            changed = refresh(self.store, files)[1]
+        changed = bool(written)
+        if written or self.store.current() and any(self.store.tokens().get(k) != v for k, v in tokens.items()):
+            self.store.append(written, tokens)
         changed |= drop_orphans(self.store, list(sources))
         self.cache.clear()
         self.heartbeat.beat()
         return changed
+
+    def watch(self, sources: dict, interval: float, cycles: int | None = None, stop: Event | None = None, **how) -> int:
+        """Run cycles with ``interval`` seconds between, until stop is set or there have been so many; how many changed something."""
+        stop, changes, k = stop or Event(), 0, 0
+        while cycles is None or k < cycles:
+            changes, k = changes + self.cycle(sources, **how), k + 1
+            if k == cycles or stop.wait(interval):
+                break
+        return changes

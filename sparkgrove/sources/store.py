@@ -1,36 +1,42 @@
-"""Stored snapshots: files, postings and manifests in versioned folders with a pointer to the one in force.
+"""Stored snapshots in layers, with a pointer to the version in force.
 
-A new version is written beside the old one and the pointer is moved only when it is whole, so readers see one or the
-other. Postings lie sorted by trigram within each repo's folder, which lets the scan skip row groups.
+A layer is a folder with files, their postings and manifest, and the keys that it takes out of the layers before it. A
+version names its layers in order, so a change of a few files writes a small layer and nothing else. A layer is written
+beside the others and the pointer is moved only when it is whole, so readers see one version or the other. After
+``MOST_LAYERS`` layers all are written anew as one; layers that the last ``KEEP`` versions don't name are deleted.
+
+Postings are dealt out by ranges of trigrams and lie sorted by them, so that a lookup reads few files and row groups.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgrove.operators.index import postings
 from sparkgrove.sources.corpora import manifest
 
-FORMAT_VERSION = 1
-TABLES = ("files", "postings", "manifest")
+FORMAT_VERSION = 2
+MOST_LAYERS = 12
+KEEP = 2
+#: Keys that later layers take out are sent to all executors up to this number.
+BROADCAST_KEYS = 1_000_000
+KEY = ["repo", "path"]
 SCHEMAS = {
-    "files": "path string, content binary, repo string",
-    "postings": "path string, folded boolean, tri int, repo string",
-    "manifest": "path string, oid string, repo string",
+    "files": "repo string, path string, content binary",
+    "postings": "repo string, path string, tri int, raw boolean, folded boolean",
+    "manifest": "repo string, path string, oid string, version long",
+    "gone": "repo string, path string, version long",
 }
+POINTER = "format int, version string, layers array<string>, counts map<string, long>, tokens map<string, string>, at timestamp"
 
 
 class NotAnIndex(ValueError):
-    """There is no index here, or one of another format."""
-
-
-def write_table(df: DataFrame, path: str, sort: list[str]) -> None:
-    """Dealt out by repo and a part of each repo's paths, so that a large repo isn't one task's work."""
-    salted = df.repartition("repo", F.pmod(F.xxhash64("path"), F.lit(64)))
-    salted.sortWithinPartitions("repo", *sort).write.partitionBy("repo").parquet(path)
+    """There is no index here, or one of another format, or one with rows missing."""
 
 
 class Store:
@@ -39,44 +45,128 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self) -> DataFrame:
-        return self.spark.read.schema("format int, version string, at timestamp").json(f"{self.path}/versions")
+    # ---- versions
 
-    def current(self) -> str | None:
-        """The version in force; None if there is none that can be read."""
+    def _pointers(self) -> list[Row]:
+        """The latest versions, newest first. Only a folder that isn't there means that there are none."""
         try:
-            row = self._pointer().orderBy(F.desc("at"), F.desc("version")).first()
-        except Exception:
-            return None
-        return row.version if row and row.format == FORMAT_VERSION else None
+            rows = self.spark.read.schema(POINTER).json(f"{self.path}/versions")
+            return rows.where(F.col("format") == FORMAT_VERSION).orderBy(F.desc("at"), F.desc("version")).limit(KEEP).collect()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
 
-    def publish(self, version: str) -> None:
-        one = self.spark.range(1).select(F.lit(FORMAT_VERSION).alias("format"), F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-        one.coalesce(1).write.mode("append").json(f"{self.path}/versions")
+    def pointer(self, version: str | None = None) -> Row | None:
+        found = [r for r in self._pointers() if version in (None, r.version)]
+        return found[0] if found else None
 
-    def table(self, name: str, version: str | None = None) -> DataFrame:
-        version = version or self.current()
-        if version is None:
-            raise NotAnIndex(self.path)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{version}/{name}")
+    def current(self) -> str | None:
+        """The version in force; None if there is none of this format. A pointer that can't be read is an error."""
+        row = self.pointer()
+        return row.version if row else None
+
+    def tokens(self) -> dict[str, str]:
+        """The change token of each repo in the version in force, where its source has one."""
+        row = self.pointer()
+        return dict(row.tokens or {}) if row else {}
 
-    def write(self, files: DataFrame, index: DataFrame | None = None) -> str:
-        """Store files (repo, path, content) with their postings and manifest as a new version, and put it in force."""
+    def publish(self, layers: list[str], counts: dict[str, int], tokens: dict[str, str]) -> str:
+        """Put these layers in force as a new version; older ones' layers go."""
         version = uuid.uuid4().hex
-        write_table(files, f"{self.path}/{version}/files", ["path"])
-        kept = self.spark.read.schema(SCHEMAS["files"]).parquet(f"{self.path}/{version}/files")
-        write_table(postings(kept) if index is None else index, f"{self.path}/{version}/postings", ["tri", "path"])
-        write_table(manifest(kept), f"{self.path}/{version}/manifest", ["path"])
-        self.publish(version)
+        one = self.spark.createDataFrame([(FORMAT_VERSION, version, layers, {k: n for k, n in counts.items() if k.split("/")[0] in layers}, tokens)], POINTER.rsplit(",", 1)[0])
+        one.coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").json(f"{self.path}/versions")
+        self._clean()
         return version
 
-    def token(self, version: str | None = None) -> str | None:
-        """One string for the whole content; None without an index."""
-        try:
-            rows = self.table("manifest", version)
-        except NotAnIndex:
-            return None
-        return change_token(rows)
+    def _clean(self) -> None:
+        """Delete what older versions wrote, but not layers that may be in work: those no version has named yet stay."""
+        every = self.spark.read.schema(POINTER).json(f"{self.path}/versions").orderBy(F.desc("at"), F.desc("version")).select("layers").collect()
+        kept = {x for r in every[:KEEP] for x in r.layers or []}
+        self._delete({x for r in every[KEEP:] for x in r.layers or []} - kept)
+
+    def _delete(self, layers: set[str]) -> None:
+        for layer in layers:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{layer}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    # ---- reading
+
+    def table(self, name: str, version: str | None = None) -> DataFrame:
+        row = self.pointer(version)
+        if row is None or not row.layers:
+            raise NotAnIndex(self.path)
+        return self._layers(name, row.layers, row.counts)
+
+    def _layers(self, name: str, layers: list[str], counts: dict[str, int]) -> DataFrame:
+        read = lambda kind, k: self.spark.read.schema(SCHEMAS[kind]).parquet(f"{self.path}/{layers[k]}/{kind}")
+        filled = lambda kind: [k for k in range(len(layers)) if counts.get(f"{layers[k]}/{kind}")]
+        wanted = filled(name) or [0]
+        numbered = [read(name, k).withColumn("_layer", F.lit(k)) for k in wanted]
+        rows, later = reduce(DataFrame.unionByName, numbered), [k for k in filled("gone") if k > wanted[0]]
+        if name == "gone" or not later:
+            return rows.drop("_layer")
+        dead = reduce(DataFrame.unionByName, [read("gone", k).select(*KEY, F.lit(k).alias("_dead")) for k in later]).groupBy(*KEY).agg(F.max("_dead").alias("_dead"))
+        dead = F.broadcast(dead) if sum(counts[f"{layers[k]}/gone"] for k in later) <= BROADCAST_KEYS else dead
+        return rows.join(dead, KEY, "left").where(F.col("_dead").isNull() | (F.col("_dead") <= F.col("_layer"))).drop("_layer", "_dead")
+
+    def validate(self, version: str | None = None) -> None:
+        """Raise NotAnIndex if a table of a layer has other rows than were written. Counts are read from the files' footers."""
+        row = self.pointer(version)
+        if row is None:
+            raise NotAnIndex(self.path)
+        for key, n in (row.counts or {}).items():
+            try:
+                found = self.spark.read.schema(SCHEMAS[key.split("/")[1]]).parquet(f"{self.path}/{key}").count()
+            except AnalysisException as e:
+                raise NotAnIndex(f"{self.path}/{key}: {e.getCondition()}") from e
+            if found != n:
+                raise NotAnIndex(f"{self.path}/{key}: {found} rows instead of {n}")
+
+    # ---- writing
+
+    def layer(self, files: DataFrame, gone: DataFrame | None = None, rows: DataFrame | None = None) -> tuple[str, dict[str, int]]:
+        """Write a layer that no version names yet: its name and the rows of its tables.
+
+        files: repo, path, content. gone: keys (and version) that are taken out of the layers before. rows: the manifest; if it
+        isn't given, that of the files.
+        """
+        name = uuid.uuid4().hex
+        at, counts = f"{self.path}/{name}", {}
+
+        def put(kind: str, df: DataFrame, sort: list[str]) -> DataFrame:
+            if "version" in SCHEMAS[kind] and "version" not in df.columns:
+                df = df.withColumn("version", F.lit(None).cast("long"))
+            df.select(*(x.split()[0] for x in SCHEMAS[kind].split(", "))).sortWithinPartitions(*sort).write.parquet(f"{at}/{kind}")
+            kept = self.spark.read.schema(SCHEMAS[kind]).parquet(f"{at}/{kind}")
+            counts[f"{name}/{kind}"] = kept.count()
+            return kept
+
+        kept = put("files", files, KEY)
+        put("postings", postings(kept).repartitionByRange("tri"), ["tri", *KEY])
+        put("manifest", manifest(kept) if rows is None else rows, KEY)
+        put("gone", self.spark.createDataFrame([], SCHEMAS["gone"]) if gone is None else gone, KEY)
+        return name, counts
+
+    def write(self, files: DataFrame, rows: DataFrame | None = None, tokens: dict[str, str] | None = None) -> str:
+        """Store files (repo, path, content) as a new version of one layer, and put it in force."""
+        name, counts = self.layer(files, None, rows)
+        return self.publish([name], counts, tokens or {})
+
+    def append(self, written: list[tuple[str, dict[str, int]]], tokens: dict[str, str] | None = None) -> str:
+        """Put layers over those in force. Too many of them become one."""
+        row = self.pointer()
+        layers, counts = list(row.layers) if row else [], dict(row.counts) if row else {}
+        for name, own in written:
+            layers, counts = [*layers, name], counts | own
+        tokens = (dict(row.tokens or {}) if row else {}) | (tokens or {})
+        if len(layers) > MOST_LAYERS:
+            of = lambda kind: self._layers(kind, layers, counts)
+            name, counts = self.layer(of("files"), of("gone").where("version IS NOT NULL"), of("manifest"))
+            version = self.publish([name], counts, tokens)
+            self._delete({name for name, _ in written})  # no version names these
+            return version
+        return self.publish(layers, counts, tokens)
 
 
 def change_token(rows: DataFrame) -> str:

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkgrove.operators.incremental import refresh
-from sparkgrove.sources.corpora import ingest
-from sparkgrove.sources.store import Store
+from sparkgrove.sources.corpora import ingest, manifest
+from sparkgrove.sources.store import KEY, Store
 
 FILE_VERSIONS = "repo string, path string, content binary, version long"
 
@@ -24,13 +23,26 @@ def latest(versions: DataFrame) -> DataFrame:
 
 
 def apply_batch(store: Store, batch: DataFrame) -> bool:
-    """Put a batch of file versions over what is stored."""
+    """Put a batch of file versions over what is stored, as a layer of its own.
+
+    Versions are stored, those of deleted files too; one that isn't newer than what is stored for its file changes nothing,
+    in whatever batch it comes.
+    """
     newest = latest(batch)
-    files = ingest(newest.where(F.col("content").isNotNull()))
-    current = store.current()
-    if current is not None:
-        files = store.table("files", current).select("repo", "path", "content").join(newest.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(files)
-    return refresh(store, files)[1]
+    if store.current() is not None:
+        known = store.table("manifest").select(*KEY, "version").unionByName(store.table("gone").select(*KEY, "version")).where("version IS NOT NULL")
+        known = known.join(newest.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.max("version").alias("_known"))
+        newest = newest.join(known, KEY, "left").where(F.col("_known").isNull() | (F.col("version") > F.col("_known"))).drop("_known")
+    newest = newest.persist()
+    try:
+        if not newest.limit(1).count():
+            return False
+        files = ingest(newest.where(F.col("content").isNotNull()))
+        rows = manifest(newest.where(F.col("content").isNotNull())).join(newest.select(*KEY, "version"), KEY)
+        store.append([store.layer(files, newest.select(*KEY, "version"), rows)])
+        return True
+    finally:
+        newest.unpersist()
 
 
 def start(versions: DataFrame, store: Store, checkpoint: str, interval: str | None = None, after: Callable[[], None] | None = None) -> StreamingQuery:

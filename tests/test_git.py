@@ -5,7 +5,9 @@ import pytest
 
 from sparkgrove import __main__ as cli
 from sparkgrove.config import Repo
+from sparkgrove.engine import SearchEngine
 from sparkgrove.sources.git import GitError, GitSource
+from sparkgrove.sources.store import Store
 
 
 def git(path, *args):
@@ -39,7 +41,39 @@ def test_source(spark, origin, tmp_path):
     assert source.fetch() == source.commit()
     after = {r.path: r.oid for r in source.manifest(spark).collect()}
     assert [p for p in before if before[p] != after[p]] == ["src/a.rs"]
-    assert [bytes(r.content) for r in source.files(spark, paths={"src/a.rs"}).collect()] == [b"fn test() {}\n"]
+    keys = spark.createDataFrame([("org/x", "src/a.rs")], "repo string, path string")
+    assert [bytes(r.content) for r in source.files(spark, keys=keys).collect()] == [b"fn test() {}\n"]
+
+
+def test_only_changed_files_are_read(spark, origin, tmp_path, monkeypatch):
+    for k in range(30):
+        (origin / f"f{k}.txt").write_text(f"text number {k}\n")
+    (origin / "bin").write_bytes(b"a\0b")
+    git(origin, "add", ".")
+    git(origin, "commit", "-q", "-m", "many")
+    source, asked = GitSource(Repo("org/x", str(origin)), str(tmp_path / "clones")), []
+    files = source.files
+    monkeypatch.setattr(source, "files", lambda spark, size, keys: asked.append(sorted(r.path for r in keys.collect())) or files(spark, size, keys))
+    engine = SearchEngine(spark, Store(spark, str(tmp_path / "s")))
+    assert engine.cycle({"org/x": source}, max_file_size=1000) and len(asked[0]) == 32
+    assert not engine.cycle({"org/x": source}, max_file_size=1000) and len(asked) == 1
+    (origin / "f3.txt").write_text("other words\n")
+    (origin / "f4.txt").unlink()
+    (origin / "g.txt").write_text("other words too\n")
+    git(origin, "add", "-A")
+    git(origin, "commit", "-q", "-m", "two files")
+    assert engine.watch({"org/x": source}, 0, 2, max_file_size=1000) == 1
+    assert asked[1:] == [["f3.txt", "g.txt"]]
+    assert engine.search("other words")["total_files"] == 2 and engine.search("text number")["total_files"] == 28
+    assert engine.store.tokens() == {"org/x": source.commit()}
+
+
+def test_key_as_text(tmp_path):
+    source = GitSource(Repo("x", "git@h:a.git", ssh_key="-----KEY-----\nabc\n", ssh_key_passphrase="word"), str(tmp_path))
+    env = source._environment(str(tmp_path))
+    assert (tmp_path / "key").read_text() == "-----KEY-----\nabc\n" and (tmp_path / "key").stat().st_mode & 0o77 == 0
+    assert f"'{tmp_path}/key'" in env["GIT_SSH_COMMAND"] and "word" not in (tmp_path / "ask").read_text()
+    assert subprocess.run([env["SSH_ASKPASS"]], env=env, capture_output=True, text=True).stdout == "word\n"
 
 
 def test_failure_is_an_error(tmp_path):

@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,15 +7,15 @@ from sparkgrove.config import ConfigError, parse
 from sparkgrove.engine import SearchEngine
 from sparkgrove.operators import incremental, index
 from sparkgrove.sources import corpora
-from sparkgrove.sources.store import Store
-from sparkgrove.streaming.refresh import FILE_VERSIONS, Heartbeat, latest, start
+from sparkgrove.sources.store import NotAnIndex, Store
+from sparkgrove.streaming.refresh import FILE_VERSIONS, Heartbeat, apply_batch, latest, start
 
 V1 = [("r", "a", b"one text"), ("r", "b", b"two text"), ("r", "c", b"three text")]
 V2 = [("r", "a", b"one text"), ("r", "b", b"nine text"), ("r", "d", b"four text")]
 
 
 def state(store):
-    return sorted((r.repo, r.path, bytes(r.content)) for r in store.table("files").collect()), sorted(map(tuple, store.table("postings").select("repo", "path", "folded", "tri").collect()))
+    return sorted((r.repo, r.path, bytes(r.content)) for r in store.table("files").collect()), sorted(map(tuple, store.table("postings").collect()))
 
 
 def rebuilt(spark, files):
@@ -35,6 +37,63 @@ def test_refresh_equals_rebuild(spark, tmp_path):
     assert state(store) == rebuilt(spark, V2)
 
 
+def test_a_refresh_writes_what_changed_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    incremental.refresh(store, corpora.in_memory(spark, V1))
+    incremental.refresh(store, corpora.in_memory(spark, V2))
+    row = store.pointer()
+    assert len(row.layers) == 2 and [row.counts[f"{row.layers[1]}/{k}"] for k in ("files", "manifest", "gone")] == [2, 2, 2]
+
+
+def test_layers_become_one_and_old_ones_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sparkgrove.sources.store.MOST_LAYERS", 3)
+    store, files = Store(spark, str(tmp_path / "s")), []
+    for k in range(6):
+        files = [x for x in files if x[1] != f"f{k - 2}"] + [("r", f"f{k}", f"text {k}".encode())]
+        incremental.refresh(store, corpora.in_memory(spark, files))
+    assert state(store) == rebuilt(spark, files) and len(store.pointer().layers) <= 3
+    folders = {p.name for p in (tmp_path / "s").iterdir()} - {"versions"}
+    assert folders == {x for r in store._pointers() for x in r.layers}
+
+
+def test_a_pointer_that_cant_be_read_is_an_error(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    incremental.refresh(store, corpora.in_memory(spark, V1))
+    before = state(store)
+    pointer = next(p for p in (tmp_path / "s" / "versions").iterdir() if p.name.startswith("part-") and p.suffix == ".json")
+    kept = pointer.read_bytes()
+    pointer.unlink()
+    pointer.mkdir()
+    (pointer / "_x").mkdir()
+    with monkeypatch.context() as m:
+        m.setattr(spark.__class__, "read", property(lambda self: (_ for _ in ()).throw(OSError("no connection"))))
+        for act in (store.current, lambda: apply_batch(store, spark.createDataFrame([("r", "z", bytearray(b"z"), 1)], FILE_VERSIONS)), lambda: incremental.refresh(store, corpora.in_memory(spark, V2))):
+            with pytest.raises(OSError):
+                act()
+    (pointer / "_x").rmdir()
+    pointer.rmdir()
+    pointer.write_bytes(kept)
+    assert state(store) == before
+
+
+def test_a_store_with_lost_files_is_not_opened(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    incremental.refresh(store, corpora.in_memory(spark, V1))
+    SearchEngine(spark, store)
+    for p in (tmp_path / "s" / store.pointer().layers[0] / "postings").glob("*.parquet"):
+        p.unlink()
+    with pytest.raises(NotAnIndex):
+        SearchEngine(spark, store)
+
+
+def test_versions_that_come_late(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    batch = lambda *rows: apply_batch(store, spark.createDataFrame([(a, b, None if c is None else bytearray(c), d) for a, b, c, d in rows], FILE_VERSIONS))
+    assert batch(("r", "a", b"one", 1), ("r", "b", b"bee", 5)) and not batch(("r", "b", b"old", 4), ("r", "b", b"bee", 5))
+    assert batch(("r", "a", None, 3)) and not batch(("r", "a", b"late", 2)) and batch(("r", "a", b"back", 4))
+    assert state(store)[0] == [("r", "a", b"back"), ("r", "b", b"bee")]
+
+
 def test_orphans(spark, tmp_path):
     stored = spark.createDataFrame([("org/x",), ("old",)], "repo string")
     assert [r.repo for r in incremental.orphans(stored, spark.createDataFrame([("org/x",)], "repo string")).collect()] == ["old"]
@@ -60,9 +119,16 @@ def test_cycle(spark, tmp_path):
     def broken():
         raise RuntimeError("no auth")
 
+    def slow():
+        gate.wait(120)
+
     assert not engine.cycle({"a": good["a"], "b": broken})
     assert engine.search("hello")["total_files"] == 2
     assert {r.repo: (r.status, r.error) for r in engine.status().collect()} == {"a": ("ready", None), "b": ("failed", "authentication failed")}
+    gate = threading.Event()
+    assert engine.cycle({"a": lambda: corpora.in_memory(spark, [("a", "f", b"hello again")]), "b": good["b"], "c": slow}, seconds=20) and engine.search("again")["total_files"] == 1
+    assert engine.states["c"] == ("failed", "timed out") and not gate.is_set()
+    gate.set()
     assert engine.cycle({"a": good["a"]}) and engine.search("hello")["total_files"] == 1 and engine.health()["watcher_status"] == "ok"
 
 
