@@ -46,9 +46,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name where all executors can write; a local one only where the session names none."""
+    """A new folder name where all executors can write; a local one only in local mode, where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sparkgrove-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -96,16 +98,43 @@ def match_ranges(spark, sf_dir):
     return rows.select("repo", "path", "line_number", F.inline("match_ranges"))
 
 
-@query(f"""WITH {LINES}, parts AS (SELECT repo, path, line_number, string_split_regex(line, '[0-9]+\\.[0-9]+') AS p, regexp_extract_all(line, '[0-9]+\\.[0-9]+') AS m FROM lines),
+def _ranges_sql(pattern: str) -> str:
+    """repo, path, line_number, start and said: each match of a pattern that is never empty."""
+    return f"""WITH {LINES}, parts AS (SELECT repo, path, line_number, string_split_regex(line, '{pattern}') AS p, regexp_extract_all(line, '{pattern}') AS m FROM lines),
 numbered AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM parts)
-SELECT repo, path, line_number::INT AS line_number, (list_sum([length(x) for x in p[1:k]]) + coalesce(list_sum([length(x) for x in m[1:k - 1]]), 0))::INT AS "start", m[k] AS said FROM numbered""")
-def regex_ranges(spark, sf_dir):
-    rows = matching.lines(texts(spark, sf_dir))
-    found = plan("[0-9]+\\.[0-9]+|never there", is_regex=True)
-    ranged = rows.where(matching.line_matches(found, F.col("line"))).select("repo", "path", "line_number", "line", F.explode(matching.match_ranges(found, F.col("line"))).alias("r"))
+SELECT repo, path, line_number::INT AS line_number, (list_sum([length(x) for x in p[1:k]]) + coalesce(list_sum([length(x) for x in m[1:k - 1]]), 0))::INT AS "start", m[k] AS said FROM numbered"""
+
+
+def _regex_ranges(spark, sf_dir, pattern: str) -> DataFrame:
+    ranged = matched(spark, sf_dir, plan(pattern, is_regex=True)).select("repo", "path", "line_number", "line", F.explode("match_ranges").alias("r"))
     return ranged.select("repo", "path", "line_number", F.col("r.start").alias("start"), F.substring("line", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("said"))
 
 
+@query(_ranges_sql("[0-9]+\\.[0-9]+"))
+def regex_ranges(spark, sf_dir):
+    return _regex_ranges(spark, sf_dir, "[0-9]+\\.[0-9]+|never there")
+
+
+@query(_ranges_sql("[a-z]*tion"))
+def regex_repeated(spark, sf_dir):
+    return _regex_ranges(spark, sf_dir, "[a-z]*tion")
+
+
+@query(_ranges_sql("Apache|License"))
+def regex_either(spark, sf_dir):
+    return _regex_ranges(spark, sf_dir, "Apache|License")
+
+
+@query(_ranges_sql("\\pL*tion\\pL?"))
+def regex_letters(spark, sf_dir):
+    return _regex_ranges(spark, sf_dir, r"\p{L}*tion\p{L}?")
+
+
+@query(_ranges_sql("(?i:license)"))
+def regex_ci(spark, sf_dir):
+    return _regex_ranges(spark, sf_dir, "(?i)license|(?-i)never there")
+
+
 @query(f"WITH {LINES} SELECT repo, path, line_number::INT AS line_number, line FROM lines")
 def line_numbers(spark, sf_dir):
     return matching.lines(texts(spark, sf_dir))
@@ -144,6 +173,16 @@ def conversations_search(spark, sf_dir):
     return shaping.file_matches(matching.matching_lines(corpora.with_text(corpora.conversations(spark, sf_dir)), plan("tion"), 1 << 30))
 
 
+@query(f"""WITH {FILES}, odd AS (SELECT repo, path, encode(text) || CASE WHEN length(text) % 3 = 0 THEN '\\xFF'::BLOB ELSE ''::BLOB END AS content, length(text) % 3 = 0 AS bad FROM files)
+SELECT repo, path, octet_length(content) AS size FROM odd WHERE NOT bad""")
+def utf8_files(spark, sf_dir):
+    """Every third text has a byte that isn't UTF-8: such files are in no result."""
+    files = corpora.documents(spark, sf_dir)
+    bad = F.char_length(F.col("content").cast("string")) % 3 == 0
+    files = files.withColumn("content", F.when(bad, F.concat("content", F.lit(b"\xff"))).otherwise(F.col("content")))
+    return corpora.with_text(files).select("repo", "path", F.octet_length("text").cast("long").alias("size"))
+
+
 # ---- shaping
 
 

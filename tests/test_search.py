@@ -11,14 +11,14 @@ from sparkgrove.plans.planner import plan
 from sparkgrove.sources import corpora
 from sparkgrove.sources.store import NotAnIndex, Store
 
-THREE = [("r", "hello.rs", b'fn main() { println!("hello"); }'), ("r", "world.rs", b"fn test() { assert_eq!(1, 1); }"), ("r", "both.rs", b"fn main() { test(); }")]
-TWO = [("a", "src/main.rs", b'fn main() {\n    println!("hello world");\n}'), ("a", "src/lib.rs", b'pub fn f() {\n    println!("hi");\n}'), ("b", "unique.rs", b"fn unique_function_xyz() {}")]
+PAPERS = [("lib", "tea.txt", b"boil water, then steep the leaves"), ("lib", "soup.txt", b"boil the bones for hours"), ("lib", "salad.txt", b"toss the leaves with oil")]
+SHELVES = [("north", "kitchen/tea.txt", b"Tea\n  kettle: copper kettle\nend"), ("north", "kitchen/pan.txt", b"Pan\n  see the kettle"), ("south", "garden.txt", b"a rake and a hoe")]
 
 
 @pytest.fixture
 def engine(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
-    store.write(corpora.in_memory(spark, TWO))
+    store.write(corpora.in_memory(spark, SHELVES))
     return SearchEngine(spark, store)
 
 
@@ -28,36 +28,36 @@ def found_paths(spark, files, query, **how):
 
 
 def test_candidates(spark):
-    assert found_paths(spark, THREE, "fn ") == ["both.rs", "hello.rs", "world.rs"]
-    assert found_paths(spark, THREE, "pri") == ["hello.rs"]
-    assert found_paths(spark, THREE, "main") == ["both.rs", "hello.rs"]
-    assert found_paths(spark, THREE, "zzzzz") == []
-    mixed = [("r", "x.rs", b"foobar qux"), ("r", "y.rs", b"foobar baz")] + [("r", f"q{k}.rs", f"qux stuff{k}".encode()) for k in range(1, 5)]
-    assert found_paths(spark, mixed, "foobar qux") == ["x.rs"]
-    assert index.with_all_trigrams(index.postings(corpora.in_memory(spark, mixed)), []).count() == 0
+    assert found_paths(spark, PAPERS, "the") == ["salad.txt", "soup.txt", "tea.txt"]
+    assert found_paths(spark, PAPERS, "hours") == ["soup.txt"]
+    assert found_paths(spark, PAPERS, "the leaves") == ["salad.txt", "tea.txt"]
+    assert found_paths(spark, PAPERS, "pepper") == []
+    split = [("lib", "both", b"green pear"), ("lib", "one", b"green plum")] + [("lib", f"n{k}", f"pear {k}".encode()) for k in range(5)]
+    assert found_paths(spark, split, "green pear") == ["both"]
+    assert index.with_all_trigrams(index.postings(corpora.in_memory(spark, split)), []).count() == 0
 
 
 def test_two_documents_share_a_trigram(spark):
-    rows = index.document_frequency(index.postings(corpora.in_memory(spark, [("r", "a.rs", b"foo bar"), ("r", "b.rs", b"bar baz")]))).collect()
+    rows = index.document_frequency(index.postings(corpora.in_memory(spark, [("lib", "a", b"oak elm"), ("lib", "b", b"elm ash")]))).collect()
     df = {r.tri: r.df for r in rows}
-    assert (df[0x626172], df[0x666F6F]) == (2, 1)
+    assert (df[int.from_bytes(b"elm", "big")], df[int.from_bytes(b"oak", "big")]) == (2, 1)
 
 
 def test_empty_corpus(spark):
-    empty = corpora.in_memory(spark, THREE).limit(0)
+    empty = corpora.in_memory(spark, PAPERS).limit(0)
     info = index.repo_info(empty, index.postings(empty))
     assert info.count() == 0 and shaping.health(info).first().asDict() == {"status": "no_repos", "repos_indexed": 0, "total_docs": 0}
 
 
 def test_long_path_and_round_trip(spark, tmp_path):
-    path = "a/" * 40_000 + "file.rs"
+    path = "deep/" * 16_000 + "leaf.txt"
     store = Store(spark, str(tmp_path / "s"))
-    assert store.current() is None and store.token() is None
+    assert store.current() is None and store.tokens() == {}
     with pytest.raises(NotAnIndex):
         store.table("files")
-    store.write(corpora.in_memory(spark, [("r", path, b"fn main() {}")]))
+    store.write(corpora.in_memory(spark, [("r", path, b"some text")]))
     row = store.table("files").first()
-    assert (row.path, bytes(row.content), row.repo) == (path, b"fn main() {}", "r")
+    assert (row.path, bytes(row.content), row.repo) == (path, b"some text", "r")
 
 
 def blocks(spark, content, query, **how):
@@ -82,9 +82,22 @@ def test_unicode_ranges(spark):
     assert blocks(spark, "a foo b", "foo|x*", is_regex=True)[0][0][1][0] == (0, 0)
 
 
+@pytest.mark.parametrize(("text", "query", "ranges"), [("abc and def", "abc.*def", [(0, 11)]), ("barbaz foo", "foo|barbaz", [(0, 6), (7, 10)]), ("xABCD", "(?i)abcd", [(1, 5)]), ("αβabcd", r"\p{Greek}*abcd", [(0, 6)]), ("yabcd xabcd", r"[\p{L}&&[^x]]?abcd", [(0, 5), (7, 11)])])
+def test_patterns_with_width_stay_in_the_jvm(spark, text, query, ranges):
+    found = plan(query, is_regex=True)
+    assert not matching.can_be_empty(found) and [r for b in blocks(spark, text, query, is_regex=True) for _, r in b] == [ranges]
+
+
+def test_patterns_that_may_match_nothing(spark):
+    for query in (r"(?:word)?\p{Lu}*", r"[\p{L}&&[^x]]*(word)?", r"(?:word)?\z", r"(word)?\x{e9}?"):
+        found = plan(query, is_regex=True)
+        assert matching.can_be_empty(found) and blocks(spark, "a word ABC é", query, is_regex=True)
+    assert (2, 6) in [r for b in blocks(spark, "a word", "(?:word)?x*", is_regex=True) for _, rs in b for r in rs]
+
+
 def test_matching_rules(spark):
-    assert [x for b in blocks(spark, "line one\nhello world\nline three\nhello again", "hello") for x, r in b if r] == [2, 4]
-    assert [x for b in blocks(spark, "fn main() {}\nfn test() {}\nstruct Foo;", r"fn \w+", is_regex=True) for x, r in b if r] == [1, 2]
+    assert [x for b in blocks(spark, "red\nblue sky\ngreen\ndark blue", "blue") for x, r in b if r] == [2, 4]
+    assert [x for b in blocks(spark, "row 12\nrow 7\nrows", r"row \d+", is_regex=True) for x, r in b if r] == [1, 2]
     assert blocks(spark, "a\nb", "a\nb") == []
     many = "\n".join(["hit hit"] * 1001)
     texts = spark.createDataFrame([("r", "f", many)], "repo string, path string, text string")
@@ -92,11 +105,11 @@ def test_matching_rules(spark):
 
 
 def test_strict_and_exact_modes(spark):
-    upper = corpora.in_memory(spark, [("r", "u", b"HELLO"), ("r", "f", b"foobar"), ("r", "b", b"bazqux")])
+    upper = corpora.in_memory(spark, [("r", "u", b"WINTER"), ("r", "f", b"spring"), ("r", "b", b"autumn")])
     grams = index.postings(upper)
     count = lambda q, mode, **how: index.candidates(grams, plan(q, mode=mode, **how)).count()
-    assert (count("hello", "strict", ignore_case=True), count("hello", "exact", ignore_case=True)) == (0, 1)
-    assert (count("foobar|bazqux", "strict", is_regex=True), count("foobar|bazqux", "exact", is_regex=True)) == (0, 2)
+    assert (count("winter", "strict", ignore_case=True), count("winter", "exact", ignore_case=True)) == (0, 1)
+    assert (count("spring|autumn", "strict", is_regex=True), count("spring|autumn", "exact", is_regex=True)) == (0, 2)
 
 
 def test_ingest(spark):
@@ -125,18 +138,20 @@ def test_scan_and_index_agree(spark):
 
 
 def test_engine(engine):
-    out = engine.search("println")
-    assert out["total_files"] == 2 and [r["repo"] for r in out["results"]] == ["a"] and not out["truncated"]
-    first = out["results"][0]["files"][0]
-    assert first["path"] == "src/lib.rs" and first["blocks"][0]["lines"][1]["match_ranges"] == [[4, 11]] and "url" not in out["results"][0]
-    assert engine.search("zzzzzznotfound")["total_files"] == 0
-    assert engine.search("println", max_results=1)["truncated"] and engine.search("fn ", repos=" b ,x")["total_files"] == 1
-    assert engine.search("fn ", repos="")["total_files"] == 0 and engine.search("fn ", files="src/*")["total_files"] == 2
-    events = list(engine.search_stream("fn "))
+    out = engine.search("kettle")
+    assert out["total_files"] == 2 and [r["repo"] for r in out["results"]] == ["north"] and not out["truncated"]
+    first = out["results"][0]["files"][1]
+    assert first["path"] == "kitchen/tea.txt" and first["blocks"][0]["lines"][1]["match_ranges"] == [[2, 8], [17, 23]] and "url" not in out["results"][0]
+    assert engine.search("saucepan")["total_files"] == 0
+    assert engine.search("kettle", max_results=1)["truncated"] and engine.search("rake", repos=" south ,x")["total_files"] == 1
+    assert engine.search("rake", repos="")["total_files"] == 0 and engine.search("kettle", files="kitchen/*")["total_files"] == 2
+    events = list(engine.search_stream("and a|the kettle|copper", is_regex=True))
     assert [k for k, _ in events] == ["result", "result", "done"] and events[-1][1]["total_files"] == 3
-    assert {r.repo: r.doc_count for r in engine.repos().collect()} == {"a": 2, "b": 1}
+    assert {r.repo: r.doc_count for r in engine.repos().collect()} == {"north": 2, "south": 1}
     assert engine.health()["status"] == "ready" and engine.health()["total_docs"] == 3
-    assert engine.search("println") == engine.search("println")
+    assert engine.search("kettle") == engine.search("kettle")
+    engine.store.append([engine.store.layer(corpora.in_memory(engine.spark, [("south", "shed.txt", b"a kettle")]))])
+    assert engine.search("kettle")["total_files"] == 3  # the cache goes by the store's version
 
 
 def test_globs_that_cant_be_used():
@@ -165,9 +180,9 @@ def test_status_and_details(spark, engine):
     status = shaping.sanitized(spark.createDataFrame([("a", "failed", "remote authentication required"), ("b", "failed", "ref not found"), ("c", "failed", "boom"), ("d", "ready", None)], "repo string, status string, error string"))
     assert [r.error for r in status.orderBy("repo").collect()] == ["authentication failed", "repository or ref not found", "indexing failed", None]
     assert {r.status: r.n for r in shaping.status_counts(status).collect()} == {"failed": 3, "ready": 1}
-    engine.details = spark.createDataFrame([("a", "https://x/a", None, "main"), ("b", "https://x/b", "dev", "main")], "repo string, url string, ref string, resolved_ref string")
-    got = {r["repo"]: (r["url"], r["git_ref"]) for r in engine.search("fn ")["results"]}
-    assert got == {"a": ("https://x/a", "main"), "b": ("https://x/b", "dev")}
+    engine.details = spark.createDataFrame([("north", "https://x/a", None, "main"), ("south", "https://x/b", "dev", "main")], "repo string, url string, ref string, resolved_ref string")
+    got = {r["repo"]: (r["url"], r["git_ref"]) for r in engine.search("and a|the kettle", is_regex=True)["results"]}
+    assert got == {"north": ("https://x/a", "main"), "south": ("https://x/b", "dev")}
 
 
 def test_queries_count_all_lines_of_a_file(spark, tmp_path):
