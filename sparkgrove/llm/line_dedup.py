@@ -250,9 +250,8 @@ def _ends(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
 
 
-def _apart(hot: DataFrame, links: DataFrame) -> DataFrame:
-    """Entries, with component and the key's largest one, of keys with lines of more than one component."""
-    found = components(links)
+def _apart(hot: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries, with component and the key's largest one, of keys with lines of more than one component. found: components()."""
     known = stored(hot.join(limited(found, BROADCAST_ROWS), F.col("id") == F.col("node"), "left").select(*ENTRY, F.coalesce("component", "id").alias("component")))
     sizes = known.groupBy("key", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("k", F.col("component"))).alias("most"), F.count("*").alias("n")).where("n > 1").select("key", F.col("most.component").alias("largest"))
@@ -280,7 +279,7 @@ def _finer(entries: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def line_links(docs: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """a, b: ids of distinct lines within the threshold of each other; enough of them for the components of all such pairs."""
+    """node, component: the components of distinct lines, by their ids, that are within the threshold of each other."""
     shared = stored(shared_keys(distinct, threshold))
     own = shared.select("id").distinct()
     lines = split_lines(docs).select(line_id(F.col("line")).alias("id"), "line")
@@ -299,31 +298,32 @@ def line_links(docs: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD)
         star = hot.alias("x").join(limited(stored_small(centers), BROADCAST_ROWS).alias("y"), same & (F.col("x.id") != F.col("y.id")) & may_be_near("x", "y", threshold))
         pairs = pairs.unionByName(star.select(*_ends("x", "y")))
     tried = stored(pairs.distinct())
-    links = verified(tried, texts, threshold)
+    found = stored_small(components(verified(tried, texts, threshold)))
 
     def more(pairs: DataFrame) -> None:
-        nonlocal tried, links
+        nonlocal tried, found
         fresh = stored_small(pairs.select(*_ends("x", "y")).distinct().join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(fresh)
-        links = links.unionByName(verified(fresh, texts, threshold))
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = stored_small(components(stars.unionByName(verified(fresh, texts, threshold))))
 
     if any_hot:
-        known = _apart(hot, links)
+        known = _apart(hot, found)
         minima = [F.min_by(F.struct(*ENTRY[1:], "component"), F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(TRIED)]
         members = known.where((F.col("component") == F.col("largest")) & (F.col("rule") <= threshold)).groupBy("key").agg(*minima)
         members = members.select("key", F.explode(F.array_distinct(F.array(*(f"m{k}" for k in range(TRIED))))).alias("m")).select("key", "m.*")
         more(known.where("component <> largest").alias("x").join(limited(stored_small(members), BROADCAST_ROWS).alias("y"), same & may_be_near("x", "y", threshold)))
-        finer = stored(_finer(_apart(hot, links), texts, threshold))
+        finer = stored(_finer(_apart(hot, found), texts, threshold))
         different = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
         more(finer.where("component <> largest").alias("x").join(finer.alias("y"), same & different & may_be_near("x", "y", threshold)))
-    return links
+    return found
 
 
 def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int | None = None) -> DataFrame:
     """key, mark, nos: the numbers of the lines of each document that go."""
     least = threshold + 1 if least_chars is None else max(least_chars, threshold + 1)
     distinct = stored(distinct_lines(docs, threshold, least))
-    found = stored_small(components(line_links(docs, distinct, threshold)))
+    found = line_links(docs, distinct, threshold)
     linked = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     # a line that is linked with none is known by both its hashes
     again = distinct.where("n > 1").join(limited(linked, BROADCAST_ROWS), F.col("id") == F.col("node"), "left_anti")

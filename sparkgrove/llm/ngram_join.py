@@ -225,9 +225,8 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int
     return stored(both.where(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b").distinct())
 
 
-def _apart(hot: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _apart(hot: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries of tokens with classes of more than one component: all of them, and those outside the token's largest."""
-    found = components(links)
     known = hot.join(limited(found), F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", "bits", F.coalesce("component", "rep").alias("component"))
     sizes = known.groupBy("token", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("k", F.col("component"))).alias("most"), F.count("*").alias("n_components")).where("n_components > 1").select("token", F.col("most.component").alias("largest"))
@@ -252,7 +251,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         pairs = pairs.join(near_marks.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
     possible = overlap_possible(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), percent)
     tried = stored_small(pairs.where(possible).select("a", "b").distinct())
-    links = verified(docs, tried, words, percent)
+    found = stored_small(components(verified(docs, tried, words, percent)))
 
     def allowed(x: str, y: str) -> Column:
         """Length, positional and suffix filters between two entries of one token."""
@@ -261,21 +260,21 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= overlap) & overlap_possible(n1, b1, n2, b2, percent)
 
     def more(pairs: DataFrame) -> None:
-        nonlocal tried, links
+        nonlocal tried, found
         fresh = stored_small(pairs.select(F.least("o.rep", "x.rep").alias("a"), F.greatest("o.rep", "x.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(fresh)
-        links = links.unionByName(verified(docs, fresh, words, percent))
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = stored_small(components(stars.unionByName(verified(docs, fresh, words, percent))))
 
     if first.where("token IS NOT NULL").limit(1).count():
         hot = stored_small(first.where("token IS NOT NULL").select("token", "rep", "n", "pos").join(near_marks.select("rep", "n", "bits"), ["rep", "n"]))
         same = F.col("o.token") == F.col("x.token")
         for k in range(TRIES):
-            known, others = _apart(hot, links)
+            known, others = _apart(hot, found)
             more(others.alias("o").join(limited(stored_small(_members(known, k)), BROADCAST_MARKS).alias("x"), same & allowed("o", "x")))
-        known, others = _apart(hot, links)
+        known, others = _apart(hot, found)
         different = (F.col("o.component") != F.col("x.component")) & ((F.col("x.component") == F.col("x.largest")) | (F.col("o.rep") < F.col("x.rep")))
         more(known.alias("x").join(limited(others, BROADCAST_MARKS).alias("o"), same & different & allowed("o", "x")))
-    found = components(links)
     # documents without n-grams are linked with nothing: they need no join, where all of them would be one key;
     # nor do those that are alone in their class and component
     linked = stored_small(classes.join(limited(found), F.col("rep") == F.col("node"), "left").where("members > 1 OR component IS NOT NULL").select(*keys, F.coalesce("component", "rep").alias("linked")))
