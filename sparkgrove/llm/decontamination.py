@@ -103,7 +103,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     vocabulary = words.select(F.explode("words").alias("word")).distinct()
     plan = stored_small(anchored(words, stored_small(word_counts(docs, vocabulary)), n))
     anchor_words = stored_small(plan.select(F.explode(F.transform(F.array_distinct(F.flatten("windows")), lambda p: F.element_at("words", p + 1))).alias("word")).distinct())
-    begins = stored_small(beginnings(store_postings(docs, anchor_words), plan))
+    begins = stored(beginnings(store_postings(docs, anchor_words), plan))
     places = plan.select("item_id", F.xxhash64("words").alias("words_key"), F.posexplode("words").alias("place", "word"))
     expected = begins.join(places, ["item_id", "words_key"]).withColumn("pos", F.col("first") + F.col("place")).where("pos >= 0")
     marks = begins.select(F.col("mark").alias("_mark")).distinct()
