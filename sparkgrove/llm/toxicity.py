@@ -7,7 +7,7 @@
    on ``SAMPLE_ROWS`` labelled documents at most, the first by a hash of their ids; everything else covers all rows.
 
 Defined results: a null text is empty; an empty text gets the score of a document without any word; repeated rows give
-repeated results; null labels, and labels without a document, are left out; a document labelled twice counts twice; with
+repeated results; null labels, and labels without a document, are left out; equal rows of labels count once, a document with both labels counts once for each; with
 labels of one kind only, or none, every score is that kind's smoothed share; no rows give no rows; other columns of the
 input are not carried.
 """
@@ -44,8 +44,10 @@ DRAWN_OUT = re.compile(r"(.)\1\1")
 DOUBLED = re.compile(r"(.)\1+")
 #: A sign that stands for letters beside a letter at an end of a token; other signs there are punctuation.
 SIGN_AT_END = re.compile(r"^[!-/:-@\[-`{-~]*[%s][^\W\d_]|[^\W\d_][%s][!-/:-@\[-`{-~]*$" % ((re.escape(SIGNS),) * 2))
-SPACED_AT_ALL = re.compile(r" [^\s|] [^\s|](?!\S)")
-SPACED = re.compile(r"(?<!\S)[^\s|](?: [^\s|]){2,}(?!\S)")
+#: Single signs with up to three blanks between them.
+SPACED_AT_ALL = re.compile(r" \S {1,3}\S(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S(?: {1,3}\S){2,}(?!\S)")
+BLANKS = re.compile(" +")
 
 
 # ---- language model -----------------------------------------------------------------------------------------------
@@ -145,12 +147,15 @@ def edges(token: str) -> set[str]:
 
 
 def lattices_of(spelling: str) -> list[list[list[tuple[str, float]]]]:
-    """The lattices of one of edges(): one for each letter that its outer signs may be.
+    """The lattices of one of edges(): one for each letter that its outer signs may be, with and without dropped signs.
 
     The model knows too little of a word's ends to tell these letters apart. That such a sign is dropped is another one's
     reading.
     """
     found = [lattice_of(spelling)]
+    letters_only = [[x for x in options if x[1] != DROP_LEET] or options for options in found[0]]
+    if letters_only != found[0]:
+        found.append(letters_only)
     for end in (0, -1):
         if spelling[end] in TRIM:
             letters = dict.fromkeys(x[0] for x, _ in found[0][end] if x)
@@ -220,12 +225,12 @@ class Restorer:
         text = text.lower()
         found = set(text.split())
         if SPACED_AT_ALL.search(text):
-            found.update(m[0].replace(" ", ".") for m in SPACED.finditer(text))
+            found.update(BLANKS.sub(".", m[0]) for m in SPACED.finditer(text))
         return found
 
     def restore(self, text: str) -> str:
         """The text with each suspicious word restored, for reading."""
-        joined = SPACED.sub(lambda m: m[0].replace(" ", "."), text.lower())
+        joined = SPACED.sub(lambda m: BLANKS.sub(".", m[0]), text.lower())
         return " ".join((self.model.viterbi(lattice_of(t))[0] or t) if suspicious(t) else t for t in joined.split())
 
 

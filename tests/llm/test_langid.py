@@ -74,3 +74,31 @@ def test_few_labels(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.lang_pred for r in langid.language_id(docs).collect()} == {"de", "und"}
     assert {r.lang_pred for r in langid.language_id(docs.where("lang IS NULL")).collect()} == {"und"}
+
+
+def test_query_by_brute_force(spark, documents, model):
+    """Posteriors by sums over neighbours, one document and one word at a time."""
+    docs = documents.where("length(text) < 1200").limit(40)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.predict(docs, model).collect():
+        words = langid.words_of(texts[r.doc_id] or "")
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        e = np.array([model.weights[langid.word_grams([w])[0]].sum(axis=0) for w in words], float)
+        t, k = model.transition, len(model.labels)
+        forward, back = [e[0]], [np.zeros(k)]
+        for x in e[1:]:
+            forward.append(np.array([x[j] + np.logaddexp.reduce(forward[-1] + t[:, j]) for j in range(k)]))
+        for x in e[:0:-1]:
+            back.append(np.array([np.logaddexp.reduce(t[i] + x + back[-1]) for i in range(k)]))
+        z = np.array(forward) + np.array(back[::-1])
+        mean = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True)).mean(axis=0)
+        assert r.lang_pred == model.labels[mean.argmax()] and r.score == pytest.approx(mean.max(), abs=1e-4)
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(k, "a b c", f"l{k}") for k in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(docs)

@@ -115,3 +115,45 @@ def test_signs_beyond_ascii_and_doubled_letters(learnt):
     for word, plain in (("l€ser", "leser"), ("i•d•i•o•t", "idiot"), ("stuupid", "stupid"), ("looser", "loser"), ("iddioott", "idiot")):
         assert plain in scorer.restorer.forms(word), word
         assert scorer.hits(word) >= scorer.hits(plain), word
+
+
+def test_letters_set_apart(learnt):
+    scorer = toxicity.Scorer(*learnt)
+    for text in ("and i d i o t the", "and i d | o t the", "and i  d  i  o  t the", "and i   d i   o t the"):
+        assert any("idiot" in scorer.restorer.forms(t) for t in scorer.restorer.tokens(text)), text
+    assert "a.|.b" not in scorer.restorer.tokens("aa | bb | cc")
+
+
+#: How each kind of disguise writes a word.
+KINDS = {
+    "digits": lambda w: w.translate(str.maketrans("oieast", "013457")),
+    "signs": lambda w: w.translate(str.maketrans("asi", "@$!")),
+    "masked vowel": lambda w: w[:1] + w[1:].replace("i", "*").replace("o", "*").replace("u", "*"),
+    "drawn out": lambda w: w[:2] + w[1] * 3 + w[2:],
+    "dots": ".".join,
+    "blanks": " ".join,
+    "two blanks": "  ".join,
+    "sign at the end": lambda w: w + "!",
+}
+
+
+def test_disguises_of_each_kind_are_found(learnt):
+    scorer = toxicity.Scorer(*learnt)
+    words = ["idiot", "moron", "loser", "stupid", "trash", "scum", "clown"]
+    clean = "Is and the of nterti thorreou ndernt by for and threea it is. "
+    words = [w for w in words if scorer.score(clean + w + " " + clean) > 0.5]
+    assert len(words) >= 4
+    found = {kind: [scorer.score(clean + write(w) + " " + clean) > 0.5 for w in words] for kind, write in KINDS.items()}
+    assert min(map(np.mean, found.values())) >= 0.5 and np.mean([*map(np.mean, found.values())]) >= 0.75, (words, found)
+
+
+def test_query_by_brute_force(spark, documents):
+    """Scores without caches or pruned beginnings, from all forms of all tokens."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    docs = documents.where("length(text) < 3000")
+    model, classifier = toxicity.learn(docs, labels)
+    for r, text in zip(toxicity.score_documents(docs, model, classifier).orderBy("doc_id").collect(), [x.text for x in docs.orderBy("doc_id").collect()], strict=True):
+        restorer = toxicity.Restorer(model)
+        features = {f for t in restorer.tokens(text or "") for w in restorer.forms(t) for f in toxicity.word_features(w)}
+        z = classifier.bias + sum(w for f, w in classifier.weights.items() if f in features)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
