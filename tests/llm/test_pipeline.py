@@ -49,7 +49,7 @@ def test_odd_rows(spark):
     key = lambda r: (r.doc_id or 0, r.text or "")
     assert sorted(map(key, corpus_pipeline.drop_near_copies(spark, docs, SF).collect())) == sorted([(1, ""), (2, ""), (3, rows[2][1]), (0, rows[5][1]), (5, rows[7][1]), (7, "\n\n")])
     cleaned = corpus_pipeline.drop_repeated_lines(spark, docs, SF)
-    assert sorted(r.doc_id or 0 for r in cleaned.collect()) == [0, 0, 1, 2, 3, 3, 4, 5, 7]
+    assert sorted(r.doc_id or 0 for r in cleaned.collect()) == [0, 0, 1, 2, 5, 7]  # a copy of the first line goes at any length
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
 
