@@ -250,39 +250,36 @@ def pack_bits(data: bytes) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, acc, have = bytearray(), 256, 9
-    table, width, word = {bytes((i,)): i for i in range(256)}, 9, b""
-    following = 258
-
-    def put(code: int) -> None:
-        nonlocal acc, have
-        acc, have = acc << width | code, have + width
-        while have >= 8:
-            have -= 8
-            out.append(acc >> have & 255)
-        acc &= (1 << have) - 1
-
-    for k in range(len(data)):
-        longer = word + data[k : k + 1]
-        if longer in table:
-            word = longer
+    """A clear code, the codes and the end code; a word is known by its code, so the table maps (code, byte) to codes."""
+    out, acc, have, width = bytearray(), 256, 9, 9
+    table: dict[int, int] = {}
+    following, code = 258, -1
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        longer = code << 8 | byte
+        if (known := table.get(longer)) is not None:
+            code = known
             continue
-        put(table[word])
+        acc, have = acc << width | code, have + width
         table[longer] = following
         following += 1
         width = min(12, following.bit_length())
         if following == 4094:
-            put(256)
-            table, width, following = {bytes((i,)): i for i in range(256)}, 9, 258
-        word = data[k : k + 1]
-    if word:
-        put(table[word])
+            acc, have = acc << width | 256, have + width
+            table, width, following = {}, 9, 258
+        if have >= 512:
+            have, rest = have & 7, have >> 3
+            out += (acc >> have).to_bytes(rest, "big")
+            acc &= (1 << have) - 1
+        code = byte
+    if code >= 0:
+        acc, have = acc << width | code, have + width
         following += 1
         width = min(12, following.bit_length())
-    put(257)
-    if have:
-        out.append(acc << 8 - have & 255)
-    return bytes(out)
+    acc, have = acc << width | 257, have + width
+    return bytes(out) + (acc << -have % 8).to_bytes(-(-have // 8), "big")
 
 
 def compress(data: bytes, compression: int) -> bytes:
@@ -367,8 +364,9 @@ def payload_of(text: str) -> tuple[int, bytes]:
     return n, data + b"\0" * (-n % 64 if n else 64)
 
 
-#: How payloads are stored: compression, predictor and side of tiles (0: strips). A text's checksum picks one.
-LAYOUTS = [(DEFLATE, 2, 0), (DEFLATE, 1, 64), (LZW, 2, 0), (PACKBITS, 1, 64)]
+#: How payloads are stored: compression, predictor and side of tiles (0: strips). A text's checksum picks one; the codecs that
+#: run byte by byte here have a share of one in sixteen each.
+LAYOUTS = [(LZW, 2, 0), (PACKBITS, 1, 64), *[(DEFLATE, 1, 64), (DEFLATE, 2, 0)] * 7]
 
 
 def store_payload(payload: bytes) -> bytes:
