@@ -16,6 +16,7 @@ from sparkgrove.plans.planner import SearchPlan
 from sparkgrove.plans.regex import Formula
 
 
+BATCH, BATCH_FILES = "spark.sql.execution.arrow.maxRecordsPerBatch", 200
 POSTINGS = "repo string, path string, tri int, raw boolean, folded boolean"
 
 
@@ -25,6 +26,9 @@ def postings(files: DataFrame) -> DataFrame:
     A row needs no other row, so there is no shuffle. The lower case is Spark's own, as in matching; the windows over the
     bytes are taken by array operations on Arrow batches.
     """
+    conf = files.sparkSession.conf
+    if not 0 < int(conf.get(BATCH, "0")) <= BATCH_FILES:
+        conf.set(BATCH, BATCH_FILES)  # so that large files don't add up in a worker
     low = F.lower(F.col("content").cast("string")).cast("binary")
     given = files.select("repo", "path", "content", F.when(low != F.col("content"), low).alias("low"))
     return given.mapInArrow(_postings_of(), POSTINGS)
@@ -58,8 +62,8 @@ def _postings_of():
             return pa.RecordBatch.from_arrays(columns, names=["repo", "path", "tri", "raw", "folded"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                yield of(batch.slice(k, 200))
+            if batch.num_rows:
+                yield of(batch)
 
     return run
 
