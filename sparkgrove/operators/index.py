@@ -16,7 +16,7 @@ from sparkgrove.plans.planner import SearchPlan
 from sparkgrove.plans.regex import Formula
 
 
-BATCH, BATCH_FILES = "spark.sql.execution.arrow.maxRecordsPerBatch", 200
+BATCH, BATCH_FILES = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 POSTINGS = "repo string, path string, tri int, raw boolean, folded boolean"
 
 
