@@ -27,6 +27,8 @@ from sparkgrove.llm.common import id_text, texts_of, tidy, to_arrow
 from sparkgrove.llm.tokens import TextEncoder
 
 BLOCK_WINDOWS = 128
+#: Words whose ids a worker keeps: packing often runs beside executors grown in stages before.
+WORDS_KEPT = 120_000
 #: A window with this share of its capacity is full.
 FULL = 0.97
 
@@ -140,7 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, capacity: int = 20
 
         block, have = [], 0
         for batch in batches:
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch), end), strict=True):
+            for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch), end, WORDS_KEPT), strict=True):
                 total, at = len(ids) // width, 0
                 while total - at > capacity:
                     put([(key, ids[at * width : (at + capacity) * width], at, at + capacity, total)])

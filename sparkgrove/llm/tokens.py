@@ -25,7 +25,7 @@ from pyspark.sql import window as W
 from sparkgrove.llm.common import id_text, keeps, planned_bytes, shared_dir, stored, texts_of, tidy, to_arrow
 
 #: Words whose ids a worker keeps; with more of them it takes over only those that come again.
-WORDS_KEPT = 100_000
+WORDS_KEPT = 250_000
 LONGEST_WORD_KEPT = 48
 #: Texts that are split at once.
 TEXTS_SPLIT = 200
@@ -122,12 +122,13 @@ class TextEncoder:
                 (words if len(word) <= LONGEST_WORD_KEPT else once)[word] = array(self.typecode, coded.ids).tobytes()
         return once
 
-    def encode(self, texts: list[str], end: int) -> Iterator[bytes]:
-        """The ids of each text and the end id, as bytes of self.dtype."""
+    def encode(self, texts: list[str], end: int, kept: int | None = None) -> Iterator[bytes]:
+        """The ids of each text and the end id, as bytes of self.dtype. kept: words whose ids stay at hand."""
+        kept = WORDS_KEPT if kept is None else kept
         tail = np.array([end], self.dtype).tobytes()
         for k in range(0, len(texts), TEXTS_SPLIT):
             split = [x.replace("\n", " ").split(" ") for x in texts[k : k + TEXTS_SPLIT]]
-            if len(self.words) > WORDS_KEPT:
+            if len(self.words) > kept:
                 self.words, self.old = {"": b""}, self.words
             once = self._learn(set().union(*split).difference(self.words))
             words = self.words
