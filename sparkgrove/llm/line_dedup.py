@@ -111,14 +111,20 @@ def wide(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def line_keys(line: Column, length: Column, threshold: int) -> Column:
-    """For each rule a hash of (length, number, substring): the line's index entries and then its probes. line: wide()."""
-    parts, out = threshold + 1, []
+def line_keys(line: Column, length: Column, threshold: int, only: Column | None = None) -> Column:
+    """For each rule a hash of (length, number, substring): the line's index entries and then its probes. line: wide().
+
+    only: the rules' shorter, where others aren't wanted.
+    """
+    parts, of = threshold + 1, {}
     for shorter, part, shift in rules_of(threshold):
         other = length - shorter
         begin = _begin(other, part, parts)
-        out.append(F.xxhash64(other, F.lit(part), F.substring(line, (begin + shift) * 4 + 1, (_begin(other, part + 1, parts) - begin) * 4)))
-    return F.array(*out)
+        key = F.xxhash64(other, F.lit(part), F.substring(line, (begin + shift) * 4 + 1, (_begin(other, part + 1, parts) - begin) * 4))
+        of.setdefault(shorter, []).append(key)
+    if only is None:
+        return F.array(*(key for keys in of.values() for key in keys))
+    return F.coalesce(*(F.when(only == shorter, F.array(*keys)) for shorter, keys in of.items()))
 
 
 def _named(value: Column, then) -> Column:
@@ -264,7 +270,8 @@ ENTRY = ["key", "id", "rule", *COUNTS]
 def _finer(entries: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Entries whose keys also have a segment of what the key's own segment leaves of the line, which is within the threshold too.
 
-    What is too short to be split keeps its key.
+    The lines in a key's index have one length, so an entry probes for what is shorter by as much as its own rule says only:
+    five keys an entry at most (threshold 2), however many share its key. What is too short to be split keeps its key.
     """
     parts = threshold + 1
     rules = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("shorter", "part", "shift"), r, strict=True))) for r in rules_of(threshold)))
@@ -273,7 +280,7 @@ def _finer(entries: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     rest = F.concat(F.substring("line", F.lit(1), F.col("_at") + F.col("_r.shift")), F.substring("line", F.col("_end") + F.col("_r.shift") + 1, F.char_length("line")))
     placed = placed.withColumn("_rest", wide(rest)).withColumn("_length", (F.octet_length("_rest") / 4).cast("int"))
     # the rest of the shorter line has this length; both may be too short to be split
-    finer = F.when(F.col("_other") - (F.col("_end") - F.col("_at")) < parts + threshold, F.array(F.lit(0).cast("long"))).otherwise(line_keys(F.col("_rest"), F.col("_length"), threshold))
+    finer = F.when(F.col("_other") - (F.col("_end") - F.col("_at")) < parts + threshold, F.array(F.lit(0).cast("long"))).otherwise(line_keys(F.col("_rest"), F.col("_length"), threshold, F.col("_r.shorter")))
     keys = F.explode(F.array_distinct(F.transform(finer, lambda k: F.xxhash64("key", k)))).alias("key")
     return placed.select("id", "rule", *COUNTS, "component", "largest", keys)
 

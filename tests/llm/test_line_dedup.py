@@ -109,6 +109,26 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert found == {i for i, x in brute(list(enumerate(lines)), 2).items() if x[0]} and len(found) > 250
 
 
+def test_finer_keys_of_large_groups(spark, monkeypatch):
+    """Lines that share a part but aren't near each other get a few further keys each, however many they are."""
+    rng, made, finer = random.Random(7), [], line_dedup._finer
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+
+    def counted(entries, *how):
+        out = finer(entries, *how)
+        made.append((entries.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "_finer", counted)
+    for n in (150, 300):
+        lines = {" ".join(rng.choice(words) if rng.random() < 0.15 else w for w in words[:20]) for _ in range(n)}
+        rows = list(enumerate(sorted(lines | {edited(rng, x, 1) for x in sorted(lines)[:20]})))
+        out = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.dropped for r in out} == {i: x[0] for i, x in brute(rows, 2).items()}
+    (few, few_made), (many, many_made) = made
+    assert 0 < few < many and few_made <= 5 * few and many_made <= 5 * many
+
+
 def test_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a line that is long enough\nother", "en"), (2, "a line that is long enough!", "de"), (3, None, "fr")], "doc_id long, text string, lang string")
     out = {r.doc_id: (r.text, r.lang) for r in line_dedup.dedup_lines(docs).collect()}
