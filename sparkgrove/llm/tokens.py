@@ -11,6 +11,7 @@ of their texts' checksums, then of their texts; a null doc_id comes first; no ro
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from array import array
@@ -26,11 +27,14 @@ from sparkgrove.llm.common import id_text, keeps, planned_bytes, shared_dir, sto
 
 #: Words whose ids a worker keeps; with more of them it takes over only those that come again.
 WORDS_KEPT = 250_000
+#: In bytes.
 LONGEST_WORD_KEPT = 48
-#: Texts that are split at once.
-TEXTS_SPLIT = 200
-#: Signs after a word that are split off it.
-TAIL = ".,;:!?"
+#: Signs that are split off the word before them.
+TAIL = b".,;:!?"
+#: Bytes of UTF-8 with A-Z in lower case and line feeds as spaces.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
+#: Bytes of UTF-8 by kind: a letter or digit, a space, a sign of TAIL, another sign, part of a character beyond ASCII.
+KINDS = bytes(ord("a") if chr(c).isalnum() and c < 128 else ord(" ") if c in b" \n" else ord(".") if c in TAIL else ord("#") if c < 128 else ord("?") for c in range(256))
 
 
 def _byte_level() -> dict[int, str]:
@@ -44,12 +48,76 @@ def _byte_level() -> dict[int, str]:
 
 
 BYTE_LEVEL = _byte_level()
+#: No run of these alone is split, nor are they letters.
+SIGNS = string.punctuation
 SAMPLE = 64
 MAGIC = b"SGEF0001"
 SHARD_IDS = 1 << 20
 PART_BYTES = 256 << 20
 
 
+class Words(dict):
+    """The ids of words, as bytes, by the words' UTF-8; those not at hand are worked out when they are asked for."""
+
+    def __init__(self, tokenizer, typecode: str):
+        self.tokenizer, self.model, self.typecode = tokenizer, tokenizer.model, typecode
+        self.old: dict[bytes, bytes] = {}
+        self[b""] = b""
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.ids_of(word.decode())
+        if len(word) <= LONGEST_WORD_KEPT:
+            self[word] = ids
+        return ids
+
+    def ids_of(self, word: str) -> bytes:
+        """Letters and a run of signs after them are kept apart by the vocabulary's splitting.
+
+        Its normalizer takes lower case, which is plain for Latin-1, whose words need no normalizing or splitting then.
+        """
+        core = word if word.isalpha() else word.rstrip(SIGNS)
+        if core.isalpha() and len(core) <= LONGEST_WORD_KEPT and (core.isascii() or max(core) < "\u0100"):
+            if core is not word:
+                return self[core.lower().encode()] + self[word[len(core) :].encode()]
+            plain = word.lower() if word.isascii() else word.lower().translate(BYTE_LEVEL)
+            return array(self.typecode, [t.id for t in self.model.tokenize(plain)]).tobytes()
+        return array(self.typecode, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def renew(self) -> None:
+        """Keep only those of the words at hand that are asked for again."""
+        self.old = dict(self)
+        self.clear()
+        self[b""] = b""
+
+    def forget(self) -> None:
+        self.renew()
+        self.old = {}
+
+
+def split_words(text: str) -> list[bytes]:
+    """The text at spaces and line feeds as UTF-8, in ASCII lower case where that can't change its ids.
+
+    It can where a special token is written in capitals, or where a mark joins a small letter but not the capital. Signs of
+    TAIL are words of their own if each before a space stands after a letter or a digit, for then no run of signs is cut.
+    """
+    data = text.encode()
+    if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
+        return data.replace(b"\n", b" ").split(b" ")
+    kinds = data.translate(KINDS)
+    data = data.translate(LOWER)
+    if b".. " not in kinds and b"#. " not in kinds and (b"?. " not in kinds or _all_letters(text)):
+        for sign in TAIL:
+            data = data.replace(b"%c " % sign, b" %c " % sign)
+    return data.split(b" ")
+
+
+def _all_letters(text: str) -> bool:
+    """Whether the characters beyond ASCII are Latin letters that stay such in lower case (a capital I with a dot doesn't)."""
+    return all(x.isascii() or x < "\u0250" and x != "\u0130" and x.isalpha() for x in set(text))
+
+
 class TextEncoder:
     """Encodes with the tokenizers library and keeps the ids of words.
 
@@ -65,11 +133,7 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.typecode = "HI"[self.dtype.itemsize == 4]
-        self.words: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        signs = [a + b for a in TAIL for b in ("", *TAIL)]
-        self.tails = {x: array(self.typecode, self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in signs}
+        self.words = Words(self.tokenizer, "HI"[self.dtype.itemsize == 4])
 
     @classmethod
     def get(cls, path: str) -> TextEncoder:
@@ -81,60 +145,17 @@ class TextEncoder:
     def forget(cls) -> None:
         """Let go of the words kept."""
         for x in cls._open.values():
-            x.words, x.old = {"": b""}, {}
-
-    def _letters(self, word: str) -> bytes:
-        """Ids of a word of Latin-1 letters in lower case, which needs no normalizing or splitting."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.old.get(word)
-            if ids is None:
-                plain = word if word.isascii() else word.translate(BYTE_LEVEL)
-                ids = array(self.typecode, [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
-            self.words[word] = ids
-        return ids
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Put the ids of new words at hand; returns those of words too long to keep.
-
-        Letters and signs after them are kept apart by the vocabulary's splitting, and its normalizer takes lower case,
-        which is plain for Latin-1.
-        """
-        words, old, rest = self.words, self.old, []
-        for word in new:
-            if word in old:
-                words[word] = old[word]
-                continue
-            core = word if word.isalpha() else word.rstrip(TAIL)
-            if core.isalpha() and len(core) <= LONGEST_WORD_KEPT and (core.isascii() or max(core) < "\u0100"):
-                if core is word:
-                    words[word] = self._letters(core.lower())
-                    continue
-                tail = self.tails.get(word[len(core) :])
-                if tail is not None:
-                    words[word] = self._letters(core.lower()) + tail
-                    continue
-            rest.append(word)
-        once = {}
-        for j in range(0, len(rest), 20_000):
-            some = rest[j : j + 20_000]
-            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (words if len(word) <= LONGEST_WORD_KEPT else once)[word] = array(self.typecode, coded.ids).tobytes()
-        return once
+            x.words.forget()
 
     def encode(self, texts: list[str], end: int, kept: int | None = None) -> Iterator[bytes]:
         """The ids of each text and the end id, as bytes of self.dtype. kept: words whose ids stay at hand."""
         kept = WORDS_KEPT if kept is None else kept
         tail = np.array([end], self.dtype).tobytes()
-        for k in range(0, len(texts), TEXTS_SPLIT):
-            split = [x.replace("\n", " ").split(" ") for x in texts[k : k + TEXTS_SPLIT]]
+        get = self.words.__getitem__
+        for text in texts:
             if len(self.words) > kept:
-                self.words, self.old = {"": b""}, self.words
-            once = self._learn(set().union(*split).difference(self.words))
-            words = self.words
-            get = words.__getitem__ if not once else lambda w: words[w] if w in words else once[w]  # noqa: B023
-            for x in split:
-                yield b"".join(map(get, x)) + tail
+                self.words.renew()
+            yield b"".join(map(get, split_words(text))) + tail
 
 
 keeps("words", TextEncoder.forget)

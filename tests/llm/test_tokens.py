@@ -141,3 +141,28 @@ def test_latin_words_give_the_texts_ids(tokenizer, texts):
     texts = [*texts, "<|ENDOFTEXT|>. <|endoftext|>, É.É, it's. A.,b"]
     got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts, 2)]
     assert got == [[*ids_of(tokenizer, x), 2] for x in texts]
+
+
+def test_capitals_and_signs_after_words_are_no_words_of_their_own(tokenizer):
+    tokens.TextEncoder.forget()
+    encoder = tokens.TextEncoder.get(PATH)
+    texts = ["The the THE. the, The; the!\nthe: THE? tHe Écoute. the", "the&&& The&&&"]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts, 2)] == [[*ids_of(tokenizer, x), 2] for x in texts]
+    assert len(encoder.words) <= 12
+
+
+#: Runs of signs, letters that lower case or normalizing turn into others, special tokens in capitals.
+ODD_WORDS = ["a.. b", "a,. B", "“A”. b", "É, é. Œ; ×. b", "İ. b İ, İ. i", "H̱. ẖ T̈, Á. b", "<|ENDOFTEXT|>. A <|endoftext|>. A", "5. ²., ٣. b", "it's. IT'S, it'. '. b", "K. İİ; ŉ. ǅ, b", "a \x1c. b\t. c", "Σ. ΑΣ. b", "..", ". A", ""]
+
+
+@pytest.mark.parametrize("text", ODD_WORDS)
+def test_odd_words_give_the_texts_ids(tokenizer, text):
+    encoder = tokens.TextEncoder.get(PATH)
+    texts = [text, f"{text} ", f"x {text}. Y"]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts, 2)] == [[*ids_of(tokenizer, x), 2] for x in texts]
+
+
+def test_kept_words_change_nothing(documents):
+    texts = [r.text or "" for r in documents.limit(200).collect()]
+    encoder = tokens.TextEncoder.get(PATH)
+    assert list(encoder.encode(texts, 2, 50)) == list(encoder.encode(texts, 2))
