@@ -101,7 +101,7 @@ def keeps(name: str, forget: Callable[[], None]) -> None:
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, but a worker that runs it forgets what others keep, and afterwards gives free memory back to the system.
+    """run, but a worker that runs it forgets what others keep, and before and after gives free memory back to the system.
 
     Workers live on between tasks, beside stages that need the memory for joins.
     """
@@ -110,6 +110,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], na
         for other, forget in _keepers.items():
             if other != name:
                 forget()
+        give_back()  # what the task before held beyond its end, as its broadcasts
         try:
             yield from run(batches)
         finally:

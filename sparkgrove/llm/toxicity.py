@@ -348,6 +348,10 @@ class Scorer:
         words = [w for w in self.restorer.forms(token, self.starts) if w[:3] in self.starts]
         return frozenset(f for w in words for f in word_features(w) if f in self.classifier.weights) if words else NO_FEATURES
 
+    def forget(self) -> None:
+        self.seen.clear()
+        self.restorer.decoded.clear()
+
     def score(self, text: str) -> float:
         seen = self.seen
         features: set[str] = set()
@@ -377,13 +381,19 @@ def score_documents(docs: DataFrame, model: CharModel, classifier: Classifier) -
 
 
 def keep_clean(docs: DataFrame, model: CharModel, classifier: Classifier, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores under 0.5."""
+    """The rows of docs, with all their columns, whose text scores under 0.5.
+
+    Workers forget the words they have seen after each task, since they wait beside stages that need the memory for joins.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Scorer(model, classifier))
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(x or "") < 0.5 for x in batch.column(text_col).to_pylist()], pa.bool_()))
+        try:
+            for batch in batches:
+                yield batch.filter(pa.array([shared.value.score(x or "") < 0.5 for x in batch.column(text_col).to_pylist()], pa.bool_()))
+        finally:
+            shared.value.forget()
 
     return docs.mapInArrow(tidy(run), docs.schema)
 

@@ -1,6 +1,8 @@
 import itertools
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkgrove.llm import toxicity
@@ -157,3 +159,16 @@ def test_query_by_brute_force(spark, documents):
         features = {f for t in restorer.tokens(text or "") for w in restorer.forms(t) for f in toxicity.word_features(w)}
         z = classifier.bias + sum(w for f, w in classifier.weights.items() if f in features)
         assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_stage_forgets_words_after_each_task(monkeypatch):
+    """Workers live on beside stages that need the memory."""
+    scorer, made = toxicity.Scorer(None, SimpleNamespace(weights={}, score=lambda features: 0.0)), []
+    monkeypatch.setattr(toxicity, "Scorer", lambda *_: scorer)
+    monkeypatch.setattr(toxicity, "ship", lambda _: None)
+    context = SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value))
+    docs = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context), schema=None, mapInArrow=lambda run, _: made.append(run))
+    toxicity.keep_clean(docs, None, None)
+    kept = made[0](iter([pa.RecordBatch.from_pydict({"text": ["some plain words", None]})]))
+    assert next(kept).num_rows == 2 and scorer.seen
+    assert not list(kept) and not scorer.seen and not scorer.restorer.decoded
