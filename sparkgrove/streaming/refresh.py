@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.streaming import StreamingQuery
 
+from sparkgrove.functions.text import content_key
 from sparkgrove.sources.corpora import ingest, manifest
 from sparkgrove.sources.store import KEY, Store
 
@@ -22,11 +23,18 @@ def latest(versions: DataFrame) -> DataFrame:
     return versions.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
+def differs(store: Store, newest: DataFrame) -> bool:
+    """Whether any of these versions has other content than what is stored for its file."""
+    stored = store.table("manifest").select(*KEY, F.col("oid").alias("_stored")).join(newest.select(*KEY), KEY, "left_semi")
+    own = newest.select(*KEY, F.when(F.col("content").isNotNull(), content_key(F.col("content"))).alias("_own"))
+    return bool(own.join(stored, KEY, "left").where(~F.col("_own").eqNullSafe(F.col("_stored"))).limit(1).count())
+
+
 def apply_batch(store: Store, batch: DataFrame) -> bool:
     """Put a batch of file versions over what is stored, as a layer of its own.
 
     Versions are stored, those of deleted files too; one that isn't newer than what is stored for its file changes nothing,
-    in whatever batch it comes.
+    in whatever batch it comes. Returns whether any file did change; a newer version may have the content of the one before.
     """
     newest = latest(batch)
     if store.current() is not None:
@@ -39,8 +47,9 @@ def apply_batch(store: Store, batch: DataFrame) -> bool:
             return False
         files = ingest(newest.where(F.col("content").isNotNull()))
         rows = manifest(newest.where(F.col("content").isNotNull())).join(newest.select(*KEY, "version"), KEY)
+        changes = store.current() is None or differs(store, newest)
         store.append([store.layer(files, newest.select(*KEY, "version"), rows)])
-        return True
+        return changes
     finally:
         newest.unpersist()
 

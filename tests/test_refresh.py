@@ -181,3 +181,12 @@ def test_config(monkeypatch):
 def test_bad_config(text):
     with pytest.raises(ConfigError):
         parse(text)
+
+
+def test_versions_without_other_content_change_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    batch = lambda *rows: spark.createDataFrame([(r, p, None if c is None else bytearray(c), v) for r, p, c, v in rows], FILE_VERSIONS)
+    assert apply_batch(store, batch(("r", "a", b"one", 1)))
+    assert not apply_batch(store, batch(("r", "a", b"one", 4), ("r", "b", None, 1)))
+    assert not apply_batch(store, batch(("r", "a", b"late", 3))) and state(store)[0] == [("r", "a", b"one")]
+    assert apply_batch(store, batch(("r", "a", None, 5))) and state(store)[0] == []
