@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -44,6 +45,7 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or shared_dir(spark)
     df.write.parquet(path)
+    give_back_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -125,6 +127,20 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back_driver(spark: SparkSession) -> bool:
+    """Have the driver's Python and JVM give free native memory back, of which compiling many plans leaves much. Whether the JVM can."""
+    give_back()
+    try:
+        jvm = spark._jvm
+        of = jvm.java.lang.Class.forName("javax.management.MBeanServer")  # the server's own class isn't open to calls
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        next(m for m in of.getMethods() if m.getName() == "invoke").invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """Run fn on each Arrow batch; it yields dicts of columns, which are cast to the schema."""
     arrow = to_arrow(df.sparkSession, schema)

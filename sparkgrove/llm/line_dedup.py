@@ -297,7 +297,7 @@ def line_links(docs: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD)
     few = shared.where("NOT hot")
     pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.id") < F.col("y.id")) & may_be_near("x", "y", threshold)).select(*_ends("x", "y"))
     hot = shared.where("hot")
-    any_hot = bool(hot.limit(1).count())
+    any_hot = not hot.isEmpty()
     if any_hot:
         copies = distinct.where("n > 1").select("id", "n")
         hot = stored(hot.join(limited(copies, BROADCAST_ROWS), "id", "left").select(*ENTRY, F.coalesce("n", F.lit(1)).alias("n")))
@@ -310,19 +310,21 @@ def line_links(docs: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD)
     def more(pairs: DataFrame) -> None:
         nonlocal tried, found
         fresh = stored_small(pairs.select(*_ends("x", "y")).distinct().join(tried, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            return
         tried = tried.unionByName(fresh)
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = stored_small(components(stars.unionByName(verified(fresh, texts, threshold))))
 
-    if any_hot:
-        known = _apart(hot, found)
+    if any_hot and not (known := _apart(hot, found)).isEmpty():
         minima = [F.min_by(F.struct(*ENTRY[1:], "component"), F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(TRIED)]
         members = known.where((F.col("component") == F.col("largest")) & (F.col("rule") <= threshold)).groupBy("key").agg(*minima)
         members = members.select("key", F.explode(F.array_distinct(F.array(*(f"m{k}" for k in range(TRIED))))).alias("m")).select("key", "m.*")
         more(known.where("component <> largest").alias("x").join(limited(stored_small(members), BROADCAST_ROWS).alias("y"), same & may_be_near("x", "y", threshold)))
-        finer = stored(_finer(_apart(hot, found), texts, threshold))
-        different = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
-        more(finer.where("component <> largest").alias("x").join(finer.alias("y"), same & different & may_be_near("x", "y", threshold)))
+        if not (known := _apart(hot, found)).isEmpty():
+            finer = stored(_finer(known, texts, threshold))
+            different = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
+            more(finer.where("component <> largest").alias("x").join(finer.alias("y"), same & different & may_be_near("x", "y", threshold)))
     return found
 
 

@@ -262,6 +262,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     def more(pairs: DataFrame) -> None:
         nonlocal tried, found
         fresh = stored_small(pairs.select(F.least("o.rep", "x.rep").alias("a"), F.greatest("o.rep", "x.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            return
         tried = tried.unionByName(fresh)
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = stored_small(components(stars.unionByName(verified(docs, fresh, words, percent))))

@@ -129,6 +129,16 @@ def test_finer_keys_of_large_groups(spark, monkeypatch):
     assert 0 < few < many and few_made <= 5 * few and many_made <= 5 * many
 
 
+def test_one_component_needs_no_further_rounds(spark, monkeypatch):
+    """Where all lines of each shared key are in one component after the first pairs, nothing else is verified or joined."""
+    calls, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda p, *how: calls.append(p.count()) or verified(p, *how))
+    lines = ["a line that many documents share, number " + c for c in "abcdefghijklmnopqrstuvwxyz"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert [r.doc_id for r in line_dedup.line_report(docs, 2).collect() if not r.n_dropped] == [0]
+    assert len(calls) == 1 and calls[0] >= 25
+
+
 def test_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a line that is long enough\nother", "en"), (2, "a line that is long enough!", "de"), (3, None, "fr")], "doc_id long, text string, lang string")
     out = {r.doc_id: (r.text, r.lang) for r in line_dedup.dedup_lines(docs).collect()}

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from sparkgrove.llm import ngram_join
+from sparkgrove.llm import common, graph, ngram_join
+from sparkgrove.llm.common import stored
 from sparkgrove.llm.graph import components
 
 
@@ -89,3 +90,25 @@ def test_components(spark):
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {n: c for n, c in want.items() if n != c}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_edges_take_few_jobs(spark, monkeypatch):
+    """A small graph goes through its rounds in one task: far fewer jobs and the same components."""
+    rng, took = random.Random(3), []
+    names = rng.sample(range(10_000), 150)
+    df = stored(spark.createDataFrame([*zip(names[:99], names[1:100], strict=True), *((names[100], x) for x in names[101:])], "a long, b long"))
+    least = {x: min(own) for own in (names[:100], names[100:]) for x in own}
+    for most in (graph.FEW_EDGES, 0):
+        monkeypatch.setattr(graph, "FEW_EDGES", most)
+        before = spark._jsc.sc().dagScheduler().numTotalJobs()
+        assert {r.node: r.component for r in components(df).collect()} == {x: y for x, y in least.items() if x != y}
+        took.append(spark._jsc.sc().dagScheduler().numTotalJobs() - before)
+    assert took[0] < took[1] / 2, took
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """After each written table, as plans compiled for it leave the driver's JVM with free native memory."""
+    given, give = [], common.give_back_driver
+    monkeypatch.setattr(common, "give_back_driver", lambda s: given.append(give(s)))
+    stored(spark.range(3).toDF("a"))
+    assert given == [True]
