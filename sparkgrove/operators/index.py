@@ -18,6 +18,11 @@ from sparkgrove.plans.regex import Formula
 
 BATCH, BATCH_FILES = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 POSTINGS = "repo string, path string, tri int, raw boolean, folded boolean"
+LISTS = "block long, tri int, files array<smallint>"
+#: Files of a block, as a power of two; with two bits for raw and folded an entry has 15 bits.
+BLOCK_BITS = 13
+#: A worker makes lists when so many trigrams of files have come together.
+LIST_GRAMS = 4_000_000
 
 
 def postings(files: DataFrame) -> DataFrame:
@@ -26,12 +31,15 @@ def postings(files: DataFrame) -> DataFrame:
     A row needs no other row, so there is no shuffle. The lower case is Spark's own, as in matching; the windows over the
     bytes are taken by array operations on Arrow batches.
     """
+    return _with_low(files, "repo", "path").mapInArrow(_postings_of(), POSTINGS)
+
+
+def _with_low(files: DataFrame, *keys: str) -> DataFrame:
+    """keys, content and its lower case (low), of which each text has one made."""
     conf = files.sparkSession.conf
     if not 0 < int(conf.get(BATCH, "0")) <= BATCH_FILES:
         conf.set(BATCH, BATCH_FILES)  # so that large files don't add up in a worker
-    low = F.lower(F.col("content").cast("string")).cast("binary")
-    given = files.select("repo", "path", "content", F.when(low != F.col("content"), low).alias("low"))
-    return given.mapInArrow(_postings_of(), POSTINGS)
+    return files.select(*keys, "content", F.lower(F.col("content").cast("string")).cast("binary").alias("low"))
 
 
 def _postings_of():
@@ -51,7 +59,7 @@ def _postings_of():
             for content, low in zip(batch.column("content").to_pylist(), batch.column("low").to_pylist(), strict=True):
                 own = both = windows(content or b"")
                 raw = folded = np.ones(len(own), bool)
-                if low is not None:
+                if low != content:
                     other = windows(low)
                     both = np.union1d(own, other)
                     raw, folded = np.isin(both, own, assume_unique=True), np.isin(both, other, assume_unique=True)
@@ -68,6 +76,63 @@ def _postings_of():
     return run
 
 
+def posting_lists(files: DataFrame) -> DataFrame:
+    """block, tri, files: the same postings, with the files of a block that have a trigram in one row (or a few).
+
+    files: id, content. An id's low BLOCK_BITS bits number the file in its block, the others name the block. In a list each
+    file is its number, then a bit for raw and one for folded. ``unlisted`` gives the postings back.
+    """
+    return _with_low(files, "id").mapInArrow(_lists_of(BLOCK_BITS, LIST_GRAMS), LISTS)
+
+
+def _lists_of(bits: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        def windows(data):
+            a = np.frombuffer(data, np.uint8).astype(np.int32)
+            return np.unique(a[:-2] << 16 | a[1:-1] << 8 | a[2:]).astype(np.int64) if len(a) > 2 else np.empty(0, np.int64)
+
+        def of(block, kept):
+            """Sorted by trigram and file; what stands twice, as raw and as folded, becomes one entry with both bits."""
+            x = np.sort(np.concatenate(kept))
+            key = x >> 2
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            entries = (key[first] & (1 << bits) - 1) << 2 | np.bitwise_or.reduceat(x & 3, first)
+            tri = key[first] >> bits
+            start = np.flatnonzero(np.r_[True, tri[1:] != tri[:-1]])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(tri)], pa.int32()), pa.array(entries, pa.int16()))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), block), pa.int64()), pa.array(tri[start], pa.int32()), lists], names=["block", "tri", "files"])
+
+        block, kept, n = None, [], 0
+        for batch in batches:
+            for number, content, low in zip(*(batch.column(c) for c in ("id", "content", "low")), strict=True):
+                number, content, low = number.as_py(), content.as_py(), low.as_py()
+                if n and (number >> bits != block or n >= most):
+                    yield of(block, kept)
+                    kept, n = [], 0
+                block, at = number >> bits, (number & (1 << bits) - 1) << 2
+                for data, flags in ((content or b"", 3),) if low == content else ((content or b"", 2), (low, 1)):
+                    grams = windows(data)
+                    kept.append(grams << bits + 2 | at | flags)
+                    n += len(grams)
+        if n:
+            yield of(block, kept)
+
+    return run
+
+
+def unlisted(lists: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
+    """postings from posting_lists and the names of each block: an array of (repo, path) by the file's number, null for those to leave out.
+
+    Lists meet names a block at a time and are taken apart only then, so that no posting is shuffled.
+    """
+    each = lists.join(names, on).select("names", "tri", F.explode("files").alias("entry"))
+    found = each.select(F.get("names", F.shiftright("entry", 2)).alias("file"), "tri", (F.col("entry").bitwiseAND(2) != 0).alias("raw"), (F.col("entry").bitwiseAND(1) != 0).alias("folded"))
+    return found.where("file IS NOT NULL").select("file.repo", "file.path", "tri", "raw", "folded")
+
+
 def repo_info(files: DataFrame, index: DataFrame) -> DataFrame:
     """repo, doc_count, trigram_count."""
     docs = files.groupBy("repo").agg(F.count("*").alias("doc_count"))

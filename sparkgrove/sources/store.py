@@ -5,7 +5,8 @@ version names its layers in order, so a change of a few files writes a small lay
 beside the others and the pointer is moved only when it is whole, so readers see one version or the other. After
 ``MOST_LAYERS`` layers all are written anew as one; layers that the last ``KEEP`` versions don't name are deleted.
 
-Postings are dealt out by ranges of trigrams and lie sorted by them, so that a lookup reads few files and row groups.
+Postings are stored as lists of the numbers that a layer's files have in blocks, and given as rows. The lists are dealt out
+by ranges of trigrams and lie sorted by them, so that a lookup reads few files and row groups.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrove.operators.index import postings
+from sparkgrove.operators.index import BLOCK_BITS, LISTS, posting_lists, unlisted
 from sparkgrove.sources.corpora import manifest
 
-FORMAT_VERSION = 2
+FORMAT_VERSION = 3
 MOST_LAYERS = 12
 KEEP = 2
 #: Keys that later layers take out are sent to all executors up to this number.
@@ -32,6 +34,10 @@ SCHEMAS = {
     "manifest": "repo string, path string, oid string, version long",
     "gone": "repo string, path string, version long",
 }
+#: As written: files have numbers within their layer, postings are lists of these.
+WRITTEN = SCHEMAS | {"files": SCHEMAS["files"] + ", id long", "postings": LISTS}
+#: Row groups of files, in bytes, so that postings are made by many tasks however few wrote the files.
+FILE_GROUP = 8 << 20
 POINTER = "format int, version string, layers array<string>, counts map<string, long>, tokens map<string, string>, at timestamp"
 
 
@@ -39,6 +45,11 @@ class NotAnIndex(ValueError):
     """There is no index here, or one of another format, or one with rows missing."""
 
 
+def filled(name: str, layers: list[str], counts: dict[str, int]) -> list[int]:
+    """The numbers of the layers with rows in a table; the first if there are none."""
+    return [k for k in range(len(layers)) if counts.get(f"{layers[k]}/{name}")] or [0]
+
+
 class Store:
     """A folder with versions of an index."""
 
@@ -99,16 +110,29 @@ class Store:
         return self._layers(name, row.layers, row.counts)
 
     def _layers(self, name: str, layers: list[str], counts: dict[str, int]) -> DataFrame:
-        read = lambda kind, k: self.spark.read.schema(SCHEMAS[kind]).parquet(f"{self.path}/{layers[k]}/{kind}")
-        filled = lambda kind: [k for k in range(len(layers)) if counts.get(f"{layers[k]}/{kind}")]
-        wanted = filled(name) or [0]
-        numbered = [read(name, k).withColumn("_layer", F.lit(k)) for k in wanted]
-        rows, later = reduce(DataFrame.unionByName, numbered), [k for k in filled("gone") if k > wanted[0]]
+        if name == "postings":
+            return self._postings(layers, counts)
+        return self._marked(name, layers, counts).where("_live").select(*(x.split()[0] for x in SCHEMAS[name].split(", ")))
+
+    def _read(self, name: str, layers: list[str], numbers: list[int]) -> DataFrame:
+        """A table of these layers as written, with each layer's number."""
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(WRITTEN[name]).parquet(f"{self.path}/{layers[k]}/{name}").withColumn("_layer", F.lit(k)) for k in numbers])
+
+    def _marked(self, name: str, layers: list[str], counts: dict[str, int]) -> DataFrame:
+        """A table of all layers as written, with the layer's number and _live: whether no later layer takes the row out."""
+        wanted, gone = filled(name, layers, counts), filled("gone", layers, counts)
+        rows, later = self._read(name, layers, wanted), [k for k in gone if k > wanted[0]]
         if name == "gone" or not later:
-            return rows.drop("_layer")
-        dead = reduce(DataFrame.unionByName, [read("gone", k).select(*KEY, F.lit(k).alias("_dead")) for k in later]).groupBy(*KEY).agg(F.max("_dead").alias("_dead"))
+            return rows.withColumn("_live", F.lit(True))
+        dead = self._read("gone", layers, later).groupBy(*KEY).agg(F.max("_layer").alias("_dead"))
         dead = F.broadcast(dead) if sum(counts[f"{layers[k]}/gone"] for k in later) <= BROADCAST_KEYS else dead
-        return rows.join(dead, KEY, "left").where(F.col("_dead").isNull() | (F.col("_dead") <= F.col("_layer"))).drop("_layer", "_dead")
+        return rows.join(dead, KEY, "left").withColumn("_live", F.col("_dead").isNull() | (F.col("_dead") <= F.col("_layer"))).drop("_dead")
+
+    def _postings(self, layers: list[str], counts: dict[str, int]) -> DataFrame:
+        """Rows of the lists. Files that are taken out are so by name, before their postings are made rows."""
+        files = self._marked("files", layers, counts).select("_layer", F.shiftright("id", BLOCK_BITS).alias("block"), "id", F.when(F.col("_live"), F.struct(*KEY)).alias("file"))
+        by_number = F.transform(F.array_sort(F.collect_list(F.struct("id", "file"))), lambda x: x["file"])  # a block's ids have no gaps
+        return unlisted(self._read("postings", layers, filled("postings", layers, counts)), files.groupBy("_layer", "block").agg(by_number.alias("names")), ["_layer", "block"])
 
     def validate(self, version: str | None = None) -> None:
         """Raise NotAnIndex if a table of a layer has other rows than were written. Counts are read from the files' footers."""
@@ -117,7 +141,7 @@ class Store:
             raise NotAnIndex(self.path)
         for key, n in (row.counts or {}).items():
             try:
-                found = self.spark.read.schema(SCHEMAS[key.split("/")[1]]).parquet(f"{self.path}/{key}").count()
+                found = self.spark.read.schema(WRITTEN[key.split("/")[1]]).parquet(f"{self.path}/{key}").count()
             except AnalysisException as e:
                 raise NotAnIndex(f"{self.path}/{key}: {e.getCondition()}") from e
             if found != n:
@@ -134,16 +158,22 @@ class Store:
         name = uuid.uuid4().hex
         at, counts = f"{self.path}/{name}", {}
 
-        def put(kind: str, df: DataFrame, sort: list[str]) -> DataFrame:
+        def put(kind: str, df: DataFrame, sort: list[str], **options: int) -> DataFrame:
             if "version" in SCHEMAS[kind] and "version" not in df.columns:
                 df = df.withColumn("version", F.lit(None).cast("long"))
-            df.select(*(x.split()[0] for x in SCHEMAS[kind].split(", "))).sortWithinPartitions(*sort).write.parquet(f"{at}/{kind}")
-            kept = self.spark.read.schema(SCHEMAS[kind]).parquet(f"{at}/{kind}")
+            df = df.sortWithinPartitions(*sort)
+            df = df.withColumn("id", F.monotonically_increasing_id()) if kind == "files" else df
+            df.select(*(x.split()[0] for x in WRITTEN[kind].split(", "))).write.options(**options).parquet(f"{at}/{kind}")
+            kept = self.spark.read.schema(WRITTEN[kind]).parquet(f"{at}/{kind}")
             counts[f"{name}/{kind}"] = kept.count()
             return kept
 
-        kept = put("files", files, KEY)
-        put("postings", postings(kept).repartitionByRange("tri"), ["tri", *KEY])
+        kept = put("files", files.select("repo", "path", "content"), KEY, **{"parquet.block.size": FILE_GROUP})
+        lists = posting_lists(kept).persist(StorageLevel.DISK_ONLY)  # ranges are found by a pass of their own
+        try:
+            put("postings", lists.repartitionByRange("tri"), ["tri", "block"])
+        finally:
+            lists.unpersist()
         put("manifest", manifest(kept) if rows is None else rows, KEY)
         put("gone", self.spark.createDataFrame([], SCHEMAS["gone"]) if gone is None else gone, KEY)
         return name, counts

@@ -56,6 +56,22 @@ def test_layers_become_one_and_old_ones_go(spark, tmp_path, monkeypatch):
     assert folders == {x for r in store._pointers() for x in r.layers}
 
 
+@pytest.mark.parametrize("bits, most", [(13, 4_000_000), (1, 20)])
+def test_postings_are_stored_as_lists(spark, tmp_path, monkeypatch, bits, most):
+    for where, name, value in (("operators.index", "BLOCK_BITS", bits), ("sources.store", "BLOCK_BITS", bits), ("operators.index", "LIST_GRAMS", most)):
+        monkeypatch.setattr(f"sparkgrove.{where}.{name}", value)
+    files = [("r" if k % 3 else "s", f"f{k}", f"Some text of {'Öl' if k % 4 else 'OIL'} {k % 5}".encode()) for k in range(40)] + [("r", "none", b"ab"), ("r", "bad", b"\xff\xfe\xfd TEXT")]
+    store = Store(spark, str(tmp_path / "s"))
+    store.write(corpora.in_memory(spark, files).coalesce(1))
+    row = store.pointer()
+    assert state(store) == rebuilt(spark, files)
+    if bits == 13:  # a row for each trigram, not for each file of it
+        assert row.counts[f"{row.layers[0]}/postings"] == len({t for _, _, t, _, _ in state(store)[1]})
+    files = [(r, p, c + b" And More" if p in ("f3", "f8") else c) for r, p, c in files if p not in ("f0", "f20", "none")] + [("t", "new", b"a new one")]
+    incremental.refresh(store, corpora.in_memory(spark, files))
+    assert len(store.pointer().layers) == 2 and state(store) == rebuilt(spark, files)
+
+
 def test_a_pointer_that_cant_be_read_is_an_error(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path / "s"))
     incremental.refresh(store, corpora.in_memory(spark, V1))
